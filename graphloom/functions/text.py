@@ -79,10 +79,15 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 @lru_cache(maxsize=1)
 def _expansion_class() -> str:
-    codes = sorted(ord(c) for c in _fold_tables()[2])
+    """A character class around the expandable characters.
+
+    It may admit more than those (the expansion leaves others alone); few wide
+    ranges keep the test cheap for every text that has none.
+    """
     spans: list[list[int]] = []
-    for code in codes:
-        if spans and code == spans[-1][1] + 1:
+    for code in sorted(ord(c) for c in _fold_tables()[2]):
+        gap = 2 if code < 0x250 else 512
+        if spans and code - spans[-1][1] <= gap:
             spans[-1][1] = code
         else:
             spans.append([code, code])
@@ -177,21 +182,30 @@ def _name_parts(text: Column) -> Column:
     return F.split(_plain(marked), _MARK)
 
 
+def answer_parts(text: Column) -> Column:
+    """array<array<string>>: the normalised words of each name in an answer."""
+    return F.transform(_name_parts(text), _words)
+
+
+def names_of(parts: Column) -> Column:
+    """Distinct normalised names out of ``answer_parts``."""
+    joined = F.transform(parts, lambda words: F.array_join(words, " "))
+    return F.array_distinct(F.filter(joined, lambda n: n != ""))
+
+
+def numbers_of(parts: Column) -> Column:
+    """Distinct numbers stated in an answer (splitting names never touches digits)."""
+    return F.array_distinct(F.filter(F.flatten(parts), lambda t: t.rlike("^[0-9]+$")))
+
+
 def normalized_names(text: Column) -> Column:
     """Distinct normalised names of an answer."""
-    named = F.transform(_name_parts(text), lambda n: F.array_join(_words(n), " "))
-    return F.array_distinct(F.filter(named, lambda n: n != ""))
+    return names_of(answer_parts(text))
 
 
 def answer_tokens(text: Column) -> Column:
     """Normalised tokens over the answer's names (with repeats)."""
-    return F.flatten(F.transform(_name_parts(text), _words))
-
-
-def number_tokens(text: Column) -> Column:
-    """Distinct numbers stated in a text."""
-    words = F.split(normalize_answer(text), " ")
-    return F.array_distinct(F.filter(words, lambda t: t.rlike("^[0-9]+$")))
+    return F.flatten(answer_parts(text))
 
 
 def is_count(names: Column) -> Column:

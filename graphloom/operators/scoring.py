@@ -19,17 +19,20 @@ def _same_set(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0)
 
 
-def exact_match(answer: Column, variants: Column) -> Column:
-    """1.0 when the answer's name set equals a variant's, or its one number a count variant."""
-    names, numbers = tx.normalized_names(answer), tx.number_tokens(answer)
+def _match(parts: Column, gold_parts: Column) -> Column:
+    names, numbers = tx.names_of(parts), tx.numbers_of(parts)
 
     def hit(gold: Column) -> Column:
-        wanted = tx.normalized_names(gold)
+        wanted = tx.names_of(gold)
         return _same_set(names, wanted) | (tx.is_count(wanted) & _same_set(numbers, wanted))
 
-    return F.when(
-        (F.size(names) > 0) & F.coalesce(F.exists(variants, hit), F.lit(False)), 1.0
-    ).otherwise(0.0)
+    found = F.coalesce(F.exists(gold_parts, hit), F.lit(False))
+    return F.when((F.size(names) > 0) & found, 1.0).otherwise(0.0)
+
+
+def exact_match(answer: Column, variants: Column) -> Column:
+    """1.0 when the answer's name set equals a variant's, or its one number a count variant."""
+    return _match(tx.answer_parts(answer), F.transform(variants, tx.answer_parts))
 
 
 def _pair_f1(predicted: Column, gold: Column) -> Column:
@@ -44,16 +47,20 @@ def _pair_f1(predicted: Column, gold: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(F.lit(2.0) * shared / total)
 
 
+def _best_f1(parts: Column, gold_parts: Column) -> Column:
+    tokens = F.flatten(parts)
+    return F.coalesce(
+        F.array_max(F.transform(gold_parts, lambda g: _pair_f1(tokens, F.flatten(g)))), F.lit(0.0)
+    )
+
+
 def token_f1(answer: Column, variants: Column) -> Column:
     """Token F1, best over the variants (2·shared / total tokens).
 
     Made for answer spans: work grows with the square of one answer's tokens.
     ``token_f1_table`` is the linear form for long texts.
     """
-    tokens = tx.answer_tokens(answer)
-    return F.coalesce(
-        F.array_max(F.transform(variants, lambda v: _pair_f1(tokens, tx.answer_tokens(v)))), F.lit(0.0)
-    )
+    return _best_f1(tx.answer_parts(answer), F.transform(variants, tx.answer_parts))
 
 
 def token_f1_table(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -123,42 +130,51 @@ def retrieval_table(retrieved: DataFrame, gold: DataFrame, key: list[str]) -> Da
     )
 
 
-def grounding(answer: Column, evidence: Column) -> Column:
-    """Share of the answer's names that stand, as whole words, in the cited texts."""
-    names = tx.normalized_names(answer)
-    cited = F.array_join(F.filter(evidence, lambda t: t.isNotNull() & (t != "")), " ")
-    hay = F.concat(F.lit(" "), tx.normalize_answer(cited), F.lit(" "))
+def _padded(texts: Column) -> Column:
+    cited = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), " ")
+    return F.concat(F.lit(" "), tx.normalize_answer(cited), F.lit(" "))
+
+
+def _support(names: Column, hay: Column) -> Column:
     found = F.filter(names, lambda n: F.contains(hay, F.concat(F.lit(" "), n, F.lit(" "))))
     usable = (F.size(names) > 0) & (F.trim(hay) != "")
     return F.when(usable, F.size(found) / F.size(names)).otherwise(0.0)
 
 
+def grounding(answer: Column, evidence: Column) -> Column:
+    """Share of the answer's names that stand, as whole words, in the cited texts."""
+    return _support(tx.normalized_names(answer), _padded(evidence))
+
+
 def score_answers(answers: DataFrame) -> DataFrame:
     """Adds the six metrics. Without ground truth all but ``grounded`` are NULL.
 
     ``answers``: answer, ground_truth, gold_doc_ids, citations
-    (array<struct<source_id, snippet>>).
+    (array<struct<source_id, snippet>>). Every text is normalised once.
     """
-    has_gold = F.size(F.coalesce("ground_truth", F.array().cast("array<string>"))) > 0
+    none = F.array().cast("array<string>")
     cites = F.coalesce("citations", F.array().cast(dict(answers.dtypes)["citations"]))
-    r = retrieval_metrics(
-        F.transform(cites, lambda c: c["source_id"]),
-        F.coalesce("gold_doc_ids", F.array().cast("array<string>")),
-    )
-    return (
-        answers.withColumn("_r", r)
-        .withColumns(
-            {
-                "em": F.when(has_gold, exact_match(F.col("answer"), F.col("ground_truth"))),
-                "f1": F.when(has_gold, token_f1(F.col("answer"), F.col("ground_truth"))),
-                "precision": F.when(has_gold, F.col("_r.precision")),
-                "recall": F.when(has_gold, F.col("_r.recall")),
-                "completeness": F.when(has_gold, F.col("_r.recall")),
-                "grounded": grounding(F.col("answer"), F.transform(cites, lambda c: c["snippet"])),
-            }
-        )
-        .drop("_r")
+    prepared = answers.withColumns(
+        {
+            "_p": tx.answer_parts(F.col("answer")),
+            "_g": F.transform(F.coalesce("ground_truth", none), tx.answer_parts),
+            "_hay": _padded(F.transform(cites, lambda c: c["snippet"])),
+            "_r": retrieval_metrics(
+                F.transform(cites, lambda c: c["source_id"]), F.coalesce("gold_doc_ids", none)
+            ),
+        }
     )
+    has_gold = F.size("_g") > 0
+    return prepared.withColumns(
+        {
+            "em": F.when(has_gold, _match(F.col("_p"), F.col("_g"))),
+            "f1": F.when(has_gold, _best_f1(F.col("_p"), F.col("_g"))),
+            "precision": F.when(has_gold, F.col("_r.precision")),
+            "recall": F.when(has_gold, F.col("_r.recall")),
+            "completeness": F.when(has_gold, F.col("_r.recall")),
+            "grounded": _support(tx.names_of(F.col("_p")), F.col("_hay")),
+        }
+    ).drop("_p", "_g", "_hay", "_r")
 
 
 def mean_scores(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def word_set(x: str) -> str:
 STOP = "[" + ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS) + "]"
 
 ANSWERS = f"""{SCOPES}, base AS (
-  SELECT s.*, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg, upper(r_name[1]) || lower(r_name[2:]) AS reg,
+  SELECT s.*, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg, array_to_string(list_transform(string_split(r_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS reg,
          (o_custkey % 30)::VARCHAR AS number, o_orderkey AS k, o_custkey AS c
   FROM scopes s JOIN region ON n_regionkey = r_regionkey),
 answers AS (
@@ -163,7 +163,7 @@ SIDES = f"""{SCORED}, sides AS (
   FROM scored GROUP BY run_id, qid)"""
 
 STEPS = f"""{SCOPES}, steps AS (
-  SELECT replace(o_orderpriority, ' ', '_') AS run_id, 'q' || l_orderkey AS qid, l_linenumber AS seq,
+  SELECT replace(o_orderpriority, ' ', '_') AS run_id, 'q' || l_orderkey AS qid, l_linenumber * 100000000000000 + l_partkey * 10000000 + l_suppkey AS seq,
          CASE l_returnflag WHEN 'A' THEN 'graph_traversal' WHEN 'N' THEN 'answer_verification'
               ELSE 'similarity_search' END AS agent_type,
          'Q' || l_linenumber AS tool_called,

@@ -242,7 +242,7 @@ class World:
         tool = F.when(flag == "A", "lookup").when(flag == "N", "multi_hop").otherwise("similarity_search")
         return self.table("lineitem").join(run, F.col("l_orderkey") == F.col("o_orderkey")).select(
             "run_id", F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("qid"),
-            F.col("l_linenumber").alias("seq"),
+            (F.col("l_linenumber").cast("long") * 10**14 + F.col("l_partkey") * 10**7 + F.col("l_suppkey")).alias("seq"),
             F.when(flag == "A", "graph_traversal").when(flag == "N", "answer_verification").otherwise(
                 "similarity_search"
             ).alias("agent_type"),

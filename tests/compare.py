@@ -71,8 +71,8 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
            and (spark_types[c], theirs_types[c]) not in {("string", "VARCHAR"), ("int", "INTEGER"), ("bigint", "BIGINT"), ("double", "DOUBLE"), ("boolean", "BOOLEAN")}]
     note = f"rows={len(mine)}/{len(theirs)} {took:.1f}s sql {time.time() - start:.1f}s" + (f" TYPES {odd}" if odd else "")
     if mine != theirs:
-        left = [r for r in mine if r not in set(theirs)][:3]
-        right = [r for r in theirs if r not in set(mine)][:3]
+        a, b = set(mine), set(theirs)
+        left, right = [r for r in mine if r not in b][:3], [r for r in theirs if r not in a][:3]
         return False, f"{note}\n   cols {cols}\n   spark {left}\n   sql   {right}"
     return not odd, note
 
