@@ -39,6 +39,15 @@ _EDGES = r"(?U)^\s+|\s+$"
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with the value computed once.
+
+    A lambda re-evaluates the expressions it captures for every element; bound
+    to a lambda variable they are evaluated a single time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _is_surrogate(code: int) -> bool:
     return 0xD800 <= code <= 0xDFFF
 

@@ -35,9 +35,8 @@ def host_name(host: Column) -> Column:
 
 def title_grams(title: Column) -> Column:
     """Distinct 1- to 3-word phrases that may name a topic."""
-    words = F.regexp_extract_all(title, F.lit(TITLE_WORD), F.lit(1))
 
-    def of_length(n: int) -> Column:
+    def of_length(words: Column, n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
             F.array().cast("array<int>")
         )
@@ -51,7 +50,10 @@ def title_grams(title: Column) -> Column:
             & (F.length(last) >= 3)
         )
 
-    grams = F.concat(of_length(1), of_length(2), of_length(3))
+    grams = tx.let(
+        F.regexp_extract_all(title, F.lit(TITLE_WORD), F.lit(1)),
+        lambda words: F.concat(of_length(words, 1), of_length(words, 2), of_length(words, 3)),
+    )
     return F.array_distinct(F.transform(F.filter(grams, usable), lambda g: F.array_join(g, " ")))
 
 

@@ -44,20 +44,28 @@ def infobox_entries(text: Column) -> Column:
         F.regexp_extract(text, FIRST_BLOCK, 1)
     )
     lines = F.filter(F.split(body, LINE_BREAK), lambda line: tx.strip(line) != "")
-    stop = F.array_position(F.transform(lines, lambda line: line.rlike(FIELD_LINE)), False)
-    head = F.slice(lines, F.lit(1), F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int"))
-    pairs = F.filter(
-        F.transform(
-            head,
+
+    def head(found: Column) -> Column:
+        stop = F.array_position(F.transform(found, lambda line: line.rlike(FIELD_LINE)), False)
+        return F.slice(found, F.lit(1), F.when(stop == 0, F.size(found)).otherwise(stop - 1).cast("int"))
+
+    def pairs(block: Column) -> Column:
+        parsed = F.transform(
+            block,
             lambda line: F.struct(
                 F.regexp_extract(line, FIELD_LINE, 1).alias("key"),
                 tx.strip(F.regexp_extract(line, FIELD_LINE, 2)).alias("value"),
             ),
-        ),
-        lambda pair: pair["value"] != "",
-    )
-    keys = F.transform(pairs, lambda pair: pair["key"])
-    return F.filter(pairs, lambda pair, i: F.array_position(keys, pair["key"]) == i + 1)
+        )
+        return F.filter(parsed, lambda pair: pair["value"] != "")
+
+    def first_per_key(found: Column) -> Column:
+        return tx.let(
+            F.transform(found, lambda pair: pair["key"]),
+            lambda keys: F.filter(found, lambda pair, i: F.array_position(keys, pair["key"]) == i + 1),
+        )
+
+    return tx.let(pairs(tx.let(lines, head)), first_per_key)
 
 
 def infobox_fields(text: Column) -> Column:

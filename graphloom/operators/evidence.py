@@ -341,17 +341,17 @@ def resolve_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         "names", F.transform(tx.split_names(F.col("answer")), tx.normalize_answer)
     )
     named = rows.select(
-        "qid", "title", render().alias("line"),
+        "qid", "title",
+        F.concat(F.lit(" "), tx.normalize_answer(render()), F.lit(" ")).alias("padded"),
         tx.normalize_answer(F.coalesce(F.nullif(F.col("event_name"), F.lit("")), F.col("counted_event"))).alias("n1"),
         tx.normalize_answer(tx.event_part(F.col("title"))).alias("n2"),
     )
     hit = (F.col("target") != "") & (F.coalesce("title", F.lit("")) != "") & (
         (F.col("n1") == F.col("target")) | (F.col("n2") == F.col("target"))
     )
-    padded = F.concat(F.lit(" "), tx.normalize_answer(F.col("line")), F.lit(" "))
     # Names are looked for row by row; a name found in any row is supported.
     found = F.filter(
-        "names", lambda n: (n != "") & padded.contains(F.concat(F.lit(" "), n, F.lit(" ")))
+        "names", lambda n: (n != "") & F.col("padded").contains(F.concat(F.lit(" "), n, F.lit(" ")))
     )
     per_row = held.join(named, "qid").select(
         "qid", F.when(hit, F.col("title")).alias("t"), F.explode_outer(found).alias("name")

@@ -20,14 +20,17 @@ def _same_set(a: Column, b: Column) -> Column:
 
 
 def _match(parts: Column, gold_parts: Column) -> Column:
-    names, numbers = tx.names_of(parts), tx.numbers_of(parts)
-
-    def hit(gold: Column) -> Column:
-        wanted = tx.names_of(gold)
-        return _same_set(names, wanted) | (tx.is_count(wanted) & _same_set(numbers, wanted))
+    def hit(mine: Column, gold: Column) -> Column:
+        return tx.let(
+            tx.names_of(gold),
+            lambda wanted: _same_set(mine[0], wanted) | (tx.is_count(wanted) & _same_set(mine[1], wanted)),
+        )
 
-    found = F.coalesce(F.exists(gold_parts, hit), F.lit(False))
-    return F.when((F.size(names) > 0) & found, 1.0).otherwise(0.0)
+    found = tx.let(
+        F.array(tx.names_of(parts), tx.numbers_of(parts)),
+        lambda mine: (F.size(mine[0]) > 0) & F.coalesce(F.exists(gold_parts, lambda g: hit(mine, g)), F.lit(False)),
+    )
+    return F.when(found, 1.0).otherwise(0.0)
 
 
 def exact_match(answer: Column, variants: Column) -> Column:
@@ -39,12 +42,15 @@ def _pair_f1(predicted: Column, gold: Column) -> Column:
     def times(words: Column, x: Column) -> Column:
         return F.size(F.filter(words, lambda w: w == x))
 
-    shared = F.aggregate(
-        F.array_distinct(predicted), F.lit(0),
-        lambda s, x: s + F.least(times(predicted, x), times(gold, x)),
-    )
-    total = F.size(predicted) + F.size(gold)
-    return F.when(total == 0, 1.0).otherwise(F.lit(2.0) * shared / total)
+    def score(sides: Column) -> Column:
+        mine, wanted = sides[0], sides[1]
+        shared = F.aggregate(
+            F.array_distinct(mine), F.lit(0), lambda s, x: s + F.least(times(mine, x), times(wanted, x))
+        )
+        total = F.size(mine) + F.size(wanted)
+        return F.when(total == 0, 1.0).otherwise(F.lit(2.0) * shared / total)
+
+    return tx.let(F.array(predicted, gold), score)
 
 
 def _best_f1(parts: Column, gold_parts: Column) -> Column:
@@ -76,7 +82,7 @@ def token_f1_table(pairs: DataFrame, key: list[str]) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit(True).alias("mine"), tx.answer_tokens(F.col("answer")).alias("words")),
-                F.struct(F.lit(False), tx.answer_tokens(F.col("gold"))),
+                F.struct(F.lit(False).alias("mine"), tx.answer_tokens(F.col("gold")).alias("words")),
             )
         ).alias("s"),
     ).select(*key, "variant", "s.mine", F.explode("s.words").alias("token"))
@@ -136,14 +142,16 @@ def _padded(texts: Column) -> Column:
 
 
 def _support(names: Column, hay: Column) -> Column:
-    found = F.filter(names, lambda n: F.contains(hay, F.concat(F.lit(" "), n, F.lit(" "))))
-    usable = (F.size(names) > 0) & (F.trim(hay) != "")
-    return F.when(usable, F.size(found) / F.size(names)).otherwise(0.0)
+    def share(ns: Column) -> Column:
+        found = F.filter(ns, lambda n: F.contains(hay, F.concat(F.lit(" "), n, F.lit(" "))))
+        return F.when((F.size(ns) > 0) & (F.trim(hay) != ""), F.size(found) / F.size(ns)).otherwise(0.0)
+
+    return tx.let(names, share)
 
 
 def grounding(answer: Column, evidence: Column) -> Column:
     """Share of the answer's names that stand, as whole words, in the cited texts."""
-    return _support(tx.normalized_names(answer), _padded(evidence))
+    return tx.let(_padded(evidence), lambda hay: _support(tx.normalized_names(answer), hay))
 
 
 def score_answers(answers: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ parsed AS (
     CASE WHEN is_event AND (k % 2 = 0 OR k % 9 <> 0) THEN year(o_orderdate) END::INT AS date_year,
     is_event AND k % 2 <> 0 AND k % 9 <> 0 AS date_year_from_games,
     CASE WHEN is_event THEN month(o_orderdate) END::INT AS date_month, CASE WHEN is_event THEN day(o_orderdate) END::INT AS date_day_start,
-    CASE WHEN is_event THEN 'Jane ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '|John Smith' END AS gold,
+    CASE WHEN is_event THEN 'Jane ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '|John Smith' ELSE '' END AS gold,
     CASE WHEN is_event THEN year(o_orderdate) - 1 END::INT AS prev_year,
     CASE WHEN is_event THEN round(1.0 - CASE WHEN k % 9 = 0 THEN 0.2 ELSE 0 END - CASE WHEN k % 11 = 0 THEN 0.2 ELSE 0 END
       - CASE WHEN k % 7 = 0 AND competitors IS NOT NULL THEN 0.1 ELSE 0 END, 2) ELSE 1 END::DOUBLE AS parse_confidence

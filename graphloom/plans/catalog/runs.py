@@ -651,14 +651,14 @@ def _display(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn24_display_formats",
-    """SELECT l_orderkey AS k, l_linenumber AS n, format('{:,}', l_extendedprice::BIGINT) AS num,
+    """SELECT l_orderkey AS k, l_linenumber AS n, format('{:,}', floor(l_extendedprice)::BIGINT) AS num,
       CASE WHEN l_quantity > 0 THEN '+' ELSE '' END || printf('%.2f', l_quantity) AS signed,
       printf('%.0f', l_discount * 100) || '%' AS pct FROM lineitem""",
 )
 def _formats(spark: SparkSession, sf: str) -> DataFrame:
     return World(spark, sf).table("lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"),
-        fmt.num(F.round("l_extendedprice")).alias("num"), fmt.signed(F.col("l_quantity")).alias("signed"),
+        fmt.num(F.floor("l_extendedprice")).alias("num"), fmt.signed(F.col("l_quantity")).alias("signed"),
         fmt.pct(F.col("l_discount")).alias("pct"),
     )
 

@@ -54,7 +54,11 @@ def plain(x: str) -> str:
     """Lower case, apostrophes gone, folded, articles gone, one space."""
     lowered = f"regexp_replace(lower({x}), '[''’ʼ`]', '', 'g')"
     folded = f"regexp_replace(strip_accents(nfc_normalize({lowered})), '\\p{{P}}', ' ', 'g')"
-    bare = f"regexp_replace({folded}, '\\b(a|an|the)\\b', ' ', 'g')"
+    # No look-around in this dialect: chr(3) after every non-word character
+    # lets neighbouring articles each keep a boundary of their own.
+    spaced = f"regexp_replace({folded}, '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(3), 'g')"
+    cut = f"regexp_replace({spaced}, '(^|' || chr(3) || ')(a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\3', 'g')"
+    bare = f"replace({cut}, chr(3), '')"
     return f"regexp_replace({bare}, '\\s+', ' ', 'g')"
 
 

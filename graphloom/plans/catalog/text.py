@@ -122,10 +122,10 @@ def _games(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "etl6_leading_int",
-    """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_extendedprice::INT AS value, l_linenumber % 2 = 0 AS exact FROM lineitem""",
+    """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, floor(l_extendedprice)::INT AS value, l_linenumber % 2 = 0 AS exact FROM lineitem""",
 )
 def _leading(spark: SparkSession, sf: str) -> DataFrame:
-    figure = F.format_number(F.round("l_extendedprice"), 0)
+    figure = F.format_number(F.floor("l_extendedprice"), 0)
     raw = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), figure)).otherwise(F.concat(figure, F.lit(" teams")))
     return World(spark, sf).table("lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), docs.leading_int(raw).alias("x")
