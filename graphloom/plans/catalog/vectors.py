@@ -1 +1,127 @@
+"""Vector functions and similarity search queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import vectors as vx
+from graphloom.operators import coverage as cov
+from graphloom.operators import documents as docs
+from graphloom.operators import similarity as sim
+from graphloom.plans.catalog import query
+from graphloom.plans.catalog.corpus import CHUNKS
+from graphloom.plans.world import World
+
+_CENTRES = """e AS (SELECT 'v' || vec_id AS chunk_id, label, embedding::DOUBLE[] AS emb FROM embeddings),
+x AS (SELECT label, unnest(emb) AS v, generate_subscripts(emb, 1) AS i FROM e),
+c AS (SELECT 'label' || label AS qid, label, list(m ORDER BY i) AS vector FROM (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL) GROUP BY label)"""
+
+
+def _top(where: str) -> str:
+    return f"""WITH {_CENTRES}, s AS (
+      SELECT qid, chunk_id, list_cosine_similarity(vector, emb) AS score FROM c CROSS JOIN e WHERE {where})
+    SELECT qid, chunk_id, round(score, 5) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank
+    FROM s QUALIFY rank <= 10"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("qid", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("top2_cosine", _top("true"))
+def _exact(spark: SparkSession, sf: str) -> DataFrame:
+    w = World(spark, sf)
+    return _rounded(sim.topk_cosine(w.centroids(), w.vectors(), 10))
+
+
+@query("top2_cosine_candidates", _top("e.label % 2 = 0"))
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    w = World(spark, sf)
+    return _rounded(sim.topk_cosine(w.centroids(), w.vectors(), 10, w.vectors().where("label % 2 = 0")))
+
+
+@query("top3_cosine_cells")
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    w = World(spark, sf)
+    centres = sim.train_cells(w.vectors(), 16)
+    return _rounded(sim.topk_cells(w.centroids(), sim.assign_cells(w.vectors(), centres), centres, 10, nprobe=4))
+
+
+@query(
+    "jn6_hits_with_text",
+    f"""WITH {CHUNKS}, {_CENTRES.replace("c AS (", "cen AS (")}, s AS (
+      SELECT qid, chunk_id, list_cosine_similarity(vector, emb) AS score FROM cen CROSS JOIN e),
+    t AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10)
+    SELECT qid, k.chunk_id, rank, len(w)::INT AS token_count FROM t JOIN chunks k ON k.chunk_id = 'd' || substr(t.chunk_id, 2) || '_c0'""",
+)
+def _text(spark: SparkSession, sf: str) -> DataFrame:
+    w = World(spark, sf)
+    hits = sim.topk_cosine(w.centroids(), w.vectors(), 10).withColumn(
+        "chunk_id", F.concat(F.lit("d"), F.expr("substring(chunk_id, 2)"), F.lit("_c0"))
+    )
+    return hits.join(docs.chunk_documents(w.chunk_source()), "chunk_id").select("qid", "chunk_id", "rank", "token_count")
+
+
+@query(
+    "fn9_l2_normalize",
+    """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: 3 * x / (3 * sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))))), 6) AS total,
+      len(embedding) = 64 AS ok FROM embeddings""",
+)
+def _normalize(spark: SparkSession, sf: str) -> DataFrame:
+    unit = vx.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return World(spark, sf).table("embeddings").select(
+        "vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, v: s + v), 6).alias("total"), vx.has_dim(F.col("embedding"), 64).alias("ok")
+    )
+
+
+@query(
+    "fn10_hash_vector",
+    """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
+    r AS (SELECT doc_id, list_transform(range(0, 40), lambda i: ('0x' || substr(h, ((i % 32) * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1) AS raw FROM h)
+    SELECT doc_id, round(raw[1] / sqrt(list_inner_product(raw, raw)), 6) AS first, round(raw[40] / sqrt(list_inner_product(raw, raw)), 6) AS last FROM r""",
+)
+def _hash(spark: SparkSession, sf: str) -> DataFrame:
+    return World(spark, sf).table("documents").select("doc_id", vx.hash_vector(F.col("text"), 40).alias("v")).select(
+        "doc_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last")
+    )
+
+
+@query(
+    "fn11_resolve_models",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'bge-large-en-v1.5' WHEN 1 THEN 'gte-large-en-v1.5' WHEN 2 THEN 'bge-large-en-v1.5' END AS model_key
+    FROM documents""",
+)
+def _models(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    name = F.when(k == 1, "ALIBABA-NLP/gte-large-en-v1.5").when(k == 2, "@cf/baai/bge-large-en-v1.5").when(k == 3, "no such model")
+    names = World(spark, sf).table("documents").select("doc_id", name.alias("name"))
+    return cov.resolve_models(names, cov.models(spark)).select("doc_id", "model_key")
+
+
+@query(
+    "fn12_prompted_texts",
+    """SELECT doc_id, length(text) + length('title: none | text: ') AS chars FROM documents""",
+)
+def _prompted(spark: SparkSession, sf: str) -> DataFrame:
+    texts = World(spark, sf).table("documents").select("doc_id", F.lit("embeddinggemma-300m").alias("model_key"), "text")
+    return cov.prompted(texts, cov.models(spark), "document").select("doc_id", F.length("prompt").cast("long").alias("chars"))
+
+
+@query(
+    "udf1_encode",
+    """SELECT 'd' || doc_id AS chunk_id, 64 AS dim FROM documents""",
+)
+def _encode(spark: SparkSession, sf: str) -> DataFrame:
+    texts = World(spark, sf).chunk_source().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("prompt"))
+    return cov.encode(texts, 64).select("chunk_id", F.size("emb").alias("dim"))
+
+
+@query("snk3_wrong_dims", "SELECT 'v' || vec_id AS chunk_id FROM embeddings WHERE label = 3")
+def _dims(spark: SparkSession, sf: str) -> DataFrame:
+    known = cov.models(spark).where("model_key = 'embeddinggemma-300m'").withColumn("dim", F.lit(64))
+    rows = World(spark, sf).vectors().select(
+        F.lit("embeddinggemma-300m").alias("model_key"), "chunk_id",
+        F.when(F.col("label") == 3, F.slice("emb", 1, 63)).otherwise(F.col("emb")).alias("emb"),
+    )
+    return cov.wrong_dims(rows, known).select("chunk_id")
