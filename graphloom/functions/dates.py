@@ -31,8 +31,10 @@ def normalize_date(text: Column) -> Column:
     plain = F.translate(raw, "–—", "--")
     span = r"(?U)\b(\d{1,2})\s*-\s*(\d{1,2})\b"
     # The calendar order decides between two month names, not the text order.
-    month = F.coalesce(
-        *[F.when(plain.rlike(rf"(?iU)\b(?:{'|'.join(names)})\b"), F.lit(i)) for i, names in enumerate(MONTHS, 1)]
+    named = F.regexp_extract_all(plain, F.lit(rf"(?iU)\b({'|'.join(n for names in MONTHS for n in names)})\b"), F.lit(1))
+    short = F.array(*[F.lit(names[-1][:3]) for names in MONTHS])
+    month = F.array_min(
+        F.transform(named, lambda n: F.array_position(short, F.lower(F.substring(n, 1, 3))).cast("int"))
     )
     lone_day = _group(plain, r"(?U)\b(\d{1,2})\b", 1)
     start = F.coalesce(_group(plain, span, 1), F.when(lone_day <= 31, lone_day))

@@ -309,7 +309,7 @@ def conflicts(evidence: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("nations").alias("field"), F.col("nations").cast("long").alias("infobox")),
-                F.struct(F.lit("competitors"), F.col("competitors").cast("long")),
+                F.struct(F.lit("competitors").alias("field"), F.col("competitors").cast("long").alias("infobox")),
             )
         ).alias("f"),
     ).select("qid", "doc_id", "name", "f.field", "f.infobox").where(F.col("infobox") > 0).distinct()

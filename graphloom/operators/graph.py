@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import dates
@@ -61,6 +61,31 @@ def name_vertices(parsed: DataFrame, column: str) -> DataFrame:
     return parsed.where(F.col("is_event") & F.col(column).isNotNull()).select(column).distinct()
 
 
+def vertex_ids(parsed: DataFrame) -> DataFrame:
+    """(vtype, id) of every vertex the documents give rise to, in one pass."""
+    event = F.col("is_event")
+
+    def vertex(vtype: str, key: Column) -> Column:
+        return F.struct(F.lit(vtype).alias("vtype"), key.cast("string").alias("id"))
+
+    return (
+        parsed.select(
+            F.explode(
+                F.array(
+                    vertex("document", F.col("doc_id")),
+                    *[
+                        vertex(v, F.when(event, F.col(c)))
+                        for v, c in (("event", "event_id"), ("games", "games_id"), ("sport", "sport_name"), ("venue", "venue_name"))
+                    ],
+                )
+            ).alias("v")
+        )
+        .select("v.*")
+        .where(F.col("id").isNotNull())
+        .distinct()
+    )
+
+
 def edition_index(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     """One event per (sport, event name, Games year): the last document wins."""
     return (
@@ -101,15 +126,20 @@ def edition_links(parsed: DataFrame, order: str = "line_no") -> DataFrame:
 def edges(parsed: DataFrame, chunks: DataFrame | None = None, order: str = "line_no") -> DataFrame:
     """edges(etype, src, dst, date_text), one row per (etype, src, dst)."""
     events = parsed.where("is_event")
+    none = F.lit(None).cast("string")
+
+    def edge(etype: str, src: str, dst: str, text: Column) -> Column:
+        return F.struct(
+            F.lit(etype).alias("etype"), F.col(src).alias("src"), F.col(dst).alias("dst"), text.alias("date_text")
+        )
+
     direct = events.select(
         F.explode(
             F.array(
-                F.struct(F.lit("DESCRIBES").alias("etype"), F.col("doc_id").alias("src"),
-                         F.col("event_id").alias("dst"), F.lit(None).cast("string").alias("date_text")),
-                F.struct(F.lit("AT_GAMES"), F.col("event_id"), F.col("games_id"), F.lit(None).cast("string")),
-                F.struct(F.lit("IN_SPORT"), F.col("event_id"), F.col("sport_name"), F.lit(None).cast("string")),
-                F.struct(F.lit("HELD_AT"), F.col("event_id"), F.col("venue_name"),
-                         F.coalesce("date_text", F.lit(""))),
+                edge("DESCRIBES", "doc_id", "event_id", none),
+                edge("AT_GAMES", "event_id", "games_id", none),
+                edge("IN_SPORT", "event_id", "sport_name", none),
+                edge("HELD_AT", "event_id", "venue_name", F.coalesce("date_text", F.lit(""))),
             )
         ).alias("e")
     ).select("e.*")

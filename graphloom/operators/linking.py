@@ -200,14 +200,12 @@ def date_constraints(constraints: Column) -> Column:
         lambda c: dates.normalize_date(c["value"]),
     )
 
-    def last(part: str) -> Column:
-        given = F.filter(F.transform(stated, lambda d: d[part]), lambda v: v.isNotNull() & (v != 0))
-        return F.try_element_at(given, F.lit(-1))
+    def last(dates_: Column, part: str) -> Column:
+        given = F.filter(F.transform(dates_, lambda d: d[part]), lambda v: v.isNotNull() & (v != 0))
+        return F.try_element_at(given, F.lit(-1)).alias(part)
 
-    return F.struct(
-        last("date_year").alias("date_year"), last("date_month").alias("date_month"),
-        last("date_day_start").alias("date_day_start"),
-    )
+    parts = ("date_year", "date_month", "date_day_start")
+    return tx.let(stated, lambda dates_: F.struct(*[last(dates_, p) for p in parts]))
 
 
 def ground_intents(intents: DataFrame) -> DataFrame:
@@ -269,20 +267,19 @@ def resolve_anchors(
         }
     )
     texts = intents.select("qid", "question")
-    named = mentions(texts, venues)
     # The fullest mention around the parsed venue, and the fullest mention at all.
-    fuller = (
-        base.select("qid", "venue").where(F.col("venue").isNotNull()).join(named, "qid")
-        .where((F.length("entry") > F.length("venue")) & F.lower("entry").contains(F.lower("venue")))
-        .groupBy("qid").agg(F.min(F.struct((-F.length("entry")).alias("l"), "entry")).alias("b"))
-        .select("qid", F.col("b.entry").alias("v_full"))
-    )
-    any_venue = (
-        named.where(F.length("entry") >= MIN_VENUE_NAME)
-        .groupBy("qid").agg(F.min(F.struct((-F.length("entry")).alias("l"), "entry")).alias("b"))
-        .select("qid", F.col("b.entry").alias("v_any"))
+    longest = F.struct((-F.length("entry")).alias("l"), "entry")
+    around = (F.length("entry") > F.length("venue")) & F.lower("entry").contains(F.lower("venue"))
+    named = (
+        mentions(texts, venues).join(base.select("qid", "venue"), "qid")
+        .groupBy("qid")
+        .agg(
+            F.min(F.when(around, longest)).alias("f"),
+            F.min(F.when(F.length("entry") >= MIN_VENUE_NAME, longest)).alias("a"),
+        )
+        .select("qid", F.col("f.entry").alias("v_full"), F.col("a.entry").alias("v_any"))
     )
-    base = base.join(fuller, "qid", "left").join(any_venue, "qid", "left")
+    base = base.join(named, "qid", "left")
     base = _attach(base, longest_mention(texts, sports), "qid", "s_any")
     lowered = F.lower("question")
     base = base.withColumn(

@@ -12,6 +12,7 @@ from graphloom.plans.catalog import query
 from graphloom.plans.catalog.corpus import PARSED
 from graphloom.plans.catalog.sql import PARTS
 from graphloom.plans.world import World
+from graphloom.session import cut_lineage
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,16 +26,7 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'sport', count(DISTINCT sport_name) FROM parsed UNION ALL SELECT 'venue', count(DISTINCT venue_name) FROM parsed""",
 )
 def _vertices(spark: SparkSession, sf: str) -> DataFrame:
-    p = parsed(spark, sf)
-    tables = {
-        "document": g.document_vertices(p), "event": g.event_vertices(p), "games": g.games_vertices(p),
-        "sport": g.name_vertices(p, "sport_name"), "venue": g.name_vertices(p, "venue_name"),
-    }
-    out = None
-    for name, df in tables.items():
-        part = df.agg(F.lit(name).alias("vtype"), F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return g.vertex_ids(parsed(spark, sf)).groupBy("vtype").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -92,7 +84,7 @@ def _relationships(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {PARSED} SELECT event_id, doc_id, title, sport_name AS sport, games_id AS games, venue_name AS venue FROM parsed WHERE is_event""",
 )
 def _view(spark: SparkSession, sf: str) -> DataFrame:
-    p = parsed(spark, sf)
+    p = cut_lineage(parsed(spark, sf))
     view = g.event_view(g.event_vertices(p), g.edges(p), g.document_vertices(p))
     return view.select("event_id", "doc_id", "title", "sport", "games", "venue")
 

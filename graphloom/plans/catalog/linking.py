@@ -11,11 +11,12 @@ from graphloom.operators import retrieval as rt
 from graphloom.plans.catalog import query
 from graphloom.plans.catalog.sql import EVENTS, SCOPES
 from graphloom.plans.world import World
+from graphloom.session import cut_lineage
 
 
 def vocab(w: World, column: str) -> DataFrame:
-    """The distinct names of a scope column."""
-    return w.scopes().select(F.col(column).alias("entry")).distinct()
+    """The distinct names of a scope column, kept: every linking step reads them."""
+    return w.scopes().select(F.col(column).alias("entry")).distinct().cache()
 
 
 def venue_queries(w: World) -> DataFrame:
@@ -134,7 +135,7 @@ def intents(w: World) -> DataFrame:
 )
 def _anchors(spark: SparkSession, sf: str) -> DataFrame:
     w = World(spark, sf)
-    out = lk.resolve_anchors(intents(w), vocab(w, "sport"), vocab(w, "games"), vocab(w, "venue"))
+    out = lk.resolve_anchors(cut_lineage(intents(w)), vocab(w, "sport"), vocab(w, "games"), vocab(w, "venue"))
     return out.select("qid", "sport", "games", "venue", "title", "date_year", "date_month", "date_day_start", "unresolved")
 
 

@@ -1 +1,105 @@
+"""Streaming queries; the batch result over the same table is what they must reach."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.plans.catalog import query
+from graphloom.plans.catalog.runs import _NUMBERED, _PIPED
+from graphloom.plans.catalog.sql import BUILD, SCOPES
+from graphloom.plans.world import World
+from graphloom.streaming import live
+
+
+class StreamWorld(World):
+    """The same mappings with one table read as a stream."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: str) -> None:
+        super().__init__(spark, sf_dir)
+        self.streamed = streamed
+
+    def table(self, name: str) -> DataFrame:
+        if name == self.streamed:
+            return live.tail_table(self.spark, self.sf_dir, f"{name}.parquet")
+        return super().table(name)
+
+
+@query(
+    "str2_latest_record",
+    "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id",
+)
+def _latest(spark: SparkSession, sf: str) -> DataFrame:
+    events = live.tail_table(spark, sf, "events.parquet").select("user_id", "event_id", "event_type")
+    return live.drain(live.latest_per_key(events, ["user_id"], "event_id"), "complete")
+
+
+@query(
+    "str3_live_summary",
+    f"""WITH {SCOPES} SELECT replace(o_orderpriority, ' ', '_') AS run_id, n_name AS pipeline, count(*) AS n,
+      count(*) FILTER (o_orderstatus = 'P') AS errors, round(avg(o_orderkey) FILTER (o_orderstatus <> 'P'), 4) AS mean_tokens,
+      sum(o_orderkey) FILTER (o_orderstatus <> 'P')::BIGINT AS total_tokens,
+      round(avg(o_totalprice) FILTER (o_orderstatus <> 'P'), 4) AS mean_latency_ms FROM scopes GROUP BY ALL""",
+)
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    answers = StreamWorld(spark, sf, "orders").scopes().select(
+        F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("_")).alias("run_id"), F.col("n_name").alias("pipeline"),
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("done").alias("status"),
+        F.col("o_orderkey").alias("tokens_total"), F.col("o_totalprice").alias("latency_ms"),
+    )
+    out = live.drain(live.live_summary(answers), "complete")
+    return out.select(
+        "run_id", "pipeline", "n", "errors", F.round("mean_tokens", 4).alias("mean_tokens"), "total_tokens",
+        F.round("mean_latency_ms", 4).alias("mean_latency_ms"),
+    )
+
+
+@query(
+    "str4_numbered_trace",
+    f"""WITH {_NUMBERED} SELECT run_id || '|' || qid AS run_key, seq AS order_no, step_n, cum_in::BIGINT AS cum_tokens_in,
+      cum_out::BIGINT AS cum_tokens_out, strategy_change FROM numbered""",
+)
+def _trace(spark: SparkSession, sf: str) -> DataFrame:
+    steps = StreamWorld(spark, sf, "lineitem").steps().select(
+        F.concat_ws("|", "run_id", "qid").alias("run_key"), F.col("seq").alias("order_no"), "route", "path_name", "declared",
+        "tokens_in", "tokens_out",
+    )
+    return live.drain(live.numbered_trace(steps), "append")
+
+
+@query(
+    "str5_stage_status",
+    f"""WITH {BUILD} SELECT build_id, stage, min(seq) AS first_seq, arg_max(status, seq) AS status, arg_max(items_done, seq) AS items_done
+    FROM build GROUP BY build_id, stage""",
+)
+def _stages(spark: SparkSession, sf: str) -> DataFrame:
+    out = live.drain(live.stage_status(StreamWorld(spark, sf, "events").build_events()), "complete")
+    return out.select("build_id", "stage", "first_seq", "status", "items_done")
+
+
+@query(
+    "str7_token_ceiling",
+    """SELECT o_orderpriority AS run_id, sum(o_custkey)::BIGINT AS spent, sum(o_custkey) < 2300000 AS may_start FROM orders GROUP BY 1""",
+)
+def _ceiling(spark: SparkSession, sf: str) -> DataFrame:
+    answers = live.tail_table(spark, sf, "orders.parquet").select(
+        F.col("o_orderpriority").alias("run_id"), F.col("o_custkey").alias("tokens_total")
+    )
+    return live.drain(live.token_ceiling(answers, 2_300_000), "complete")
+
+
+@query("str8_unique_events", "SELECT DISTINCT event_id, user_id FROM events")
+def _unique(spark: SparkSession, sf: str) -> DataFrame:
+    events = live.tail_table(spark, sf, "events.parquet")
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return live.drain(live.unique_events(twice, "event_id", "ts").select("event_id", "user_id"), "append")
+
+
+@query(
+    "str9_live_pipeline_states",
+    f"""WITH {_PIPED} SELECT build_id, pipeline, CASE WHEN bool_or(status = 'ready') THEN 'ready' ELSE arg_max(status, seq) END AS status,
+      arg_max(elapsed_ms, seq) AS elapsed_ms, coalesce(max(items_done) FILTER (stage = 'embed_chunks'), 0) AS vectors FROM piped GROUP BY ALL""",
+)
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    out = live.drain(live.pipeline_status(StreamWorld(spark, sf, "events").build_events()), "complete")
+    return out.select("build_id", "pipeline", "status", "elapsed_ms", "vectors")
