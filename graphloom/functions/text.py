@@ -35,7 +35,8 @@ _MARK = "\u0001"
 _BOUNDARY = (
     r"(?<=\p{IsLowercase})(?<!" + "|".join(NAME_PARTICLES) + r")(?=\p{IsUppercase})"
 )
-_EDGES = r"(?U)^\s+|\s+$"
+#: Every white space character of the Basic Multilingual Plane.
+_SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
@@ -95,7 +96,7 @@ def _expansion_class() -> str:
     """
     spans: list[list[int]] = []
     for code in sorted(ord(c) for c in _fold_tables()[2]):
-        gap = 2 if code < 0x250 else 512
+        gap = 2 if code < 0x2100 else 512
         if spans and code - spans[-1][1] <= gap:
             spans[-1][1] = code
         else:
@@ -108,13 +109,16 @@ def fold(text: Column) -> Column:
     source, target, expand = _fold_tables()
     pairs = "\u0002".join(f"{k}\u0003{v}" for k, v in expand.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0003"))
-    expanded = F.when(
-        text.rlike(_expansion_class()),
-        F.array_join(
-            F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
-        ),
-    ).otherwise(text)
-    return F.translate(expanded, source, target)
+
+    def expanded(t: Column) -> Column:
+        # Few distinct characters of a text expand: each is replaced once.
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({_expansion_class()})"), F.lit(1)))
+        replaced = F.aggregate(
+            found, t, lambda done, c: F.replace(done, c, F.coalesce(F.element_at(table, c), c))
+        )
+        return F.when(t.rlike(_expansion_class()), replaced).otherwise(t)
+
+    return F.translate(let(text, expanded), source, target)
 
 
 @F.udf(returnType=T.StringType(), useArrow=True)
@@ -132,7 +136,7 @@ def fold_udf(text: str) -> str:
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def squash(text: Column) -> Column:

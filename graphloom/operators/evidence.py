@@ -105,9 +105,7 @@ def render(prefix: str = "") -> Column:
             value = col(name)
             if COLUMNS[name] == "string":
                 # An empty field is left out; one that is only separators keeps its name.
-                value = F.when(
-                    value != "", tx.strip(F.regexp_replace(tx.strip(value), ";+$", ""))
-                )
+                value = F.when(value != "", tx.strip(F.rtrim(tx.strip(value), F.lit(";"))))
             parts.append(F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"))))
         return F.concat_ws("; ", *parts)
 

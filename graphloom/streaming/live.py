@@ -143,6 +143,7 @@ def pipeline_status(events: DataFrame) -> DataFrame:
 
 def unique_events(events: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """Events once per id; state is dropped ``delay`` behind the newest event."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -191,5 +192,4 @@ def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{root}/out")
-    return out
+    return spark.read.parquet(f"{root}/out").select(*stream.columns)
