@@ -68,8 +68,8 @@ def questions(w: World) -> DataFrame:
     f"""WITH {_STRUCTURED}, q AS (SELECT 'q' || c_custkey AS qid, ['LOOKUP','COUNT','ARGMAX','TRAVERSE'][c_custkey % 4 + 1] AS op,
       CASE WHEN c_custkey % 3 = 0 THEN 'and the an thing was in on' ELSE 'Which race of ' || c_name || ' was the largest at the Olympics?' END AS question FROM customer),
     s AS (SELECT qid, count(*) AS n, bool_or(len(list_filter(list_intersect({word_set('question')}, {word_set(_RENDER)}),
-        lambda x: (NOT list_contains({STOP}, x)))) >= 2) AS overlaps FROM evidence JOIN q USING (qid) GROUP BY qid),
-    e AS (SELECT q.qid, coalesce(n, 0) AS n, (coalesce(n, 0) > 0 AND op NOT IN ('COUNT', 'ARGMAX')) AS scope_ok, coalesce(overlaps, false) AS o2
+        lambda x: (NOT list_contains({STOP}, x)))) >= 2) AS has_overlap FROM evidence JOIN q USING (qid) GROUP BY qid),
+    e AS (SELECT q.qid, coalesce(n, 0) AS n, (coalesce(n, 0) > 0 AND op NOT IN ('COUNT', 'ARGMAX')) AS scope_ok, coalesce(has_overlap, false) AS o2
           FROM q LEFT JOIN s USING (qid))
     SELECT qid, n, scope_ok AS scope_coverage_pass, scope_ok AND o2 AS is_sufficient,
       CASE WHEN NOT scope_ok THEN 'scope_coverage_fail' WHEN NOT o2 THEN 'groundedness_fail' ELSE 'none' END AS fallback_trigger FROM e""",
