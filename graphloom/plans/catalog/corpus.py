@@ -211,14 +211,15 @@ def _describe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "etl16_dominant_host",
-    """WITH h AS (SELECT 'pages' AS dataset, lower(regexp_extract(url, '^https?://(?:www\\.)?([^/:]+)', 1)) AS host FROM pages),
-    x AS (SELECT dataset, CASE WHEN contains(host, 'example') THEN 'example' ELSE host END AS value FROM h)
-    SELECT dataset, value, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > (SELECT count(*) FROM pages) / 2""",
+    """WITH h AS (SELECT regexp_extract(url, '^[a-z]+') AS dataset, lower(regexp_extract(url, '^https?://(?:www\\.)?([^/:]+)', 1)) AS host FROM pages),
+    x AS (SELECT dataset, CASE WHEN contains(host, 'example') THEN 'example' ELSE host END AS value,
+          count(*) OVER (PARTITION BY dataset) AS t FROM h)
+    SELECT dataset, value, count(*) AS n FROM x GROUP BY dataset, value, t HAVING count(*) > t / 2""",
 )
 def _hosts(spark: SparkSession, sf: str) -> DataFrame:
     host = ds.url_host(F.col("url"))
     rows = World(spark, sf).table("pages").select(
-        F.lit("pages").alias("dataset"), F.when(host.contains("example"), "example").otherwise(host).alias("host")
+        F.regexp_extract("url", "^([a-z]+)", 1).alias("dataset"), F.when(host.contains("example"), "example").otherwise(host).alias("host")
     )
     return ds.majority(rows, "host")
 

@@ -406,15 +406,44 @@ def query_outcomes(answers: DataFrame) -> DataFrame:
     )
 
 
+def running_total(rows: DataFrame, key: str, order: str, value: str, ranges: int = 256) -> DataFrame:
+    """Adds ``total_before``: the sum of ``value`` over the key's earlier rows.
+
+    A key may hold a large part of all rows, so each key's order is cut into
+    ranges at approximate quantiles: sums per range, a short running sum over
+    the ranges, and a window only inside one range. The cuts are approximate,
+    the totals exact.
+    """
+    cuts = rows.groupBy(key).agg(
+        F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
+    )
+    ranged = rows.join(cuts, key).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    ).drop("_cuts")
+    over_ranges = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_sum")).select(
+        key, "_range", F.coalesce(F.sum("_sum").over(over_ranges), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.join(starts, [key, "_range"])
+        .withColumn("total_before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_range", "_start")
+    )
+
+
 def token_ceiling(questions: DataFrame, cap: int) -> DataFrame:
     """Adds ``started``: whether a question of a run starts before its tokens reach the cap.
 
-    ``questions``: run_id, seq, tokens, already (tokens spent earlier). A run's
-    questions are one ordered series, so each run is one window.
+    ``questions``: run_id, seq, tokens, already (tokens spent earlier).
     """
-    before = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce("already", F.lit(0)) + F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    return questions.withColumn("spent_before", spent).withColumn("started", spent < cap)
+    spent = F.coalesce("already", F.lit(0)) + F.col("total_before")
+    return (
+        running_total(questions, "run_id", "seq", "tokens")
+        .withColumn("spent_before", spent)
+        .withColumn("started", spent < cap)
+        .drop("total_before")
+    )
 
 
 def display_row(summary: DataFrame) -> DataFrame:
