@@ -85,7 +85,7 @@ def percent_complete(events: DataFrame) -> DataFrame:
     share = F.sum(F.col("weight") * fraction) / F.sum("weight")
     return counted.groupBy("build_id", "pipeline", "ready").agg(share.alias("share")).select(
         "build_id", "pipeline",
-        F.when(F.col("ready"), 100).otherwise(F.least(F.lit(99), F.floor(F.col("share") * 100))).cast("int").alias(
+        F.when(F.col("ready"), 100).otherwise(F.least(F.lit(99), F.floor(F.round(F.col("share") * 100, 9)))).cast("int").alias(
             "percent"
         ),
     )
@@ -105,7 +105,8 @@ def elapsed(events: DataFrame, ts: str = "ts") -> DataFrame:
     """Adds elapsed_ms since the build's first event (start found by a partial aggregate)."""
     start = events.groupBy("build_id").agg(F.min(ts).alias("_start"))
     return events.join(start, "build_id").withColumn(
-        "elapsed_ms", (F.unix_micros(ts) - F.unix_micros("_start")) / 1000.0
+        "elapsed_ms",
+        (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1000.0,
     ).drop("_start")
 
 
