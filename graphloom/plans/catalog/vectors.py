@@ -101,10 +101,12 @@ def _models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn12_prompted_texts",
-    """SELECT doc_id, length(text) + length('title: none | text: ') AS chars FROM documents""",
+    """SELECT doc_id, length(text) + CASE WHEN doc_id % 2 = 0 THEN length('title: none | text: ') ELSE 0 END AS chars FROM documents""",
 )
 def _prompted(spark: SparkSession, sf: str) -> DataFrame:
-    texts = World(spark, sf).table("documents").select("doc_id", F.lit("embeddinggemma-300m").alias("model_key"), "text")
+    texts = World(spark, sf).table("documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, "embeddinggemma-300m").otherwise("gte-large-en-v1.5").alias("model_key"), "text"
+    )
     return cov.prompted(texts, cov.models(spark), "document").select("doc_id", F.length("prompt").cast("long").alias("chars"))
 
 
@@ -119,9 +121,10 @@ def _encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("snk3_wrong_dims", "SELECT 'v' || vec_id AS chunk_id FROM embeddings WHERE label = 3")
 def _dims(spark: SparkSession, sf: str) -> DataFrame:
-    known = cov.models(spark).where("model_key = 'embeddinggemma-300m'").withColumn("dim", F.lit(64))
+    known = cov.models(spark).withColumn("dim", F.lit(64))
+    keys = F.array(*[F.lit(m[0]) for m in cov.MODELS])
     rows = World(spark, sf).vectors().select(
-        F.lit("embeddinggemma-300m").alias("model_key"), "chunk_id",
+        F.element_at(keys, (F.col("label") % 5 + 1).cast("int")).alias("model_key"), "chunk_id",
         F.when(F.col("label") == 3, F.slice("emb", 1, 63)).otherwise(F.col("emb")).alias("emb"),
     )
     return cov.wrong_dims(rows, known).select("chunk_id")
