@@ -8,7 +8,7 @@ import sys
 import time
 
 from graphloom.plans import catalog
-from graphloom.session import get_spark
+from graphloom.session import get_spark, local_checkpoints
 
 HEADLINE = (
     "agg1_count_where", "agg2_count_members", "top1_argmax", "jn1_lookup", "jn4_edition_walk", "jn8_venue_events",
@@ -22,7 +22,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     catalog.load()
-    spark = get_spark("bench", master=f"local[{cpus}]")
+    spark = local_checkpoints(get_spark("bench", master=f"local[{cpus}]"))
     spark.sparkContext.setLogLevel("ERROR")
     # Start-up and first-use costs stay out of the first query's time.
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()

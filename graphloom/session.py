@@ -40,19 +40,19 @@ def get_spark(app_name: str = "graphloom", master: str | None = None) -> SparkSe
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    A local session (tests) that names none gets a temporary folder; a cluster
-    session must name one, because executors cannot see the driver's disk.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; executors cannot see the driver's disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured
+
+
+def local_checkpoints(spark: SparkSession) -> SparkSession:
+    """For tests, the bench and other single-process runs: name a folder where the session has none."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import time
 import duckdb
 
 from graphloom.plans import catalog
-from graphloom.session import get_spark
+from graphloom.session import get_spark, local_checkpoints
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -82,7 +82,7 @@ def main(argv: list[str]) -> int:
     if argv and argv[0].startswith("/"):
         sf = argv.pop(0)
     catalog.load()
-    spark = get_spark(master="local[8]")
+    spark = local_checkpoints(get_spark(master="local[8]"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
