@@ -1,11 +1,13 @@
-"""Registered queries of this subpackage."""
+"""Registered queries of this subpackage, with their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm import line_dedup, secrets
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -18,6 +20,53 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assigned secrets, access keys and long hexadecimal runs of every document, as counts and spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda r: r["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = secrets.joined_spans(F.col("found"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _sql_spans(kind: str, place: int, pattern: str, value: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, start, start + length(hit) AS stop FROM (
+      SELECT doc_id, hits[i] AS hit, vals[i] AS val, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0))::BIGINT AS start
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT doc_id, string_split_regex(coalesce(text, ''), '{p}') AS gaps, regexp_extract_all(coalesce(text, ''), '{p}') AS hits,
+          regexp_extract_all(coalesce(text, ''), '{p}', {value}) AS vals FROM documents)))
+      WHERE length(val) >= {least}"""
+
+
+ORACLES["op2_secret_scan"] = f"""WITH f AS (
+  {_sql_spans("assign", 0, secrets.RULES[0].pattern, 2, 12)}
+  UNION ALL {_sql_spans("access", 1, r"AKIA[A-Z0-9]+", 0, 18)}
+  UNION ALL {_sql_spans("hex", 2, r"[0-9a-f]+", 0, 16)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that more than 2 % of their source's pages share."""
+    return line_dedup.drop_site_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op3_line_dedup"] = """WITH p AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+l AS (SELECT DISTINCT host, text, trim(line, ' ') AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
+b AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY ALL) JOIN t USING (host) WHERE n >= 5 AND n > 0.02 * pages),
+d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM d),
+k AS (SELECT doc_id, string_agg(lines[i], chr(10) ORDER BY i) AS text, count(*) AS kept FROM e
+  WHERE NOT EXISTS (FROM b WHERE b.host = e.host AND b.line = trim(lines[i], ' ')) GROUP BY doc_id)
+SELECT doc_id, coalesce(k.text, CASE WHEN lines IS NULL THEN NULL ELSE '' END) AS text, coalesce(len(lines), 0)::BIGINT AS n_lines,
+  (coalesce(len(lines), 0) - coalesce(kept, 0))::BIGINT AS n_removed FROM d LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose two-word shingle sets reach 0.8."""
