@@ -36,7 +36,7 @@ MARK = "<|endoftext|>"
 #: In texts of these characters alone the classes of ``re`` are the tokenizer's; other texts go to the tokenizer whole.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*"
 #: Merged pieces of this worker process, kept from task to task up to ``CACHE`` entries.
-_cache: dict[str, bytes] = {}
+_caches: dict[str, dict[str, bytes]] = {}
 
 
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -44,7 +44,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    cut, plain, cache = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, _cache
+    cut, plain, cache = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, _caches.setdefault(path, {})
 
     def raw(batch: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
