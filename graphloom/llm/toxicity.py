@@ -36,10 +36,11 @@ from graphloom.llm.words import mix
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
 LANDMARKS = 400
+START = "\x02"
 CACHE = 400_000
 #: Margins below this say no more.
 FLOOR = -1.5
-RIDGE = 0.1
+RIDGE = 0.001
 APART = re.compile(r"(?<!\S)\w(?:[ .*_-]\w){3,}(?!\S)")
 _OFFSETS = np.array([(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)])
 _WEIGHTS = DECAY ** (_OFFSETS[:, -1] + 1.0)
@@ -55,8 +56,15 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def parts(word: str) -> set[str]:
+    """Runs of ``ORDER + 1`` characters, the start of the word counted as one."""
+    bound = START + word
+    return {bound[i : i + ORDER + 1] for i in range(len(bound) - ORDER)}
+
+
 def describe(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, subsequence code, weight) of the words' subsequences, summed per code and scaled to unit length."""
+    words = [START + w for w in words]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -85,11 +93,12 @@ class Margins:
         self.codes, self.weights, self.bias, self.curve = codes, weights, bias, curve
 
     def of(self, words: list[str]) -> np.ndarray:
+        """Margins of the words; words too short for an insult get the intercept."""
         out = np.full(len(words), self.bias)
         if len(words) and len(self.codes):
             own, code, weight = describe(words)
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
+            hit = (self.codes[at] == code) & (np.fromiter(map(len, words), np.int64, len(words)) >= ORDER)[own]
             out += np.bincount(own[hit], weight[hit] * self.weights[at[hit]], len(words))
         return out
 
@@ -120,6 +129,22 @@ def _kernel(words: list[str], codes: np.ndarray, marks: np.ndarray) -> np.ndarra
     return dense
 
 
+def _machine_weights(features: np.ndarray, positives: int) -> np.ndarray:
+    """Weights and intercept of the linear machine; the first rows are the positives. Both kinds count alike."""
+    x = np.column_stack([features, np.ones(len(features))])
+    y = np.where(np.arange(len(x)) < positives, 1.0, -1.0)
+    cost = np.where(y > 0, 1 / positives, 1 / (len(x) - positives))
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton steps on the squared hinge loss: least squares over the rows inside the margin
+        active = y * (x @ w) < 1
+        weighted = x[active] * cost[active, None]
+        new = np.linalg.solve(weighted.T @ x[active] + RIDGE * np.eye(x.shape[1]), weighted.T @ y[active])
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = new
+    return w
+
+
 def train(rows: list[tuple[str, int]]) -> Margins:
     """The machine for labelled texts."""
     nothing = Margins(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -30.0]))
@@ -129,7 +154,7 @@ def train(rows: list[tuple[str, int]]) -> Margins:
     counts, grams = [Counter(), Counter()], [Counter(), Counter()]
     for bag, y in zip(bags, labels, strict=True):
         counts[int(y)].update(bag)
-        grams[int(y)].update({w[i : i + ORDER] for w in bag for i in range(len(w) - ORDER + 1)})
+        grams[int(y)].update(set().union(*map(parts, bag)))
     sizes = [(labels == y).sum() + 1.0 for y in (0, 1)]
 
     def odds(found: list[Counter], what: str, margin: float) -> float:
@@ -137,17 +162,17 @@ def train(rows: list[tuple[str, int]]) -> Margins:
         n0, n1 = found[0][what] + 0.5, found[1][what] + 0.5
         return np.log(n1 / sizes[1]) - np.log(n0 / sizes[0]) - margin * np.sqrt(1 / n0 + 1 / n1)
 
-    telling = {g for g in grams[1] if odds(grams, g, 2) > 1}
-    word_odds = {w: odds(counts, w, 2) for w in counts[1] if len(w) >= ORDER}
+    telling = {g for g in grams[1] if odds(grams, g, 3) > 1}
+    word_odds = {w: odds(counts, w, 3) for w in counts[1] if len(w) >= ORDER}
     positive = sorted(
-        (w for w, o in word_odds.items() if o > 1 or odds(counts, w, 0) > 1 and any(w[i : i + ORDER] in telling for i in range(len(w) - ORDER + 1))),
+        (w for w, o in word_odds.items() if o > 1 or odds(counts, w, 0) > 1 and not telling.isdisjoint(parts(w))),
         key=lambda w: (-word_odds[w], w),
     )[:2000]
     if not positive:
         return nothing
     # Negatives: words of clean documents, the frequent ones and those that look most like the positives.
     taken = set(positive)
-    clean = sorted((w for w in counts[0] if w not in taken and word_odds.get(w, -1) < 0 and len(w) >= ORDER), key=lambda w: (-counts[0][w], w))
+    clean = sorted((w for w in counts[0] if w not in taken and odds(counts, w, 0) < 1 and len(w) >= ORDER), key=lambda w: (-counts[0][w], w))
     own, code, weight = describe(positive)
     codes, column = np.unique(code, return_inverse=True)
     near = Margins(codes, np.bincount(column, weight), 0.0, nothing.curve).of(clean)
@@ -159,17 +184,13 @@ def train(rows: list[tuple[str, int]]) -> Margins:
     dense[own, column] = weight
     values, vectors = np.linalg.eigh(dense @ dense.T)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    x = np.column_stack([_kernel(positive + negative, codes, dense) @ root, np.ones(len(positive) + len(negative))])
-    y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
-    cost = np.where(y > 0, len(negative) / len(positive), 1.0) / len(negative)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on the squared hinge loss: least squares over the rows inside the margin
-        active = y * (x @ w) < 1
-        weighted = x[active] * cost[active, None]
-        new = np.linalg.solve(weighted.T @ x[active] + RIDGE * np.eye(x.shape[1]), weighted.T @ y[active])
-        if np.allclose(new, w, atol=1e-6):
-            break
-        w = new
+    values = _kernel(positive + negative, codes, dense) @ root
+    w = _machine_weights(values, len(positive))
+    for _ in range(2):  # the clean words that still look worst join the negatives
+        margins = Margins(codes, (root @ w[:-1]) @ dense, w[-1], nothing.curve).of(clean)
+        worst = [clean[i] for i in np.argsort(-margins, kind="stable")[:1500]]
+        values = np.vstack([values, _kernel(worst, codes, dense) @ root])
+        w = _machine_weights(values, len(positive))
     machine = Margins(codes, (root @ w[:-1]) @ dense, w[-1], nothing.curve)
     known = sorted(set().union(*bags))
     of = dict(zip(known, machine.of(known), strict=True))
