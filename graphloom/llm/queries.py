@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, line_dedup, packing, secrets, toxicity
+from graphloom.llm import decontaminate, line_dedup, packing, secrets, substring_dedup, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -92,3 +92,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without its passages of 35 words that stand elsewhere, too."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from graphloom.session import checkpoint_root
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder named by ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a second run of the plan.
     """
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # this write's shuffle files are of no further use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
