@@ -16,6 +16,7 @@ table gives no pieces; a piece of the full length fills a sequence.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,7 +30,8 @@ from pyspark.sql.window import Window
 from graphloom.llm.storage import keep, texts
 
 SALTS = 256
-CACHE = 600_000
+CACHE = 450_000
+ENCODED = 4_000
 # How the byte-level tokenizer cuts a text before merging, and its special mark.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 MARK = "<|endoftext|>"
@@ -43,11 +45,14 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian 32-bit words, with a bounded cache of merged pieces."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     cut, plain, cache = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, _caches.setdefault(path, {})
 
     def raw(batch: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
+        # Encodings are far larger than their ids, so only a few are held at a time.
+        parts = (tokenizer.encode_batch_fast(batch[i : i + ENCODED], add_special_tokens=False) for i in range(0, len(batch), ENCODED))
+        return [np.asarray(e.ids, "<u4").tobytes() for part in parts for e in part]
 
     def encode(batch: list[str]) -> list[bytes]:
         cuts = [None if MARK in text or not plain(text) else cut(text) for text in batch]
@@ -73,10 +78,9 @@ def _piece_rows(path: str, capacity: int, end: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(path)
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low in range(0, len(ids), 256):
-                out: list[tuple] = []
-                for doc_id, data in zip(ids[low : low + 256], encode([t or "" for t in found[low : low + 256]]), strict=True):
+            for low in range(0, batch.num_rows, 64):
+                part, out = batch.slice(low, 64), []
+                for doc_id, data in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     data, start = data + mark, 0
                     for k, length in enumerate(cut_lengths(len(data) // 4, capacity)):
                         out.append((doc_id, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, line_dedup, packing, secrets, substring_dedup, toxicity
+from graphloom.llm import decontaminate, line_dedup, nearest, packing, secrets, substring_dedup, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -99,3 +99,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document without its passages of 35 words that stand elsewhere, too."""
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
