@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, line_dedup, nearest, packing, secrets, substring_dedup, toxicity
+from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, secrets, substring_dedup, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -105,3 +105,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     return nearest.neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    text = html_text.extract(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
