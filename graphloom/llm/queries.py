@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, secrets, substring_dedup, toxicity
+from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, secrets, substring_dedup, surrogates, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -112,3 +112,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     text = html_text.extract(table(spark, sf_dir, "pages"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in the place of personal data. The key is a parameter; this one is for tests."""
+    return surrogates.replace(table(spark, sf_dir, "documents"), key="an example key")
