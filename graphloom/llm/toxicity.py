@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from graphloom.llm.storage import texts
 from graphloom.llm.words import mix
@@ -205,10 +206,12 @@ def train(rows: list[tuple[str, int]]) -> Margins:
 
 
 _margins: dict[str, float] = {}
-_machine: list[Margins | None] = [None]
+_machine: list[str | None] = [None]
 
 
-def _scored_rows(machine: Margins, version: str):
+def _scored_rows(machine: Margins, version: str, name: str):
+    """The rows' columns and their score as a last one."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _margins
         if _machine[0] != version:
@@ -217,14 +220,14 @@ def _scored_rows(machine: Margins, version: str):
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                bags = [words_of(t or "") for t in part.column(1).to_pylist()]
+                bags = [words_of(t or "") for t in part.column("text").to_pylist()]
                 new = [w for w in set().union(*bags) if w not in cache]
                 if len(cache) + len(new) > CACHE:
                     cache.clear()
                     new = list(set().union(*bags))
                 cache.update(zip(new, machine.of(new).tolist(), strict=True))
                 scores = machine.scores(top_margins(bags, cache, FLOOR))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, name])
 
     return rows
 
@@ -250,8 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 6000) -> Margins:
     return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
+def with_score(docs: DataFrame, machine: Margins, name: str = "score") -> DataFrame:
+    """``docs`` with the score of ``text`` as a last column ``name``."""
+    docs = docs.drop(name)
+    version = str(hash((machine.weights.tobytes(), machine.codes.tobytes())))
+    return docs.mapInArrow(_scored_rows(machine, version, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def score(docs: DataFrame, machine: Margins) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of ``docs``."""
-    version = str(hash((machine.weights.tobytes(), machine.codes.tobytes())))
-    scored = texts(docs).mapInArrow(_scored_rows(machine, version), "doc_id long, score double")
+    scored = with_score(texts(docs), machine)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
