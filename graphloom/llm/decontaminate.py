@@ -48,7 +48,7 @@ def _seed_rows(seeds: np.ndarray):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 runs = plain(text).hashes(SEED)
                 at = np.nonzero(filled[(runs >> np.uint64(44)).astype(np.int64)])[0]
-                if len(at) and len(at := at[np.isin(runs[at], seeds)]):
+                if len(at) and len(at := at[seeds[np.minimum(np.searchsorted(seeds, runs[at]), len(seeds) - 1)] == runs[at]]):
                     ids.append(doc_id)
                     places.append(at.astype(np.int32))
                     values.append(signed(runs[at]))

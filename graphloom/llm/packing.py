@@ -30,15 +30,16 @@ from pyspark.sql.window import Window
 from graphloom.llm.storage import keep, texts
 
 SALTS = 256
-CACHE = 450_000
+CACHE = 400_000
 ENCODED = 4_000
 # How the byte-level tokenizer cuts a text before merging, and its special mark.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 MARK = "<|endoftext|>"
 #: In texts of these characters alone the classes of ``re`` are the tokenizer's; other texts go to the tokenizer whole.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*"
-#: Merged pieces of this worker process, kept from task to task up to ``CACHE`` entries.
-_caches: dict[str, dict[str, bytes]] = {}
+#: Merged pieces of this worker process by tokenizer, kept from task to task: the current and the last generation, of about
+#: ``CACHE`` entries each. What is used again moves to the current one; the rest is forgotten.
+_caches: dict[str, list[dict[str, bytes]]] = {}
 
 
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -47,7 +48,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    cut, plain, cache = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, _caches.setdefault(path, {})
+    cut, plain, generations = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch, _caches.setdefault(path, [{}, {}])
 
     def raw(batch: list[str]) -> list[bytes]:
         # Encodings are far larger than their ids, so only a few are held at a time.
@@ -56,10 +57,12 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(batch: list[str]) -> list[bytes]:
         cuts = [None if MARK in text or not plain(text) else cut(text) for text in batch]
-        new = [p for p in set().union(*filter(None, cuts)) if p not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set().union(*filter(None, cuts)))
+        if len(generations[0]) > CACHE:
+            generations[:] = [{}, generations[0]]
+        cache, last = generations
+        new = {p for pieces in cuts if pieces for p in pieces if p not in cache}
+        cache.update((p, last[p]) for p in new if p in last)
+        new = [p for p in new if p not in last]
         cache.update(zip(new, raw(new), strict=True))
         return [raw([text])[0] if pieces is None else b"".join([cache[p] for p in pieces]) for text, pieces in zip(batch, cuts, strict=True)]
 

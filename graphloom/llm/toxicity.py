@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ ORDER, SPAN, DECAY = 4, 6, 0.6
 LANDMARKS = 400
 START = "\x02"
 CACHE = 400_000
+#: Words described at a time.
+CHUNK = 4_096
+#: Clean words looked at for negatives, the frequent ones first.
+CLEAN_WORDS = 100_000
 #: Margins below this say no more.
 FLOOR = -1.5
 RIDGE = 0.001
@@ -96,18 +101,21 @@ class Margins:
     def of(self, words: list[str]) -> np.ndarray:
         """Margins of the words; words too short for an insult get the intercept."""
         out = np.full(len(words), self.bias)
-        if len(words) and len(self.codes):
-            own, code, weight = describe(words)
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = (self.codes[at] == code) & (np.fromiter(map(len, words), np.int64, len(words)) >= ORDER)[own]
-            out += np.bincount(own[hit], weight[hit] * self.weights[at[hit]], len(words))
+        for low in range(0, len(words) if len(self.codes) else 0, CHUNK):
+            out[low : low + CHUNK] += self._sums(words[low : low + CHUNK])
         return out
 
+    def _sums(self, words: list[str]) -> np.ndarray:
+        own, code, weight = describe(words)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = (self.codes[at] == code) & (np.fromiter(map(len, words), np.int64, len(words)) >= ORDER)[own]
+        return np.bincount(own[hit], weight[hit] * self.weights[at[hit]], len(words))
+
     def scores(self, tops: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([tops, np.ones(len(tops))]) @ self.curve, -30, 30)))
 
 
-def top_margins(words: list[set[str]], of: dict[str, float], floor: float) -> np.ndarray:
+def top_margins(words: list[set[str]] | list[tuple[str, ...]], of: dict[str, float], floor: float) -> np.ndarray:
     """The three largest margins of each document's words, filled up with ``floor``."""
     out = np.full((len(words), 3), floor)
     for i, own in enumerate(words):
@@ -118,15 +126,17 @@ def top_margins(words: list[set[str]], of: dict[str, float], floor: float) -> np
 
 def _kernel(words: list[str], codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Kernel of each word with each landmark (rows of ``marks`` over ``codes``)."""
-    own, code, weight = describe(words)
-    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    hit = codes[at] == code
     dense = np.zeros((len(words), marks.shape[0]))
-    bounds = np.searchsorted(own := own[hit][order := np.argsort(own[hit], kind="stable")], np.arange(len(words) + 1))
-    columns, values = at[hit][order], weight[hit][order]
-    for i in range(len(words)):
-        part = slice(bounds[i], bounds[i + 1])
-        dense[i] = marks[:, columns[part]] @ values[part]
+    for low in range(0, len(words), CHUNK):
+        own, code, weight = describe(words[low : low + CHUNK])
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        hit = np.nonzero(codes[at] == code)[0]
+        hit = hit[np.argsort(own[hit], kind="stable")]
+        columns, values = at[hit], weight[hit]
+        bounds = np.searchsorted(own[hit], np.arange(min(CHUNK, len(words) - low) + 1))
+        for i in range(len(bounds) - 1):
+            part = slice(bounds[i], bounds[i + 1])
+            dense[low + i] = marks[:, columns[part]] @ values[part]
     return dense
 
 
@@ -146,22 +156,27 @@ def _machine_weights(features: np.ndarray, positives: int) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[str, int]]) -> Margins:
-    """The machine for labelled texts."""
+def train(rows: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0)) -> Margins:
+    """The machine for labelled texts. ``shares``: how many labelled documents a row of label 0 and of label 1 stands for."""
     nothing = Margins(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -30.0]))
-    bags, labels = [words_of(t or "") for t, _ in rows], np.array([y for _, y in rows])
+    same: dict[str, str] = {}
+    bags, labels = [tuple(same.setdefault(w, w) for w in sorted(words_of(t or ""))) for t, _ in rows], np.array([y for _, y in rows])
     if not (labels == 1).any() or not (labels == 0).any():
         return nothing
     counts, grams = [Counter(), Counter()], [Counter(), Counter()]
     for bag, y in zip(bags, labels, strict=True):
         counts[int(y)].update(bag)
-        grams[int(y)].update(set().union(*map(parts, bag)))
+        if y:
+            grams[1].update(set().union(*map(parts, bag)))
+    for bag, y in zip(bags, labels, strict=True):
+        if not y:
+            grams[0].update(grams[1].keys() & set().union(*map(parts, bag)))
     sizes = [(labels == y).sum() + 1.0 for y in (0, 1)]
 
     def odds(found: list[Counter], what: str, margin: float) -> float:
         """Log odds of a word or part of one in toxic against other documents, less ``margin`` standard errors."""
         n0, n1 = found[0][what] + 0.5, found[1][what] + 0.5
-        return np.log(n1 / sizes[1]) - np.log(n0 / sizes[0]) - margin * np.sqrt(1 / n0 + 1 / n1)
+        return log(n1 / sizes[1]) - log(n0 / sizes[0]) - margin * sqrt(1 / n0 + 1 / n1)
 
     telling = {g for g in grams[1] if odds(grams, g, 3) > 1}
     word_odds = {w: odds(counts, w, 3) for w in counts[1] if len(w) >= ORDER}
@@ -173,7 +188,8 @@ def train(rows: list[tuple[str, int]]) -> Margins:
         return nothing
     # Negatives: words of clean documents, the frequent ones and those that look most like the positives.
     taken = set(positive)
-    clean = sorted((w for w in counts[0] if w not in taken and odds(counts, w, 0) < 1 and len(w) >= ORDER), key=lambda w: (-counts[0][w], w))
+    clean = sorted((w for w in counts[0] if w not in taken and odds(counts, w, 0) < 1 and len(w) >= ORDER), key=lambda w: (-counts[0][w], w))[:CLEAN_WORDS]
+    del counts, grams, word_odds, telling, same
     own, code, weight = describe(positive)
     codes, column = np.unique(code, return_inverse=True)
     near = Margins(codes, np.bincount(column, weight), 0.0, nothing.curve).of(clean)
@@ -196,11 +212,12 @@ def train(rows: list[tuple[str, int]]) -> Margins:
     known = sorted(set().union(*bags))
     of = dict(zip(known, machine.of(known), strict=True))
     tops = np.column_stack([top_margins(bags, of, FLOOR), np.ones(len(bags))])
+    counted = np.where(labels == 1, shares[1], shares[0]) / max(shares)
     curve = np.zeros(4)
     for _ in range(30):  # Newton steps of a regularised logistic fit
         p = 1 / (1 + np.exp(-np.clip(tops @ curve, -30, 30)))
-        hessian = (tops * (p * (1 - p))[:, None]).T @ tops + np.eye(4)
-        curve -= np.linalg.solve(hessian, tops.T @ (p - labels) + curve)
+        hessian = (tops * (counted * p * (1 - p))[:, None]).T @ tops + np.eye(4)
+        curve -= np.linalg.solve(hessian, tops.T @ (counted * (p - labels)) + curve)
     machine.curve = curve
     return machine
 
@@ -237,20 +254,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 6000) -> Margins:
-    """The machine learned from at most ``train_docs`` labelled documents outside the held-out fold, half of each label."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> Margins:
+    """The machine learned from at most ``train_docs`` labelled documents outside the held-out fold, at most a quarter of them toxic."""
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = None
-    for label in (0, 1):
-        part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2)
+    for label, most in ((0, train_docs - train_docs // 4), (1, train_docs // 4)):
+        part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     ids = {r["doc_id"]: r["toxic"] for r in chosen.collect()}
     wanted = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, toxic int")
-    rows = texts(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    found = texts(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+    rows = [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+    shares = tuple(totals.get(y, 0) / max(1, sum(1 for _, own in rows if own == y)) for y in (0, 1))
+    return train(rows, shares if min(shares) > 0 else (1.0, 1.0))
 
 
 def with_score(docs: DataFrame, machine: Margins, name: str = "score") -> DataFrame:

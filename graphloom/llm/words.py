@@ -1,9 +1,9 @@
 """Words of a text and fingerprints of runs of words, vectorised over one document at a time.
 
 A word is a run of bytes outside the six ASCII blanks (space, tab, line feed, vertical tab, form feed, carriage
-return), which is what ``bytes.split()`` returns. Fingerprints are 64-bit polynomial hashes over the words joined by
-one space: equal word runs get equal values whatever blanks stood between them, and every run of a text is read off one
-prefix sum.
+return), which is what ``bytes.split()`` returns. A word's fingerprint is a 64-bit polynomial hash of its bytes and a
+run's one of its words' fingerprints: equal runs get equal values whatever blanks stood between the words, and all runs of
+a text are read off two prefix sums.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**60, 2**62)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 2**64)
+_BLANK = np.isin(np.arange(256), np.frombuffer(b"\x20\t\n\v\f\r", np.uint8))
+_powers = np.ones(1, np.uint64)
+_inverse_BLANK = np.isin(np.arange(256), np.frombuffer(b"\x20\t\n\v\f\r", np.uint8))
 _powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,27 +42,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """The words of one text, with fingerprints of its runs of words."""
+    """Fingerprints of the runs of words of one text."""
 
     def __init__(self, text: bytes | None):
-        self.words = (text or b"").split()
-        self.n = len(self.words)
-        joined = b" ".join(self.words)
-        lengths = np.fromiter(map(len, self.words), np.int64, self.n)
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        powers, self._back = _grown(len(joined) + 1)
-        self._prefix = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_BYTE[np.frombuffer(joined, np.uint8)] * powers[: len(joined)], out=self._prefix[1:])
+        raw = np.frombuffer(text or b"", np.uint8)
+        blank = np.ones(len(raw) + 2, bool)
+        np.take(_BLANK, raw, out=blank[1:-1])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        self.n = len(starts)
+        powers, back = _grown(len(raw) + 1)
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers[: len(raw)], out=prefix[1:])
+        lengths = (ends - starts).astype(np.uint64)
+        self._words = mix((prefix[ends] - prefix[starts]) * back[starts] ^ lengths * np.uint64(0x9E3779B97F4A7C15))
+        self._sums: np.ndarray | None = None
 
     def hashes(self, size: int) -> np.ndarray:
         """Fingerprint of each run of ``size`` consecutive words, in order; empty if there are fewer words."""
         count = self.n - size + 1
-        if count <= 0:
+        if count <= 0 or not size:
             return np.zeros(0, np.uint64)
-        starts, ends = self.starts[:count], self.ends[size - 1 :]
-        spans = (self._prefix[ends] - self._prefix[starts]) * self._back[starts]
-        return mix(spans ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        if size == 1:
+            return self._words
+        powers, back = _grown(self.n + 1)
+        if self._sums is None:
+            self._sums = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(self._words * powers[: self.n], out=self._sums[1:])
+        return mix((self._sums[size:] - self._sums[:count]) * back[:count] + np.uint64(size))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
