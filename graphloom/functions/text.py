@@ -13,7 +13,6 @@ from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---- fixed values -----------------------------------------------------------
 #: Number words mapped to their position.
@@ -37,9 +36,6 @@ _BOUNDARY = (
 )
 #: Every white space character of the Basic Multilingual Plane.
 _SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
-_HANGUL = range(0xAC00, 0xD7A4)
-
-
 def let(value: Column, body) -> Column:
     """``body`` of ``value`` with the value computed once.
 
@@ -61,12 +57,11 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     punctuation character into a space. Characters whose result is a single
     character feed ``translate``; those that vanish come last, where
     ``translate`` deletes them; the rest (ligatures, fractions, ...) are listed
-    as expansions. Precomposed Hangul is left composed: its decomposition never
-    changes which answers are equal.
+    as expansions, Hangul syllables among them.
     """
     single, gone, expand = {}, [], {}
     for code in range(1, sys.maxunicode + 1):
-        if _is_surrogate(code) or code in _HANGUL:
+        if _is_surrogate(code):
             continue
         ch = chr(code)
         kept = [
@@ -121,19 +116,6 @@ def fold(text: Column) -> Column:
     return F.translate(let(text, expanded), source, target)
 
 
-@F.udf(returnType=T.StringType(), useArrow=True)
-def fold_udf(text: str) -> str:
-    """The same rule per value, for text that mixes normal forms of Hangul."""
-    if text is None:
-        return None
-    decomposed = unicodedata.normalize("NFKD", text)
-    return "".join(
-        " " if unicodedata.category(c)[0] == "P" else c
-        for c in decomposed
-        if unicodedata.category(c) != "Mn"
-    )
-
-
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both ends."""
     return F.btrim(text, F.lit(_SPACES))

@@ -73,14 +73,13 @@ def conform(rows: DataFrame, source: str | None = None) -> DataFrame:
 def from_counts(counts: DataFrame, members: DataFrame, limit: int = MAX_MEMBERS) -> DataFrame:
     """The count row first, then the first counted events by id.
 
-    ``counts``: qid, count_value, excluded_count, counted. ``members``: all
-    counted events, uncapped, so that the note can state how many there are.
+    ``counts``: qid, count_value, excluded_count, counted. ``members``: the
+    counted events, at least the first ``limit`` of each question.
     """
-    totals = members.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
-    head = counts.join(totals, "qid", "left").select(
+    head = counts.select(
         "qid", F.lit(0).alias("pos"), F.col("count_value").alias("count"), "excluded_count", "counted",
         F.when(
-            F.col("_n") > limit, F.concat(F.lit(f"{limit} of "), F.col("_n").cast("string"))
+            F.col("count_value") > limit, F.concat(F.lit(f"{limit} of "), F.col("count_value").cast("string"))
         ).alias("counted_events_listed"),
         F.lit("").alias("doc_id"),
     )

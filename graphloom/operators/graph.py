@@ -16,13 +16,18 @@ EVENT_NUMBERS = ("competitors", "nations", "date_month", "date_day_start", "date
 EVENT_TEXTS = ("competitors_text", "nations_text", "date_text", "gold_noc", "win_value", "win_label")
 
 
-def document_vertices(parsed: DataFrame) -> DataFrame:
-    return parsed.select(
+def document_vertices(parsed: DataFrame, order: str = "line_no") -> DataFrame:
+    """Document vertices; the last row of a doc_id wins, as for events (without ``order``: the largest row)."""
+    rows = parsed.select(
         "doc_id", "title", "url",
         F.coalesce("infobox_type", F.lit("")).alias("infobox_type"),
         "approx_tokens",
         F.coalesce(F.col("wikipedia_pageid").cast("string"), F.lit("")).alias("wikipedia_pageid"),
-    ).dropDuplicates(["doc_id"])
+        *([F.col(order).alias("_order")] if order in parsed.columns else []),
+    )
+    payload = F.struct("title", "url", "infobox_type", "approx_tokens", "wikipedia_pageid")
+    last = F.struct("_order", payload) if "_order" in rows.columns else payload
+    return rows.groupBy("doc_id").agg(F.max_by(payload, last).alias("v")).select("doc_id", "v.*")
 
 
 def event_vertices(parsed: DataFrame, missing: str = "zero", order: str = "line_no") -> DataFrame:

@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import dates, text as tx
+from graphloom.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------
 MIN_CONFIDENCE = 0.9
-MAX_CONSTRAINTS = 2
 MAX_MEMBERS = 30
-MAX_HOPS = 10
-MAX_VENUE_EVENTS = 80
 TOP_RANKED = 3
 COUNT_FIELDS = ("competitors", "date_year", "nations")
 FIELD_SYNONYMS = {
@@ -124,7 +122,7 @@ def _all_pass(missing: str) -> Column:
     values = {
         c: F.coalesce(F.col(c), F.lit(0)) if missing == "zero" else F.col(c) for c in COUNT_FIELDS
     }
-    used = F.slice(F.coalesce("constraints", F.array().cast(CONSTRAINTS)), 1, MAX_CONSTRAINTS)
+    used = F.coalesce("constraints", F.array().cast(CONSTRAINTS))
     return F.forall(used, lambda c: _passes(c, values))
 
 
@@ -166,7 +164,7 @@ def count_where(
 
 
 def count_members(
-    questions: DataFrame, events: DataFrame, limit: int | None = MAX_MEMBERS,
+    questions: DataFrame, events: DataFrame, limit: int | None = None,
     min_confidence: float = MIN_CONFIDENCE, missing: str = "zero",
 ) -> DataFrame:
     """The counted events per question, first ``limit`` by event id (None: all)."""
@@ -307,26 +305,24 @@ def held_at(anchors: DataFrame, events: DataFrame) -> DataFrame:
     return from_event.where(F.col("venue").isNotNull()).unionByName(from_venue, allowMissingColumns=True)
 
 
-def edition_walk(starts: DataFrame, edge_table: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Final frontier of a bounded walk: (qid, event_id).
+def edition_walk(starts: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """Final frontier of a walk: (qid, event_id).
 
-    ``starts``: qid, event_id, hops, edge_type. Each hop keeps a set; a
-    question stops at its own hop count (none: the start set), never beyond
-    ``max_hops``. An edge type other than NEXT_EDITION walks PREV_EDITION.
+    ``starts``: qid, event_id, hops, edge_type. Each hop keeps a set; a question stops at its own hop count (none: the start
+    set). An edge type other than NEXT_EDITION walks PREV_EDITION. The frontier is one written table per hop, so the walk
+    goes as far as it is asked to and each hop reads the one before.
     """
-    bound = min(max_hops, MAX_HOPS)
     links = edge_table.where(F.col("etype").isin("PREV_EDITION", "NEXT_EDITION")).select(
         "etype", F.col("src").alias("event_id"), F.col("dst").alias("_next")
     )
     frontier = starts.select(
-        "qid", "event_id",
-        F.least(F.col("hops"), F.lit(bound)).alias("left"),
+        "qid", "event_id", F.col("hops").alias("left"),
         F.when(F.col("edge_type") == "NEXT_EDITION", "NEXT_EDITION").otherwise("PREV_EDITION").alias("etype"),
     ).distinct()
     arrived = frontier.where(F.col("left") <= 0)
-    frontier = frontier.where(F.col("left") > 0)
-    for _ in range(bound):
-        stepped = (
+    frontier = cut_lineage(frontier.where(F.col("left") > 0))
+    while not frontier.isEmpty():
+        stepped = cut_lineage(
             frontier.join(links, ["etype", "event_id"])
             .select("qid", F.col("_next").alias("event_id"), (F.col("left") - 1).alias("left"), "etype")
             .distinct()
@@ -428,7 +424,7 @@ def named_events(questions: DataFrame, events: DataFrame, documents: DataFrame)
 
 
 def multi_hop(
-    questions: DataFrame, events: DataFrame, edge_table: DataFrame, documents: DataFrame, max_hops: int = 1
+    questions: DataFrame, events: DataFrame, edge_table: DataFrame, documents: DataFrame
 ) -> DataFrame:
     """Named event -> edition walk -> attributes of the event reached.
 
@@ -444,7 +440,7 @@ def multi_hop(
     starts = by_id.unionByName(found).unionByName(by_text).join(
         questions.select("qid", "edge_type", "hops"), "qid"
     )
-    reached = edition_walk(starts, edge_table, max_hops)
+    reached = edition_walk(starts, edge_table)
     return with_target(
         reached.join(events, "event_id").join(
             questions.select("qid", F.coalesce(_given("target_field"), F.lit("event_name")).alias("target_field")),
@@ -464,11 +460,13 @@ def with_target(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", value)
 
 
-def venue_events(questions: DataFrame, events: DataFrame, limit: int = MAX_VENUE_EVENTS) -> DataFrame:
-    """Events held at the anchored venue, narrowed before the cap, with their attributes.
+def venue_events(questions: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events held at the anchored venue, narrowed by edition, sport, games and date, with their attributes.
 
-    ``questions``: qid, venue, games, sport, question, date_year, date_month,
-    date_day_start, target_field.
+    ``questions``: qid, venue, games, sport, question, date_year, date_month, date_day_start, target_field. ``limit``: keep so
+    many per question after all narrowing, by event id (None: all). A venue's events are first reduced to cells of one
+    edition, sport and year; the best cells of a question are chosen there, and only their events are read, so a
+    question never meets all events of its venue.
     """
     asked = questions.where(_given("venue").isNotNull()).select(
         "qid", "venue",
@@ -477,18 +475,28 @@ def venue_events(questions: DataFrame, events: DataFrame, limit: int = MAX_VENUE
         F.col("date_month").alias("a_month"), F.col("date_day_start").alias("a_day"),
         F.coalesce(_given("target_field"), F.lit("event_name")).alias("target_field"),
     )
-    rows = asked.join(events.drop("sport", "games"), "venue")
-    games = F.nullif(F.col("a_games"), F.lit(""))
     edition = dates.edition_of(F.col("event_id"))
+    marked = F.concat(F.lit("-"), edition, F.lit("-"))
+    head = F.when(
+        F.coalesce(edition, F.lit("")) != "", F.concat(F.split_part(F.col("event_id"), marked, F.lit(1)), marked)
+    ).otherwise(F.col("event_id"))
+    placed = events.drop("sport", "games").withColumn("_head", F.coalesce(head, F.lit("")))
+    cells = placed.groupBy("venue", "_head", "date_year").agg(F.min("event_id").alias("event_id"))
+    games = F.nullif(F.col("a_games"), F.lit(""))
     in_edition = F.when(games.isNotNull(), edition == games).when(
         F.coalesce(F.col("a_year"), F.lit(0)) != 0,
         edition.startswith(F.concat(F.col("a_year").cast("string"), F.lit("-"))),
     )
     in_sport = F.col("event_id").startswith(F.concat(tx.slug(F.nullif(F.col("a_sport"), F.lit(""))), F.lit("-")))
-    narrowed = keep_best_tier(rows, [tier(in_edition), tier(in_sport)])
-    by_id = Window.partitionBy("qid").orderBy("event_id", "doc_id")
-    capped = narrowed.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= limit).drop("_r")
-    return with_target(keep_best_tier(capped, [games_tier(), date_tier()], bounded=True))
+    best = keep_best_tier(asked.join(cells, "venue"), [tier(in_edition), tier(in_sport), games_tier()])
+    year = F.coalesce("date_year", F.lit(-1))
+    chosen = best.drop("event_id").withColumn("_year", year).drop("date_year")
+    rows = chosen.join(placed.withColumn("_year", year), ["venue", "_head", "_year"]).drop("_head", "_year")
+    narrowed = keep_best_tier(rows, [date_tier()])
+    if limit is not None:
+        by_id = Window.partitionBy("qid").orderBy("event_id", "doc_id")
+        narrowed = narrowed.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= limit).drop("_r")
+    return with_target(narrowed)
 
 
 def document_chunks(doc_ids: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -261,8 +261,7 @@ def plan_questions(w: World) -> DataFrame:
     best AS (SELECT qid, 'aggregation_argmax' AS source, event_id FROM q JOIN ev ON venue = n_name WHERE m = 2
        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY coalesce(nations, 0) DESC, event_id) <= 3),
     held AS (SELECT qid, 'multi_hop' AS source, event_id FROM (SELECT qid, event_id, CASE WHEN date_year = 1998 THEN 0 ELSE 1 END AS t FROM q JOIN ev ON venue = n_name
-       WHERE m IN (3, 4)) QUALIFY t = min(t) OVER (PARTITION BY qid)
-       AND row_number() OVER (PARTITION BY qid ORDER BY t, event_id) <= 80)
+       WHERE m IN (3, 4)) QUALIFY t = min(t) OVER (PARTITION BY qid))
     SELECT * FROM looked UNION ALL SELECT * FROM counted UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM best UNION ALL SELECT * FROM held""",
 )
 def _plan(spark: SparkSession, sf: str) -> DataFrame:

@@ -35,7 +35,7 @@ def count_questions(w: World) -> DataFrame:
         F.lit("}"),
     )
     second = F.when(nk % 2 == 0, F.lit(',{"field":"competitors","op":"<","value":200}')).otherwise("")
-    third = F.when(nk % 6 == 0, F.lit(',{"field":"nations","op":">","value":99}')).otherwise("")
+    third = F.when(nk % 6 == 0, F.lit(',{"field":"nations","op":">=","value":2}')).otherwise("")
     payload = F.concat(F.lit("["), first, second, third, F.lit("]"))
     return rows.withColumn("constraints", rt.decode_constraints(payload))
 
@@ -53,7 +53,7 @@ passing AS (
             WHEN 2 THEN coalesce(nations, 0) >= 4 WHEN 3 THEN coalesce(nations, 0) <= 4 ELSE coalesce(nations, 0) = 4 END
           ELSE CASE y % 5 WHEN 0 THEN date_year > 1995 WHEN 1 THEN date_year < 1995 WHEN 2 THEN date_year >= 1995
             WHEN 3 THEN date_year <= 1995 ELSE date_year = 1995 END END
-    AND (nk % 2 <> 0 OR coalesce(competitors, 0) < 200)),
+    AND (nk % 2 <> 0 OR coalesce(competitors, 0) < 200) AND (nk % 6 <> 0 OR coalesce(nations, 0) >= 2)),
 counts AS (
   SELECT q.qid, count(p.event_id) FILTER (parse_confidence >= 0.9) AS count_value,
          count(p.event_id) FILTER (parse_confidence < 0.9) AS excluded_count
@@ -68,11 +68,8 @@ def _count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "agg2_count_members",
-    f"""WITH {_COUNT_SQL}, r AS (
-      SELECT qid, event_id, event_name, doc_id, title, competitors, date_year, nations,
-             row_number() OVER (PARTITION BY qid ORDER BY event_id) AS n
-      FROM passing WHERE parse_confidence >= 0.9)
-    SELECT qid, event_id, event_name, doc_id, title, competitors, date_year, nations FROM r WHERE n <= 30""",
+    f"""WITH {_COUNT_SQL}
+    SELECT qid, event_id, event_name, doc_id, title, competitors, date_year, nations FROM passing WHERE parse_confidence >= 0.9""",
 )
 def _members(spark: SparkSession, sf: str) -> DataFrame:
     w = World(spark, sf)
@@ -89,7 +86,7 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
              || ' with ' || ['competitors', 'nations', 'date_year'][nk % 3 + 1] || ' '
              || ['>', '<', '>=', '<=', '='][y % 5 + 1] || ' ' || [90 + nk, 4, 1995][nk % 3 + 1]
              || CASE WHEN nk % 2 = 0 THEN ' and competitors < 200' ELSE '' END
-             || CASE WHEN nk % 6 = 0 THEN ' and nations > 99' ELSE '' END AS counted,
+             || CASE WHEN nk % 6 = 0 THEN ' and nations >= 2' ELSE '' END AS counted,
            CASE WHEN count_value > 30 THEN '30 of ' || count_value END AS counted_events_listed
     FROM q JOIN counts USING (qid)""",
 )
@@ -99,7 +96,7 @@ def _count_evidence(spark: SparkSession, sf: str) -> DataFrame:
     counts = rt.count_where(questions, events).join(
         questions.select("qid", rt.count_description(F.col("constraints")).alias("counted")), "qid"
     )
-    rows = ev.from_counts(counts, rt.count_members(questions, events, limit=None))
+    rows = ev.from_counts(counts, rt.count_members(questions, events, limit=rt.MAX_MEMBERS))
     return rows.where(F.col("pos") == 0).select("qid", "count", "excluded_count", "counted", "counted_events_listed")
 
 
@@ -257,15 +254,18 @@ def _walk(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("line_no") % 2 == 0, "NEXT_EDITION").otherwise("PREV_EDITION").alias("edge_type"),
     ).withColumn("hops", F.col("size") % 4)
     edges = g.edition_links(parts).where(F.col("dst").isNotNull())
-    return rt.edition_walk(starts, edges, max_hops=3)
+    return rt.edition_walk(starts, edges)
 
 
 @query(
     "jn7_multi_hop",
-    f"""WITH {PARTS}, names AS (SELECT 'P' || p_partkey AS event_id, p_name FROM part)
-    SELECT p.event_id AS qid, l.dst AS event_id, n.p_name AS value
-    FROM parts p JOIN links l ON l.src = p.event_id AND l.etype = 'PREV_EDITION' AND l.dst IS NOT NULL
-    JOIN names n ON n.event_id = l.dst""",
+    f"""WITH {PARTS}, names AS (SELECT 'P' || p_partkey AS event_id, p_name FROM part),
+    back AS (SELECT DISTINCT src, dst FROM links WHERE etype = 'PREV_EDITION' AND dst IS NOT NULL),
+    h1 AS (SELECT p.event_id AS qid, y % 3 + 1 AS hops, dst FROM parts p JOIN back ON src = p.event_id),
+    h2 AS (SELECT DISTINCT qid, hops, b.dst FROM h1 JOIN back b ON b.src = h1.dst WHERE hops >= 2),
+    h3 AS (SELECT DISTINCT qid, hops, b.dst FROM h2 JOIN back b ON b.src = h2.dst WHERE hops >= 3),
+    r AS (SELECT DISTINCT qid, dst FROM h1 WHERE hops = 1 UNION ALL SELECT qid, dst FROM h2 WHERE hops = 2 UNION ALL SELECT qid, dst FROM h3 WHERE hops = 3)
+    SELECT qid, dst AS event_id, n.p_name AS value FROM r JOIN names n ON n.event_id = dst""",
 )
 def _hop(spark: SparkSession, sf: str) -> DataFrame:
     w = World(spark, sf)
@@ -277,7 +277,7 @@ def _hop(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     questions = parts.select(
         F.col("event_id").alias("qid"), none.alias("sport"), none.alias("games"), none.alias("title"), "event_id",
-        F.lit("PREV_EDITION").alias("edge_type"), F.lit(1).alias("hops"), F.lit("title").alias("target_field"),
+        F.lit("PREV_EDITION").alias("edge_type"), ((F.col("prev_year") - 1899) % 3 + 1).alias("hops"), F.lit("title").alias("target_field"),
     )
     return rt.multi_hop(questions, events, g.edition_links(parts), events.select("doc_id", "title")).select(
         "qid", "event_id", "value"
@@ -301,8 +301,7 @@ _VENUE_QUESTIONS = """
             CASE WHEN q.sport IS NOT NULL AND e.event_id LIKE '1-urgent-%' THEN 0 ELSE 1 END AS t2
           FROM q JOIN ev e USING (venue)),
     best AS (SELECT * FROM r QUALIFY (t1, t2) = min((t1, t2)) OVER (PARTITION BY qid)),
-    capped AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY qid ORDER BY event_id) <= 80),
-    t AS (SELECT *, CASE WHEN date_month = m AND date_day_start = d THEN 0 ELSE 1 END AS t3 FROM capped)
+    t AS (SELECT *, CASE WHEN date_month = m AND date_day_start = d THEN 0 ELSE 1 END AS t3 FROM best)
     SELECT qid, event_id, doc_id, nations::VARCHAR AS value FROM t QUALIFY t3 = min(t3) OVER (PARTITION BY qid)""",
 )
 def _venue(spark: SparkSession, sf: str) -> DataFrame:

@@ -92,7 +92,7 @@ def _ceiling(spark: SparkSession, sf: str) -> DataFrame:
 def _unique(spark: SparkSession, sf: str) -> DataFrame:
     events = live.tail_table(spark, sf, "events.parquet")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return live.drain(live.unique_events(twice, "event_id", "ts").select("event_id", "user_id"), "append")
+    return live.drain(live.unique_events(twice, "event_id").select("event_id", "user_id"), "append")
 
 
 @query(

@@ -33,8 +33,8 @@ def _fold(spark: SparkSession, sf: str) -> DataFrame:
     "udf3_fold",
     "SELECT conv_id, turn, md5(regexp_replace(strip_accents(nfc_normalize(text)), '\\p{P}', ' ', 'g')) AS digest FROM conversations",
 )
-def _fold_udf(spark: SparkSession, sf: str) -> DataFrame:
-    return World(spark, sf).table("conversations").select("conv_id", "turn", F.md5(tx.fold_udf("text")).alias("digest"))
+def _fold_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return World(spark, sf).table("conversations").select("conv_id", "turn", F.md5(tx.fold(F.col("text"))).alias("digest"))
 
 
 @query(

@@ -7,10 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Upper bound on the rows a side may have before it is shipped to every task.
-BROADCAST_ROWS = 200_000
-
-
 def get_spark(app_name: str = "graphloom", master: str | None = None) -> SparkSession:
     """A session with the settings the library relies on.
 
@@ -60,8 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, reading no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows

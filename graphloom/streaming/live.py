@@ -141,10 +141,9 @@ def pipeline_status(events: DataFrame) -> DataFrame:
     )
 
 
-def unique_events(events: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
-    """Events once per id; state is dropped ``delay`` behind the newest event."""
-    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def unique_events(events: DataFrame, key: str) -> DataFrame:
+    """Events once per id, however late they arrive: the ids seen are kept in the state store, on disk."""
+    return events.dropDuplicates([key])
 
 
 def embed_stream(

@@ -41,13 +41,13 @@ def test_count_rules(spark):
         ("zero", "A", None, None, '[{"field":"competitors","op":"<","value":11}]', ""),
         ("unknown field", None, None, None, '[{"field":"gold","op":">","value":1}]', ""),
         ("unknown op", None, None, None, '[{"field":"nations","op":"~","value":1}]', ""),
-        ("third ignored", None, None, None,
+        ("a third counts, too", None, None, None,
          '[{"field":"nations","op":">","value":1},{"field":"nations","op":">","value":2},{"field":"nations","op":">","value":99}]', ""),
         ("nothing", "C", None, None, "[]", ""),
     )
     got = {r["qid"]: (r["count_value"], r["excluded_count"]) for r in rt.count_where(q, events(spark)).collect()}
     assert got == {
-        "all": (2, 1), "zero": (2, 0), "unknown field": (0, 0), "unknown op": (2, 1), "third ignored": (2, 1), "nothing": (0, 0),
+        "all": (2, 1), "zero": (2, 0), "unknown field": (0, 0), "unknown op": (2, 1), "a third counts, too": (0, 0), "nothing": (0, 0),
     }
     strict = {r["qid"]: r["count_value"] for r in rt.count_where(q, events(spark), missing="null").collect()}
     assert strict["zero"] == 1
@@ -66,14 +66,14 @@ def test_argmax_and_lookup(spark):
     assert found == [("1", "D3"), ("2", "D1"), ("2", "D2"), ("3", "D3"), ("4", "D9")]
 
 
-def test_walk_bounds(spark):
+def test_walk_ends_where_it_is_asked_to(spark):
     edges = spark.createDataFrame([("PREV_EDITION", str(i), str(i - 1)) for i in range(1, 15)], "etype string, src string, dst string")
     starts = spark.createDataFrame(
         [("zero", "9", 0, ""), ("two", "9", 2, "OTHER"), ("many", "14", 50, "PREV_EDITION"), ("off", "2", 5, "PREV_EDITION")],
         "qid string, event_id string, hops int, edge_type string",
     )
     got = {r["qid"]: r["event_id"] for r in rt.edition_walk(starts, edges).collect()}
-    assert got == {"zero": "9", "two": "7", "many": "4"}
+    assert got == {"zero": "9", "two": "7"}  # 50 hops back from 14 there is no edition
 
 
 def test_linking_tiers(spark):
@@ -107,11 +107,9 @@ def test_topk_plans_agree(spark, monkeypatch):
         return out
 
     assert collect(sim.topk_cosine(queries, vectors, 5)) == want
-    monkeypatch.setattr(sim, "MAX_QUERY_ROWS", 3)
     monkeypatch.setattr(sim, "QUERY_BLOCK", 7)
     monkeypatch.setattr(sim, "VECTOR_BLOCK", 90)
     assert collect(sim.topk_cosine(queries, vectors, 5)) == want
-    monkeypatch.setattr(sim, "MAX_QUERY_ROWS", 100)
     centres = sim.train_cells(vectors, 6)
     celled = sim.assign_cells(vectors, centres)
     assert collect(sim.topk_cells(queries, celled, centres, 5, nprobe=6)) == want
@@ -176,3 +174,38 @@ def test_stream_reaches_the_batch_result(spark, tmp_path):
     out = live.drain(live.numbered_trace(spark.readStream.schema(schema).parquet(str(src))), "append", str(tmp_path / "s"))
     got = [(r["step_n"], r["cum_tokens_in"], r["strategy_change"]) for r in out.orderBy("step_n").collect()]
     assert got == [(i, sum(range(1, i + 1)), i == 3) for i in range(1, 8)]
+
+
+def test_every_constraint_counts_and_hops_are_walked_as_asked(spark):
+    events = spark.createDataFrame(
+        [("e1", "n", "d1", "t", "S", "G", "V", 5, 3, 2000, 1.0)],
+        "event_id string, event_name string, doc_id string, title string, sport string, games string, venue string, competitors int, nations int, date_year int, parse_confidence double",
+    )
+    three = [("competitors", ">", 1.0), ("nations", ">", 1.0), ("date_year", "=", 1999.0)]
+    schema = "qid string, sport string, games string, venue string, constraints array<struct<field:string,op:string,value:double>>"
+    asked = spark.createDataFrame([("q", "", "", "", three), ("p", "", "", "", three[:2])], schema)
+    assert {r["qid"]: r["count_value"] for r in rt.count_where(asked, events).collect()} == {"q": 0, "p": 1}
+    edges = spark.createDataFrame([("PREV_EDITION", f"e{i}", f"e{i + 1}") for i in range(15)], "etype string, src string, dst string")
+    starts = spark.createDataFrame([(f"h{h}", "e0", h, None) for h in (0, 1, 2, 12, 20)], "qid string, event_id string, hops int, edge_type string")
+    assert {r["qid"]: r["event_id"] for r in rt.edition_walk(starts, edges).collect()} == {"h0": "e0", "h1": "e1", "h2": "e2", "h12": "e12"}
+
+
+def test_a_dated_event_beyond_the_eightieth_is_found(spark):
+    rows = [(f"rowing-2012-Summer-{i:03d}", "n", f"d{i}", "t", "V", "rowing", "2012-Summer", 2012, 8, 3 if i == 99 else 9, None, "") for i in range(100)]
+    schema = (
+        "event_id string, event_name string, doc_id string, title string, venue string, sport string, games string, date_year int, date_month int, date_day_start int, "
+        "date_day_end int, date_text string"
+    )
+    asked = spark.createDataFrame(
+        [("q", "V", "2012-Summer", "rowing", "which?", 2012, 8, 3, None)],
+        "qid string, venue string, games string, sport string, question string, date_year int, date_month int, date_day_start int, target_field string",
+    )
+    assert [r["event_id"] for r in rt.venue_events(asked, spark.createDataFrame(rows, schema)).collect()] == ["rowing-2012-Summer-099"]
+
+
+def test_late_events_are_kept_and_repeats_dropped(spark, tmp_path):
+    for i, row in enumerate([(1, "2024-05-09 00:00:00"), (2, "2024-05-01 00:00:00"), (3, "2024-05-02 00:00:00"), (2, "2024-05-01 00:00:00")]):
+        spark.createDataFrame([row], "event_id long, ts string").write.parquet(f"{tmp_path}/in/part{i}")
+    stream = spark.readStream.schema("event_id long, ts string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = live.drain(live.unique_events(stream, "event_id"), "append", str(tmp_path / "run"))
+    assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3]

@@ -24,13 +24,12 @@ def test_normalize_answer(spark):
 
 
 def test_fold_follows_the_unicode_rule(spark):
-    sample = "Ångström “quoted” – ﬁ ﬂ № ½ ß ñ ç … ‥ ｆｕｌｌ ① ㎏ Ǆ"
+    sample = "한글 \u1112\u1161\u11ab Ångström “quoted” – ﬁ ﬂ № ½ ß ñ ç … ‥ ｆｕｌｌ ① ㎏ Ǆ"
     wanted = "".join(
         " " if unicodedata.category(c)[0] == "P" else c
         for c in unicodedata.normalize("NFKD", sample) if unicodedata.category(c) != "Mn"
     )
     assert one(spark, tx.fold(F.col("t")), t=sample) == wanted
-    assert one(spark, tx.fold_udf("t"), t=sample) == wanted
 
 
 def test_people_are_split(spark):
@@ -95,3 +94,22 @@ def test_records(spark):
     assert one(spark, rec.is_run_id(F.col("u")), u="history") is False
     assert one(spark, rec.looks_secret(F.col("u")), u="key sk-" + "a" * 20) is True
     assert one(spark, tx.strip(F.col("u")), u="  x \n") == "x"
+
+
+def test_a_cut_off_reply_of_any_length(spark):
+    from graphloom.functions.records import parse_reply
+
+    long = "word " * 20_000
+    got = one(spark, parse_reply(F.col("t")), t='{"answer": "' + long + '", "explanation": "cut')
+    assert got["answer"] == long.strip()
+    assert one(spark, parse_reply(F.col("t")), t='```json\n{"answer": "a\\"b", "explanation": null}\n```')["explanation"] == "None"
+    assert one(spark, parse_reply(F.col("t")), t='{"answer": "a\\u00e9b", "expl')["answer"] == "aéb"
+
+
+def test_utf8_is_checked_on_the_bytes(spark, tmp_path):
+    from graphloom.sources.corpus import read_corpus_lines, validate_lines
+
+    (tmp_path / "good.jsonl").write_text('{"doc_id": "a", "text": "x \ufffd"}\n', encoding="utf-8")
+    (tmp_path / "bad.jsonl").write_bytes(b'{"doc_id": "a", "text": "\xff\xfe"}\n')
+    got = {r["dataset"]: r["problem"] for r in validate_lines(read_corpus_lines(spark, str(tmp_path))).collect()}
+    assert got == {"good": None, "bad": "not valid UTF-8"}
