@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.functions.records import is_run_id
 from graphloom.operators.coverage import encode, prompted
 from graphloom.operators.routing import off_route
 from graphloom.plans.progress import COUNTERS, STAGE_COUNTERS
@@ -23,8 +24,12 @@ from graphloom.sources.tables import TableStore
 
 
 def tail_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Run records as they are appended to a directory of JSON files."""
-    return spark.readStream.schema(RECORD).json(folder).where(F.col("question_id").isNotNull())
+    """Run records as they are appended to a directory of run files or to the records folder of a run store.
+
+    Header lines and an unfinished last line hold no question and are passed over, as are invalid run ids.
+    """
+    lines = spark.readStream.schema(RECORD).json(folder)
+    return lines.where(F.col("question_id").isNotNull() & is_run_id(F.col("run_id")))
 
 
 def tail_table(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:

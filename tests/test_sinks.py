@@ -20,6 +20,11 @@ def test_append_and_export(spark, tmp_path):
         rf.append_run(records, configs, str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs" / "records")).count() == 2
     rf.write_export(records, configs, str(tmp_path / "export"))
+    for folder in ("runs", "export"):
+        back = rf.read_store(spark, str(tmp_path / folder)).collect()
+        assert [(r["run_id"], r["question_id"], r["ground_truth"], r["record"]["pipelines"]["rag"]["tokens"]["total"]) for r in back] == [("r1", "q1", ["a"], 3)]
+        assert rf.read_store_headers(spark, str(tmp_path / folder)).first()["run_config"]["dataset"] == "d"
+    assert live.drain(live.tail_records(spark, str(tmp_path / "runs" / "records")), "append", str(tmp_path / "tail")).count() == 2
     row = spark.read.json(str(tmp_path / "export" / "questions")).first()
     assert row["qid"] == "q1" and row["pipelines"]["rag"]["answer"] == "a"
 
@@ -35,7 +40,7 @@ def test_questions_and_trials(spark, tmp_path):
 def test_tail_records(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.json").write_text(record("q1", "done", 3) + "\n")
+    (folder / "a.json").write_text('{"run_config": {"dataset": "d"}}\n' + record("q1", "done", 3) + '\n{"run_id": "r1", "questi')
     stream = lambda: live.tail_records(spark, str(folder)).select("run_id", "question_id")
     assert live.drain(stream(), "append", str(tmp_path / "s")).count() == 1
     (folder / "b.json").write_text(record("q2", "done", 3) + "\n")
