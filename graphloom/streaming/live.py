@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphloom.functions.records import is_run_id
-from graphloom.operators.coverage import encode, prompted
+from graphloom.operators.coverage import missing_chunks
 from graphloom.operators.routing import off_route
+from graphloom.plans.build import add_vectors
 from graphloom.plans.progress import COUNTERS, STAGE_COUNTERS
 from graphloom.session import checkpoint_root
 from graphloom.sources.runs import RECORD
@@ -155,18 +156,18 @@ def embed_stream(
     chunks: DataFrame, store: TableStore, known: DataFrame, model_key: str, dim: int, checkpoint: str,
     encoder: Callable[[list[str]], list[list[float]]] | None = None,
 ):
-    """Embed arriving chunks batch by batch; the checkpoint is the resume point.
+    """Embed arriving chunks batch by batch into the store's embedding and coverage tables.
 
-    A batch replayed after a failure appends the same part again under the same
-    batch number, so it replaces itself instead of doubling.
+    Chunks the model covers are skipped, and a batch replayed after a failure finds its chunks covered or upserts them, so
+    stopping and starting again only does what is missing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        texts = batch.select(F.lit(model_key).alias("model_key"), "chunk_id", "text")
-        vectors = encode(prompted(texts, known, "document"), dim, encoder).select("chunk_id", "emb")
-        vectors.write.mode("overwrite").parquet(
-            f"{store.root}/embedding_parts/model_key={model_key}/batch={batch_id}"
-        )
+        texts = batch.select(F.lit(model_key).alias("model_key"), "chunk_id", "text").dropDuplicates(["chunk_id"])
+        if store.exists("coverage"):
+            texts = missing_chunks(texts, store.read("coverage"), model_key)
+        if not texts.isEmpty():
+            add_vectors(store, texts, known, model_key, dim, encoder)
 
     return (
         chunks.writeStream.foreachBatch(write)

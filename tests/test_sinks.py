@@ -54,7 +54,7 @@ def test_embed_stream_resumes(spark, tmp_path):
         spark.createDataFrame([(c, f"text {c}") for c in batch], schema).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(schema).parquet(str(src))
         live.embed_stream(stream, store, cov.models(spark), "gte-large-en-v1.5", 8, str(tmp_path / "cp")).awaitTermination()
-    parts = spark.read.parquet(f"{store.root}/embedding_parts")
+    parts = store.read("embedding")
     assert sorted(r["chunk_id"] for r in parts.collect()) == ["a", "b", "c"]
     assert parts.where(F.size("emb") != 8).count() == 0
 
@@ -68,3 +68,16 @@ def test_running_total_is_exact(spark):
         want[(k, o)] = spent.get(k, 0)
         spent[k] = spent.get(k, 0) + v
     assert got == want
+
+
+def test_streamed_embeddings_join_the_store(spark, tmp_path):
+    store, known = TableStore(spark, str(tmp_path / "store")), cov.models(spark)
+    key = known.first()["model_key"]
+    chunks = lambda ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "chunk_id string, text string")
+    for n, ids in enumerate((["a", "b"], ["b", "c"], ["c", "d"])):
+        chunks(ids).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("chunk_id string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        live.embed_stream(stream, store, known, key, 8, str(tmp_path / "check")).awaitTermination()
+    rows = store.read("embedding").collect()
+    assert sorted(r["chunk_id"] for r in rows) == ["a", "b", "c", "d"] and {len(r["emb"]) for r in rows} == {8}
+    assert store.read("coverage").count() == 4
