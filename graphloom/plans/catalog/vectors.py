@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as vx
@@ -76,15 +76,22 @@ def _normalize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _weighted(vector: str) -> Column:
+    """Sum of position times component: one number that every component takes part in."""
+    terms = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 6).alias("weighted")
+
+
 @query(
     "fn10_hash_vector",
     """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
     r AS (SELECT doc_id, list_transform(range(0, 40), lambda i: ('0x' || substr(h, ((i % 32) * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1) AS raw FROM h)
-    SELECT doc_id, round(raw[1] / sqrt(list_inner_product(raw, raw)), 6) AS first, round(raw[40] / sqrt(list_inner_product(raw, raw)), 6) AS last FROM r""",
+    SELECT doc_id, round(raw[1] / sqrt(list_inner_product(raw, raw)), 6) AS first, round(raw[40] / sqrt(list_inner_product(raw, raw)), 6) AS last,
+      round(list_inner_product(raw, list_transform(range(1, 41), lambda i: i::DOUBLE)) / sqrt(list_inner_product(raw, raw)), 6) AS weighted FROM r""",
 )
 def _hash(spark: SparkSession, sf: str) -> DataFrame:
     return World(spark, sf).table("documents").select("doc_id", vx.hash_vector(F.col("text"), 40).alias("v")).select(
-        "doc_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last")
+        "doc_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"), _weighted("v")
     )
 
 
@@ -102,22 +109,27 @@ def _models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn12_prompted_texts",
-    """SELECT doc_id, length(text) + CASE WHEN doc_id % 2 = 0 THEN length('title: none | text: ') ELSE 0 END AS chars FROM documents""",
+    """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'title: none | text: ' ELSE '' END || text) AS digest FROM documents""",
 )
 def _prompted(spark: SparkSession, sf: str) -> DataFrame:
     texts = World(spark, sf).table("documents").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 0, "embeddinggemma-300m").otherwise("gte-large-en-v1.5").alias("model_key"), "text"
     )
-    return cov.prompted(texts, cov.models(spark), "document").select("doc_id", F.length("prompt").cast("long").alias("chars"))
+    return cov.prompted(texts, cov.models(spark), "document").select("doc_id", F.md5("prompt").alias("digest"))
 
 
 @query(
     "udf1_encode",
-    """SELECT 'd' || doc_id AS chunk_id, 64 AS dim FROM documents""",
+    """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
+    r AS (SELECT doc_id, list_transform(range(0, 64), lambda i: ('0x' || substr(h, ((i % 32) * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1) AS raw FROM h),
+    n AS (SELECT doc_id, raw, sqrt(list_inner_product(raw, raw)) AS norm FROM r),
+    u AS (SELECT doc_id, list_transform(raw, lambda x: (x / norm)::FLOAT::DOUBLE) AS unit FROM n)
+    SELECT 'd' || doc_id AS chunk_id, 64 AS dim,
+      round(list_inner_product(unit, list_transform(range(1, 65), lambda i: i::DOUBLE)), 4) AS weighted FROM u""",
 )
 def _encode(spark: SparkSession, sf: str) -> DataFrame:
     texts = World(spark, sf).chunk_source().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("prompt"))
-    return cov.encode(texts, 64).select("chunk_id", F.size("emb").alias("dim"))
+    return cov.encode(texts, 64).select("chunk_id", F.size("emb").alias("dim"), F.round(_weighted("emb"), 4).alias("weighted"))
 
 
 @query("snk3_wrong_dims", "SELECT 'v' || vec_id AS chunk_id FROM embeddings WHERE label = 3")
