@@ -125,7 +125,7 @@ def _prompted(spark: SparkSession, sf: str) -> DataFrame:
     n AS (SELECT doc_id, raw, sqrt(list_inner_product(raw, raw)) AS norm FROM r),
     u AS (SELECT doc_id, list_transform(raw, lambda x: (x / norm)::FLOAT::DOUBLE) AS unit FROM n)
     SELECT 'd' || doc_id AS chunk_id, 64 AS dim,
-      round(list_inner_product(unit, list_transform(range(1, 65), lambda i: i::DOUBLE)), 2) AS weighted FROM u""",
+      round(list_inner_product(unit, list_transform(range(1, 65), lambda i: i::DOUBLE)), 2) + 0.0::DOUBLE AS weighted FROM u""",
 )
 def _encode(spark: SparkSession, sf: str) -> DataFrame:
     texts = World(spark, sf).chunk_source().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("prompt"))
