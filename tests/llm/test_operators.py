@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +18,7 @@ from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.words import Runs
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -49,6 +53,23 @@ def test_runs_do_not_depend_on_blanks_and_differ_by_words():
     assert all(len(g) == 1 for g in by.values()) and len(by) == len(set(grams))
 
 
+def test_an_empty_text_may_come_first():
+    code = "from graphloom.llm.words import Runs; print(Runs(None).n, len(Runs(b'').hashes(1)), len(Runs(None).hashes(3)))"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split() == ["0", "0", "0"]
+    # The Spark side in a process of its own as well: its workers see no other text.
+    code = """if True:
+        from graphloom.llm import decontaminate, substring_dedup
+        from graphloom.llm.near_dedup import near_duplicates
+        from graphloom.session import get_spark, local_checkpoints
+        spark = local_checkpoints(get_spark("empty texts", master="local[1]"))
+        docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+        items = spark.createDataFrame([(1, "")], "item_id long, text string")
+        print("rows", substring_dedup.remove_repeats(docs).count(), near_duplicates(docs, size=2).count(), decontaminate.contaminated(docs, items).count())
+    """
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
+    assert done.stdout.split()[-4:] == ["rows", "2", "2", "0"], done.stderr[-2000:]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(frame(spark, edges, "a long, b long")).collect()}
