@@ -1,14 +1,14 @@
 """Training documents that hold passages of benchmark items, also edited or paraphrased ones.
 
-Seeds: the items' runs of ``SEED`` words, in lower case and without ASCII punctuation. One pass over the documents finds
-the seeds in each text; their document frequencies follow, and each item keeps its rarest half (ranked, not cut by a
-threshold, so that an item which a third of the corpus copies keeps seeds as well). Rare seeds join documents to
-items. Where at least ``MIN_SEEDS`` distinct rare seeds of one item lie together, a local (Smith-Waterman) alignment of the
-item with that stretch of the text scores it: match 2, mismatch -1, gap -1, divided by the score of a full match.
+Seeds: the items' runs of ``SEED`` words, in lower case and without ASCII punctuation, all of them. Where at least
+``MIN_SEEDS`` distinct seeds of one item lie together in a text, a local (Smith-Waterman) alignment of the item with that
+stretch scores it: match 2, mismatch -1, gap -1, divided by the score of a full match. A pair is only passed over before
+if so few of the item's words stand in the stretch that no alignment can reach the least score. Not found: passages
+edited so densely that fewer than ``MIN_SEEDS`` runs of ``SEED`` words survive.
 
-The seeds go to the tasks as one sorted array: benchmarks are read in blocks of at most ``BLOCK`` items, so its size has a
-bound whatever the benchmark; each block is one pass over the documents. Document texts are only moved for documents with
-candidates. Nothing is grouped by item or seed but counts and an item's own seeds.
+The seeds and their items go to the tasks as sorted arrays: benchmarks are read in blocks of at most ``BLOCK`` items, so
+their size has a bound whatever the benchmark; each block is one pass over the documents. A text is read and aligned
+where it lies: no text is moved, and nothing is grouped but the pairs found.
 
 Defined cases: null texts and items match nothing, nor do items shorter than a seed; repeated items or documents give a row
 each (per doc_id and item_id the best score is kept); rows without an id are left out; an empty benchmark finds nothing.
@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.llm.storage import keep, texts
-from graphloom.llm.words import Runs, signed
+from graphloom.llm.storage import texts
+from graphloom.llm.words import Runs
 
 SEED, MIN_SEEDS = 3, 2
 BLOCK = 20_000
@@ -37,28 +36,6 @@ def plain(text: str | None) -> Runs:
     return Runs((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN))
 
 
-def _seed_rows(seeds: np.ndarray):
-    """Per document with seeds: their positions and values."""
-    filled = np.zeros(1 << 20, bool)
-    filled[(seeds >> np.uint64(44)).astype(np.int64)] = True
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, places, values = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                runs = plain(text).hashes(SEED)
-                at = np.nonzero(filled[(runs >> np.uint64(44)).astype(np.int64)])[0]
-                if len(at) and len(at := at[seeds[np.minimum(np.searchsorted(seeds, runs[at]), len(seeds) - 1)] == runs[at]]):
-                    ids.append(doc_id)
-                    places.append(at.astype(np.int32))
-                    values.append(signed(runs[at]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "places", "seeds"]
-            )
-
-    return rows
-
-
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int]:
     """Best local alignment score of two word sequences as a share of a full match of ``item``, and its end in ``stretch``."""
     n = len(stretch)
@@ -77,33 +54,58 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int]:
 
 
 def _stretches(places: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Word ranges of a document around seeds that lie within one item length of each other."""
+    """Word ranges of a document around seeds that lie within two item lengths of each other.
+
+    An alignment of at least half the full score spans at most two item lengths: each inserted word costs half a match.
+    """
     order = np.argsort(places, kind="stable")
     places, seeds = places[order], seeds[order]
-    breaks = np.nonzero(np.diff(places) > length)[0] + 1
+    breaks = np.nonzero(np.diff(places) > 2 * length)[0] + 1
     for part in np.split(np.arange(len(places)), breaks):
         if len(np.unique(seeds[part])) >= MIN_SEEDS:
-            yield max(0, int(places[part[0]]) - length), int(places[part[-1]]) + SEED + length
+            yield max(0, int(places[part[0]]) - 2 * length), int(places[part[-1]]) + SEED + 2 * length
 
 
-def _aligned_rows(items: dict[int, np.ndarray], least: float):
+def _aligned_rows(items: list[tuple[int, np.ndarray]], seeds: np.ndarray, first: np.ndarray, owners: np.ndarray, least: float):
+    """Per document and item with enough common seeds: the best alignment. ``owners[first[s]:first[s + 1]]`` hold seed ``s``."""
+    filled = np.zeros(1 << 20, bool)
+    filled[(seeds >> np.uint64(44)).astype(np.int64)] = True
+
+    def candidates(found: np.ndarray) -> dict[int, np.ndarray]:
+        """Items with enough of the seeds ``found``, and which."""
+        sizes = first[found + 1] - first[found]
+        which = np.repeat(found, sizes)
+        owner = owners[np.arange(len(which)) + np.repeat(first[found] - np.cumsum(sizes) + sizes, sizes)]
+        order = np.argsort(owner, kind="stable")
+        item, starts, counts = np.unique(owner[order], return_index=True, return_counts=True)
+        return {int(i): which[order[a : a + n]] for i, a, n in zip(item, starts, counts, strict=True) if n >= MIN_SEEDS}
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_pylist():
-                words = plain(r["text"]).hashes(1)
-                found: dict[int, list] = {}
-                for hit in r["hits"]:
-                    found.setdefault(hit["item_id"], []).append((hit["place"], hit["seed"]))
-                for item_id, hits in found.items():
-                    item = items[item_id]
-                    places, seeds = map(np.array, zip(*hits, strict=True))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = plain(text)
+                runs = own.hashes(SEED)
+                at = np.nonzero(filled[(runs >> np.uint64(44)).astype(np.int64)])[0]
+                if not len(at):
+                    continue
+                seed = np.minimum(np.searchsorted(seeds, runs[at]), len(seeds) - 1)
+                at, seed = at[seeds[seed] == runs[at]], seed[seeds[seed] == runs[at]]
+                if len(at) < 2:
+                    continue
+                words = own.hashes(1)
+                for i, which in candidates(np.unique(seed)).items():
+                    item_id, item = items[i]
+                    hit = np.isin(seed, which)
                     best = (0.0, 0)
-                    for low, high in _stretches(places, seeds, len(item)):
-                        score, end = align(item, words[low:high])
-                        best = max(best, (score, low + end))
+                    for low, high in _stretches(at[hit], seed[hit], len(item)):
+                        stretch = words[low:high]
+                        # No alignment scores above the share of the item's words that stand there at all.
+                        if np.isin(item, stretch).sum() >= least * len(item):
+                            score, end = align(item, stretch)
+                            best = max(best, (score, low + end))
                     if best[0] >= least:
-                        out.append((r["doc_id"], item_id, best[0], best[1]))
+                        out.append((doc_id, item_id, *best))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
             columns = zip(*out, strict=True) if out else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "score", "end_word"])
@@ -124,26 +126,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
 
 def _block(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    spark = docs.sparkSession
     # The block's items, at most about BLOCK of them.
     runs = {r["item_id"]: plain(r["text"]) for r in items.orderBy("item_id", "text").collect()}
-    words = {i: r.hashes(1) for i, r in runs.items() if r.n >= SEED}
-    pairs = sorted({(i, int(h)) for i in words for h in signed(runs[i].hashes(SEED))})
-    seeds = np.unique(np.array([h for _, h in pairs], np.int64).view(np.uint64))
-    owned = spark.createDataFrame(pairs, "item_id long, seed long")
-    hits = keep(docs.mapInArrow(_seed_rows(seeds), "doc_id long, places array<int>, seeds array<long>"))
-    frequency = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))
-    ranked = owned.join(frequency, "seed", "left").select(
-        "item_id", "seed",
-        F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "seed")).alias("rank"),
-        F.count("*").over(Window.partitionBy("item_id")).alias("n"),
-    )
-    rare = ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("n") / 2), F.least("n", F.lit(8)))).select("item_id", "seed")
-    places = hits.select("doc_id", F.explode(F.arrays_zip("places", "seeds")).alias("h")).select("doc_id", F.col("h.places").alias("place"), F.col("h.seeds").alias("seed"))
-    pairs_found = places.join(rare, "seed").groupBy("doc_id", "item_id").agg(F.count_distinct("seed").alias("n"), F.collect_set(F.struct("place", "seed")).alias("at"))
-    by_doc = (
-        pairs_found.where(F.col("n") >= MIN_SEEDS).select("doc_id", "item_id", F.explode("at").alias("h"))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "h.place", "h.seed")).alias("hits"))
-    )
-    wanted = docs.join(by_doc, "doc_id")
-    return wanted.mapInArrow(_aligned_rows(words, least), "doc_id long, item_id long, score double, end_word long")
+    words = [(i, r) for i, r in runs.items() if r.n >= SEED]
+    held = [np.unique(r.hashes(SEED)) for _, r in words]
+    every = np.concatenate([*held, np.zeros(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    seeds, first = np.unique(every[order], return_index=True)
+    owners = np.repeat(np.arange(len(held)), [len(h) for h in held])[order]
+    aligned = _aligned_rows([(i, r.hashes(1)) for i, r in words], seeds, np.r_[first, len(every)], owners, least)
+    return docs.select("doc_id", "text").mapInArrow(aligned, "doc_id long, item_id long, score double, end_word long")

@@ -291,6 +291,35 @@ def test_contamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def brute_contaminated(rows, items, least=0.5):
+    out = {}
+    for doc_id, text in rows:
+        own = decontaminate.plain(text).hashes(1)
+        for item_id, item in items:
+            score = decontaminate.align(decontaminate.plain(item).hashes(1), own)[0]
+            if score >= least:
+                out[doc_id, item_id] = max(score, out.get((doc_id, item_id), 0))
+    return out
+
+
+def test_edited_copies_match_the_alignment_of_every_pair(spark):
+    rng = np.random.default_rng(7)
+    items = [(i, " ".join(words(40, 700 + i, 5000))) for i in range(16)]
+    rows = [(i, " ".join(words(60, 800 + i, 5000))) for i in range(10)]
+    for i, item in items:  # one edited copy each, and for every other item an exact one, too
+        edited = item.split()
+        for at in rng.choice(40, 4 + 8 * i // 15, replace=False):
+            edited[at] = f"new{at}"
+        rows.append((100 + i, " ".join(words(30, 900 + i, 5000) + edited)))
+        if i % 2:
+            rows.append((200 + i, " ".join([item, *words(30, 950 + i, 5000)])))
+    rows.append((300, " ".join([" ".join(items[0][1].split()[:3]), *["far"] * 35, *items[0][1].split()[3:]])))  # words put in between
+    got = decontaminate.contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()
+    want = brute_contaminated(rows, items)
+    assert {(100 + i, i) for i, _ in items} | {(300, 0)} <= set(want)
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == pytest.approx(want)
+
+
 def test_alignment_scores():
     a = np.arange(10)
     assert decontaminate.align(a, np.concatenate([[50, 51], a, [60]])) == (1.0, 12)
