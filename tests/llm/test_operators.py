@@ -351,6 +351,28 @@ def test_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_without_article_keeps_nested_and_repeated_parts(spark):
+    top, foot = '<div id="top"><p>Our site, since long ago</p><a href="/">home</a></div><ul class="menu"><li>m</li></ul>', '<div class="legal"><p>All rights are ours for ever</p></div>'
+    text = lambda i, part: f"part {part} of page {i} " + " ".join(words(20, 100 * i + part))
+    bodies = {
+        "sections": lambda i: "<h1>Title {0}</h1><section><p>{1}</p></section><section><p>{2}</p><section><p>{3}</p></section></section>",
+        "classes": lambda i: '<div class="intro"><p>{0}</p></div><div class="details"><p>{1}</p><p>{2}</p></div><div class="end"><p>{3}</p></div>',
+        "lists": lambda i: "<ul><li>{0}<li>{1}</ul><p>{2}</p><ul><li>{3}</ul>",
+        "tables": lambda i: "<table><tr><td>{0}</td></tr></table><table><tr><td>{1}<tr><td>{2}</table><p>{3}</p>",
+    }
+    rows, want = [], {}
+    for h, (host, body) in enumerate(bodies.items()):
+        for i in range(6):
+            parts = [text(10 * h + i, k) for k in range(4)]
+            rows.append((100 * h + i, f"http://{host}.example.org/{i}", page(f'{top}<div class="content">{body(i).format(*parts)}<div class="comments"><p>no</p></div></div>{foot}')))
+            want[100 * h + i] = "\n\n".join(([f"Title {parts[0]}", *parts[1:]] if host == "sections" else parts))
+    alone = "<div><p>{0}</p></div><div><p>{1}</p></div>".format(text(90, 0), text(90, 1))
+    rows.append((900, "http://lists.example.org/odd", page(f'<ul class="menu"><li>m</li></ul><div class="other">{alone}</div>')))  # lacks its host's slot
+    want[900] = f"{text(90, 0)}\n\n{text(90, 1)}"
+    got = as_dict(html_text.extract(frame(spark, rows, "page_id long, url string, html string")), "page_id")
+    assert {i: r["text"] for i, r in got.items()} == want
+
+
 # --- 9
 
 
