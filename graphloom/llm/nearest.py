@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing with exact reranking.
 
-Index: every vector is lengthened by sqrt(M^2 - |x|^2), M the largest norm, so that the largest inner product is the
-smallest Euclidean distance. Each of ``tables`` hash tables cuts ``bits`` Gaussian (2-stable) projections into cells of a
-width of ``width`` (in units of M); a vector's cells are its bucket. Every vector is in every table.
+Index: norms are cut into ranges, each ``RANGE`` times shorter than the one before, and every vector is lengthened by
+sqrt(M^2 - |x|^2), M the upper end of its range, so that within a range the largest inner product is the smallest Euclidean
+distance, and a long vector does not press the others into a few cells. The longest ranges that hold at most ``HEAD`` of
+all vectors are compared with every query instead: with uneven norms most true neighbours are there. Each of ``tables`` hash tables cuts ``bits`` Gaussian (2-stable) projections into cells of a
+width of ``width`` (in units of M); a vector's cells are its bucket. Every other vector is in every table; all ranges share the buckets.
 
 Query: a table's home bucket and ``probes`` - 1 perturbed ones are visited, in the order of their estimated success:
 perturbation sets are ordered once by the expected squared distances to the cell walls, and a query maps them to its
-own walls, nearest first. Candidates of all buckets and tables are scored exactly, in double precision, and merged.
+own walls, nearest first. Candidates of all buckets and tables are scored exactly, in double precision, and merged. Queries with fewer than k rows are then compared with all vectors, in blocks.
 
 Work is dealt by (table, slot, part, chunk): slots take whole buckets by hash, parts split the vectors of a slot that
 holds more than ``BLOCK`` and chunks its queries, both from counts, so no task grows with a hot bucket. Equal vectors are
@@ -14,8 +16,8 @@ one entry that carries its smallest k + 1 ids - no query can need more - so a ve
 not a hot bucket either. A task returns k rows for each of its queries.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
-id or vectors of another length than most; ties go to the smaller id; a repeated id with equal vectors is one row; fewer
-than k candidates found give fewer rows; an empty table gives none.
+id or vectors of another length than most; ties go to the smaller id; a repeated id with equal vectors is one row; only
+tables with too few vectors give fewer than k rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.storage import keep
+from graphloom.llm.storage import bounded, keep
 from graphloom.llm.words import mix
 
 BLOCK = 50_000
+ASKING = 1_000  # queries of a block that is compared with all vectors
+RANGE, HEAD = 1.05, 0.1
 
 
 class Family:
@@ -58,7 +62,8 @@ class Family:
         """64-bit bucket keys from cell numbers (..., tables, bits)."""
         return mix((cells.astype(np.uint64) * self.salt).sum(axis=-1, dtype=np.uint64)).view(np.int64)
 
-    def entries(self, x: np.ndarray) -> np.ndarray:
+    def entries(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        x = x * (RANGE ** part)[:, None]
         rest = np.sqrt(np.maximum(0, 1 - (x**2).sum(1) / self.norm**2))
         return self.keys(self.cells(x, rest)[0])
 
@@ -106,15 +111,20 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _entry_rows(family: Family):
+def _entry_rows(family: Family, head: int):
+    """A row per vector and table; the vectors of the norm ranges below ``head`` stand in one bucket of one more table."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = family.entries(_matrix(batch.column("v")))
-                for t in range(family.tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(keys[:, t]), batch.column("rep"), batch.column("v")], ["t", "bucket", "rep", "v"]
-                    )
+            if not batch.num_rows:
+                continue
+            part = batch.column("norm_range").to_numpy()
+            keys = family.entries(_matrix(batch.column("v")), part.astype(np.float64))
+            long, rest = np.nonzero(part < head)[0], np.nonzero(part >= head)[0]
+            for t in range(family.tables + 1):
+                at, bucket = (rest, keys[rest, t]) if t < family.tables else (long, np.zeros(len(long), np.int64))
+                pick = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(bucket), batch.column("rep").take(pick), batch.column("v").take(pick)], ["t", "bucket", "rep", "v"])
 
     return rows
 
@@ -193,30 +203,56 @@ def neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, count = sizes[0]["dim"], sizes[0]["n"]
     usable = usable.where(F.col("dim") == dim)
-    family = Family(dim, float(np.sqrt(sizes[0]["square"])), tables, bits, width, probes)
+    longest = float(np.sqrt(sizes[0]["square"]))
+    family = Family(dim, longest, tables, bits, width, probes)
     # Equal vectors are one entry with its smallest k + 1 ids; ranking is cut before the shuffle.
     alike = Window.partitionBy("v").orderBy("vec_id")
     classes = keep(
         usable.select("v", "vec_id").withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1)
         .groupBy("v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
+    # Rounding must not tear vectors of one norm apart at the end of a range.
+    norm_range = F.greatest(F.lit(0), F.floor(F.log(F.lit(longest) / F.sqrt(_exact("v", "v"))) / F.lit(float(np.log(RANGE))) + F.lit(1e-3))).cast("long")
+    ranged = classes.select("rep", "v", norm_range.alias("norm_range"))
+    head, held, of = 0, 0, classes.count()
+    for row in ranged.groupBy("norm_range").agg(F.count("*").alias("n")).orderBy("norm_range").collect():
+        held += row["n"]
+        if held > HEAD * of:
+            break
+        head = row["norm_range"] + 1
     slots = -(-count // BLOCK)
-    entries = classes.select("rep", "v").mapInArrow(_entry_rows(family), f"t int, bucket long, rep long, v {usable.schema['v'].dataType.simpleString()}")
+    entries = ranged.mapInArrow(_entry_rows(family, head), f"t int, bucket long, rep long, v {usable.schema['v'].dataType.simpleString()}")
     entries = keep(entries.withColumn("slot", F.pmod("bucket", F.lit(slots))))
     asked = usable.where("asks").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
     visits = keep(asked.mapInArrow(_visit_rows(family, slots), f"t int, slot long, query_id long, v {usable.schema['v'].dataType.simpleString()}, buckets array<long>"))
-    load = lambda df, name: df.groupBy("t", "slot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    loads = load(entries, "parts").join(load(visits, "chunks"), ["t", "slot"])
-    left = entries.join(F.broadcast(loads), ["t", "slot"]) if tables * slots <= 100_000 else entries.join(loads, ["t", "slot"])
-    right = visits.join(F.broadcast(loads), ["t", "slot"]) if tables * slots <= 100_000 else visits.join(loads, ["t", "slot"])
+    if head:
+        visits = visits.union(asked.select(F.lit(tables).alias("t"), F.lit(0).cast("long").alias("slot"), "query_id", "v", F.array(F.lit(0).cast("long")).alias("buckets")))
+    found = keep(_best(entries, visits, k))
+    ids = found.join(classes.select("rep", "ids"), "rep").select("query_id", F.size(F.filter("ids", lambda i: i != F.col("query_id"))).alias("n"))
+    enough = ids.groupBy("query_id").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    short = keep(asked.join(enough, "query_id", "left_anti"))
+    if not short.isEmpty():
+        one = lambda df, *more: df.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("slot"), *more)
+        every = one(classes, F.lit(0).cast("long").alias("bucket"), "rep", "v")
+        asking = one(short, "query_id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
+        found = found.join(short, "query_id", "left_anti").union(_best(every, asking, k, ASKING))
+    # Scores once more, as one sum in a fixed order, so that equal vectors have equal scores in every plan.
+    pairs = found.join(classes.withColumnRenamed("v", "cv"), "rep").join(asked, "query_id").withColumn("score", _exact("v", "cv"))
+    rows = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(entries: DataFrame, visits: DataFrame, k: int, asking: int = BLOCK) -> DataFrame:
+    """query_id, rep: the k + 1 best entries of each query in the buckets that it visits."""
+    load = lambda df, name, most: df.groupBy("t", "slot").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    loads = load(entries, "parts", BLOCK).join(load(visits, "chunks", asking), ["t", "slot"])
+    if bounded(loads, 100_000):
+        loads = F.broadcast(loads)
+    left, right = entries.join(loads, ["t", "slot"]), visits.join(loads, ["t", "slot"])
     left = left.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = right.withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["t", "slot", "part", "chunk"]
     scored = left.select(*key, "bucket", "rep", "v").groupBy(*key).cogroup(right.select(*key, "query_id", "v", "buckets").groupBy(*key)).applyInPandas(_scored(k), "query_id long, rep long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    merged = scored.dropDuplicates(["query_id", "rep"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r", "score")
-    # Scores once more, as one sum in a fixed order, so that equal vectors have equal scores in every plan.
-    pairs = merged.join(classes.withColumnRenamed("v", "cv"), "rep").join(asked, "query_id").withColumn("score", _exact("v", "cv"))
-    rows = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scored.dropDuplicates(["query_id", "rep"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query_id", "rep")

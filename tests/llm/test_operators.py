@@ -109,6 +109,25 @@ def test_nearest_recall_and_exact_scores(spark):
     assert nearest.neighbours(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
+@pytest.mark.parametrize("case", ["one long", "uneven", "hardly any found"])
+def test_nearest_with_uneven_norms(spark, case):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    if case == "one long":
+        x[7] *= 20
+    elif case == "uneven":
+        x *= np.exp(0.7 * rng.standard_normal(len(x)))[:, None]
+    rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)]
+    few = {"tables": 1, "probes": 1, "width": 0.2} if case == "hardly any found" else {}
+    got = collections.defaultdict(list)
+    for r in nearest.neighbours(frame(spark, rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", k=20, **few).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = brute_neighbours(rows, 20)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 20)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_perturbations_start_with_the_home_bucket_and_never_cross_a_cell():
     sets = nearest.perturbations(4, 40)
     assert sets[0] == [] and len({tuple(s) for s in sets}) == len(sets) == 40
