@@ -1,7 +1,7 @@
 """Training documents that hold passages of benchmark items, also edited or paraphrased ones.
 
 Seeds: the items' runs of ``SEED`` words, in lower case and without ASCII punctuation, all of them. Where at least
-``MIN_SEEDS`` distinct seeds of one item lie together in a text, a local (Smith-Waterman) alignment of the item with that
+``MIN_SEEDS`` distinct seeds of one item (or its only one) lie together in a text, a local (Smith-Waterman) alignment of the item with that
 stretch scores it: match 2, mismatch -1, gap -1, divided by the score of a full match. A pair is only passed over before
 if so few of the item's words stand in the stretch that no alignment can reach the least score. Not found: passages
 edited so densely that fewer than ``MIN_SEEDS`` runs of ``SEED`` words survive.
@@ -53,7 +53,7 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int]:
     return best / (2 * len(item)), end
 
 
-def _stretches(places: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+def _stretches(places: np.ndarray, seeds: np.ndarray, length: int, needed: int) -> Iterator[tuple[int, int]]:
     """Word ranges of a document around seeds that lie within two item lengths of each other.
 
     An alignment of at least half the full score spans at most two item lengths: each inserted word costs half a match.
@@ -62,12 +62,13 @@ def _stretches(places: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[t
     places, seeds = places[order], seeds[order]
     breaks = np.nonzero(np.diff(places) > 2 * length)[0] + 1
     for part in np.split(np.arange(len(places)), breaks):
-        if len(np.unique(seeds[part])) >= MIN_SEEDS:
+        if len(np.unique(seeds[part])) >= needed:
             yield max(0, int(places[part[0]]) - 2 * length), int(places[part[-1]]) + SEED + 2 * length
 
 
 def _aligned_rows(items: list[tuple[int, np.ndarray]], seeds: np.ndarray, first: np.ndarray, owners: np.ndarray, least: float):
     """Per document and item with enough common seeds: the best alignment. ``owners[first[s]:first[s + 1]]`` hold seed ``s``."""
+    needed = np.minimum(MIN_SEEDS, np.bincount(owners, minlength=len(items)))
     filled = np.zeros(1 << 20, bool)
     filled[(seeds >> np.uint64(44)).astype(np.int64)] = True
 
@@ -78,7 +79,7 @@ def _aligned_rows(items: list[tuple[int, np.ndarray]], seeds: np.ndarray, first:
         owner = owners[np.arange(len(which)) + np.repeat(first[found] - np.cumsum(sizes) + sizes, sizes)]
         order = np.argsort(owner, kind="stable")
         item, starts, counts = np.unique(owner[order], return_index=True, return_counts=True)
-        return {int(i): which[order[a : a + n]] for i, a, n in zip(item, starts, counts, strict=True) if n >= MIN_SEEDS}
+        return {int(i): which[order[a : a + n]] for i, a, n in zip(item, starts, counts, strict=True) if n >= needed[i]}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +92,14 @@ def _aligned_rows(items: list[tuple[int, np.ndarray]], seeds: np.ndarray, first:
                     continue
                 seed = np.minimum(np.searchsorted(seeds, runs[at]), len(seeds) - 1)
                 at, seed = at[seeds[seed] == runs[at]], seed[seeds[seed] == runs[at]]
-                if len(at) < 2:
+                if not len(at):
                     continue
                 words = own.hashes(1)
                 for i, which in candidates(np.unique(seed)).items():
                     item_id, item = items[i]
                     hit = np.isin(seed, which)
                     best = (0.0, 0)
-                    for low, high in _stretches(at[hit], seed[hit], len(item)):
+                    for low, high in _stretches(at[hit], seed[hit], len(item), needed[i]):
                         stretch = words[low:high]
                         # No alignment scores above the share of the item's words that stand there at all.
                         if np.isin(item, stretch).sum() >= least * len(item):
@@ -127,8 +128,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
 def _block(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     # The block's items, at most about BLOCK of them.
-    runs = {r["item_id"]: plain(r["text"]) for r in items.orderBy("item_id", "text").collect()}
-    words = [(i, r) for i, r in runs.items() if r.n >= SEED]
+    runs = [(r["item_id"], plain(r["text"])) for r in items.distinct().orderBy("item_id", "text").collect()]
+    words = [(i, r) for i, r in runs if r.n >= SEED]
     held = [np.unique(r.hashes(SEED)) for _, r in words]
     every = np.concatenate([*held, np.zeros(0, np.uint64)])
     order = np.argsort(every, kind="stable")

@@ -339,6 +339,13 @@ def test_edited_copies_match_the_alignment_of_every_pair(spark):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == pytest.approx(want)
 
 
+def test_items_with_one_seed_and_repeated_item_ids(spark):
+    items = [(1, "Three little words"), (2, " ".join(words(40, 61, 5000))), (2, " ".join(words(40, 62, 5000)))]
+    rows = [(1, "here are three little words, again"), (2, items[1][1]), (3, items[2][1]), (4, "three little birds")]
+    got = decontaminate.contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0)}
+
+
 def test_alignment_scores():
     a = np.arange(10)
     assert decontaminate.align(a, np.concatenate([[50, 51], a, [60]])) == (1.0, 12)
