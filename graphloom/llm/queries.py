@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, secrets, substring_dedup, surrogates, toxicity
+from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, runs, secrets, substring_dedup, surrogates, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -118,3 +118,30 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with surrogates in the place of personal data. The key is a parameter; this one is for tests."""
     return surrogates.replace(table(spark, sf_dir, "documents"), key="an example key")
+
+
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by the checksum of its id, goes round in a loop of its own words from some place on."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    made = docs.withColumn("words", words).withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    made = made.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("cast(g % greatest(n, 1) AS int)"))
+    made = made.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) AS int)"))
+    loop = "concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int))), 1, n - a))"
+    return made.select("doc_id", F.expr(f"CASE WHEN h % 10 = 0 AND n > 0 THEN array_join({loop}, ' ') ELSE text END AS text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods in every document, and the texts without their repetitions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    found = runs.periodic_runs(looped_texts(docs), min_words=24, exponent=3)
+    best = F.expr(
+        "aggregate(runs, cast(null AS struct<start: long, length: long, period: long>), (b, r) -> CASE WHEN b IS NULL OR "
+        "r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
