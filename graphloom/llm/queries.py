@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, runs, secrets, substring_dedup, surrogates, toxicity
+from graphloom.llm import alignment, decontaminate, html_text, line_dedup, nearest, packing, runs, secrets, substring_dedup, surrogates, toxicity
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.storage import table
 
@@ -145,3 +145,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level and a piece vocabulary lie over each other in every document."""
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths).drop("groups")
