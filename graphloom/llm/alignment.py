@@ -87,14 +87,15 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id("▁")
         inside = re.compile(f"[^{BLANKS}][{BLANKS}]".encode())
-        self.by_word = not any(inside.search(x) for table in (self.bytes_a, self.bytes_b) for x in table)
+        within = [x.decode(errors="replace") for table in (self.bytes_a, self.bytes_b) for x in table if inside.search(x)]
+        self.by_word = all(map(ODD.search, within))  # texts with those are aligned whole
         self.now: dict[str, tuple[str, int, int, bytes]] = {}
         self.last: dict[str, tuple[str, int, int, bytes]] = {}
 
     def _ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for texts that stand with their leading blanks."""
         a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([x[1:] if x[0] == " " else x for x in parts], num_threads=1)
+        b = [x or [self.blank] for x in self.b.encode([x[1:] if x[0] == " " else x for x in parts], num_threads=1)]
         # A word after a line feed or tab gets a blank that is not there; where it merged with the word, the bytes will not agree.
         return a, [ids[1:] if x[0] != " " and ids and ids[0] == self.blank else ids for x, ids in zip(parts, b, strict=True)]
 

@@ -80,11 +80,12 @@ def test_empty_table(spark):
     assert align(spark.createDataFrame([], "doc_id long, text string"), *PATHS).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab 'sé\n\t\r\xa0日.1▁<"), max_size=30))
 def test_by_word_as_whole(text):
     """Words one after another give what the whole text gives."""
     side = _aligner()
+    assert side.by_word
     whole = side.align([" " + text])[0] if text else None
     from graphloom.llm.alignment import ODD, WORDS
 
