@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,20 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``keep``, with a function that deletes the table once everything read off it is written as well."""
+    kept = keep(df)
+    path = kept.inputFiles()[:1]
+
+    def release() -> None:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in path:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return kept, release
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
