@@ -158,16 +158,17 @@ def embed_stream(
 ):
     """Embed arriving chunks batch by batch into the store's embedding and coverage tables.
 
-    Chunks the model covers are skipped, and a batch replayed after a failure finds its chunks covered or upserts them, so
-    stopping and starting again only does what is missing.
+    Each batch is appended as new files under its number; nothing stored is written again. Chunks the model covers are skipped,
+    and a batch replayed after a failure is published once, so stopping and starting again only does what is missing.
+    ``TableStore.compact`` merges the files of many batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         texts = batch.select(F.lit(model_key).alias("model_key"), "chunk_id", "text").dropDuplicates(["chunk_id"])
         if store.exists("coverage"):
-            texts = missing_chunks(texts, store.read("coverage"), model_key)
+            texts = missing_chunks(texts, store.read_partition("coverage", model_key), model_key)
         if not texts.isEmpty():
-            add_vectors(store, texts, known, model_key, dim, encoder)
+            add_vectors(store, texts, known, model_key, dim, encoder, (checkpoint, batch_id))
 
     return (
         chunks.writeStream.foreachBatch(write)
