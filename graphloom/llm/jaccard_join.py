@@ -5,15 +5,16 @@ multiplied: in any one order of all n-grams, two sets of similarity t share one
 prefix), and their overlap is at most what they share there plus the longer rest. The order puts n-grams that stand in many
 prefixes last; every set is ordered by the same rule, so no pair is lost, however that list is chosen.
 
-1. Equal sets are one class. Prefix entries are counted by n-gram; the threshold beyond which n-grams go last is the
-   smallest from ``HOT`` on that leaves at most ``HOTTEST`` of them (8 MB, broadcast).
-2. Columns with at least two classes are kept. Where they hold large groups of like sets, rounds of stars come first: all of a
-   column is compared with one class of it, confirmed links are merged to components, and columns inside one component are done.
-   Rounds end when few pairs are left or a round no longer saves a fifth of them.
-3. The product: columns are dealt to blocks of about ``ROWS`` entries and a longer column is cut into row blocks of ``LONG``; a block
-   adds up the overlaps of its pairs of different components whose sizes fit, and the sums of all blocks are added by pair.
-   Pairs below the overlap that their sizes demand of the prefix are discarded.
-4. The rest is confirmed on the full sets, made again from the texts of the few documents concerned.
+1. Equal sets are one class. Prefix entries are counted by n-gram; those of the smallest number of entries from ``HOT`` on that
+   leaves at most ``HOTTEST`` n-grams go last, the most frequent at the end (16 MB, broadcast).
+2. Columns with at least two classes are kept. Rounds of stars come first: all of a column is compared with one class of it, the likeliest
+   pair of each class is confirmed and merged to components, and columns inside one component are done. Rounds end when few
+   pairs are left or a round no longer saves a fifth of them.
+3. The product: columns are dealt to blocks of about ``ROWS`` entries, longer columns in row blocks of ``LONG`` that the columns of one
+   length share; a block adds up the overlaps of its pairs of different components whose sizes fit, and the sums of all blocks
+   are added by pair. Pairs below the overlap that their sizes demand of the prefix are discarded.
+4. The rest is confirmed on the full sets, made again from the texts of the documents concerned and multiplied in blocks of
+   ``SIDE`` by ``SIDE`` classes.
 
 Pairs inside one component are not listed: classes and components are what comes back.
 
@@ -37,10 +38,10 @@ from graphloom.llm.components import components
 from graphloom.llm.storage import keep, keep_until, texts
 from graphloom.llm.words import Runs, mix, signed
 
-HOT, HOTTEST = 32, 1 << 20
-ROWS, LONG = 40_000, 1024
+HOT, HOTTEST = 8, 1 << 20
+ROWS, LONG, SIDE = 16_384, 1024, 256
 #: Pairs left per entry up to which no round of stars is worth its while.
-FEW = 8
+FEW = 2
 SEEN = 1 << 18
 PENDING = 1 << 21
 
@@ -67,8 +68,8 @@ def _set_rows(size: int):
     return rows
 
 
-def _prefix_rows(percent: int, hot: np.ndarray):
-    """Entries (gram, row, n) of the prefixes; sets that this task has seen already are passed over."""
+def _prefix_rows(percent: int, hot: np.ndarray, rank: np.ndarray):
+    """Entries (gram, row, n) of the prefixes; ``hot`` n-grams go last, by rank. Sets that this task has seen already are passed over."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -76,7 +77,8 @@ def _prefix_rows(percent: int, hot: np.ndarray):
             row, n, h1, h2 = (batch.column(k).to_numpy() for k in range(4))
             edges, values = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
             place = np.searchsorted(hot, values)
-            late = hot[np.minimum(place, len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
+            place = np.minimum(place, max(len(hot) - 1, 0))
+            late = np.where(hot[place] == values, rank[place], 0) if len(hot) else np.zeros(len(values), np.int64)
             picked, owner = [], []
             for k, key in enumerate(zip(n.tolist(), h1.tolist(), h2.tolist(), strict=True)):
                 if key in seen:
@@ -151,21 +153,57 @@ def _product_rows(percent: int):
     return rows
 
 
+def _overlap_rows(percent: int):
+    """The pairs (a, b) of a block whose full sets reach the similarity; two sides of at most about SIDE sets each."""
+
+    def rows(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs) or not len(sets):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = sets.sort_values("cls")
+        cls, sizes = sets["cls"].to_numpy(), sets["grams"].map(len).to_numpy()
+        values, owner = np.concatenate(sets["grams"].to_list()), np.repeat(np.arange(len(sets)), sizes)
+        _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+        shared = held[column] > 1  # the others are in no overlap
+        owner, (_, column) = owner[shared], np.unique(column[shared], return_inverse=True)
+        x, y = np.searchsorted(cls, pairs["a"].to_numpy()), np.searchsorted(cls, pairs["b"].to_numpy())
+        overlap = np.zeros((len(cls), len(cls)), np.float32)  # whole numbers far below 2**24
+        for low in range(0, int(column.max()) + 1 if len(column) else 0, 2048):
+            here = (column >= low) & (column < low + 2048)
+            dense = np.zeros((len(cls), 2048), np.float32)
+            dense[owner[here], column[here] - low] = 1
+            overlap += dense @ dense.T
+        both = overlap[x, y].astype(np.int64)
+        good = 100 * both >= percent * (sizes[x] + sizes[y] - both)
+        return pairs.loc[good, ["a", "b"]]
+
+    return rows
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity."""
-    wanted = keep(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls"))
+    """The pairs (a, b) of classes whose full sets reach the similarity.
+
+    Classes lie in groups by their smallest neighbour and a group in sides of about SIDE classes, so a set travels to as many
+    blocks as its class has sides to meet and not with every pair.
+    """
+    ends = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    near = ends.groupBy("cls").agg(F.least("cls", F.min("other")).alias("near"))
+    sides = near.groupBy("near").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    side = near.join(sides, "near").select("cls", F.struct("near", F.pmod(F.xxhash64("cls"), "sides").alias("k")).alias("side"))
+    wanted = keep(side.join(classes, "cls"))
     source = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     made = source.mapInArrow(_set_rows(size), "doc_id long, n long, h1 long, h2 long, grams array<long>")
     sets = keep(made.join(wanted.select("cls", "doc_id", "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"]).dropDuplicates(["cls"]).select("cls", "grams"))
-    left, right = (sets.select(F.col("cls").alias(c), F.col("grams").alias(f"s{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("sa") + F.size("sb")).alias("total"))
-    return both.where(f"100 * s >= {percent} * (total - s)").select("a", "b")
+    left, right = (wanted.select(F.col("cls").alias(c), F.col("side").alias(f"s{c}")) for c in "ab")
+    dealt = keep(pairs.join(left, "a").join(right, "b").select("a", "b", F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("block")))
+    at = F.col("block").alias("at")
+    members = dealt.select(at, F.col("a").alias("cls")).union(dealt.select(at, "b")).distinct().join(sets, "cls")
+    return dealt.groupBy("block").cogroup(members.groupBy("at")).applyInPandas(_overlap_rows(percent), "a long, b long")
 
 
-def _hot_grams(sets: DataFrame, percent: int) -> np.ndarray:
-    """Sorted n-grams that go last in the order, at most HOTTEST of them."""
-    entries = sets.mapInArrow(_prefix_rows(percent, np.zeros(0, np.int64)), "gram long, row long, n long")
+def _hot_grams(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that go last in the order, at most HOTTEST of them, and their ranks from 1 on: the more entries, the later."""
+    none = np.zeros(0, np.int64)
+    entries = sets.mapInArrow(_prefix_rows(percent, none, none), "gram long, row long, n long")
     counts = keep(entries.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > HOT))
     beyond, least = 0, HOT
     # Different counts c > HOT add up to no more than all entries, so they are about as many as the root of those.
@@ -174,7 +212,12 @@ def _hot_grams(sets: DataFrame, percent: int) -> np.ndarray:
             least = m
             break
         beyond += grams
-    return np.sort(counts.where(F.col("m") > least).select("gram").toArrow().column(0).to_numpy())
+    found = counts.where(F.col("m") > least).toArrow()
+    gram, m = found.column("gram").to_numpy(), found.column("m").to_numpy()
+    rank = np.empty(len(gram), np.int64)
+    rank[np.lexsort((gram, m))] = np.arange(1, len(gram) + 1)
+    order = np.argsort(gram)
+    return gram[order], rank[order]
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -190,7 +233,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     hot = docs.sparkSession.sparkContext.broadcast(_hot_grams(incidence, percent))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _prefix_rows(percent, hot.value)(batches)
+        return _prefix_rows(percent, *hot.value)(batches)
 
     entries = incidence.mapInArrow(ordered, "gram long, row long, n long")
     shared = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
@@ -210,32 +253,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         )
         entries = keep(labelled.join(columns.where("pairs > 0"), "gram"))
         left, held = entries.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
-        if not held or left <= FEW * held or (before is not None and left > 0.8 * before):
+        if not held or number and (left <= FEW * held or left > 0.8 * before):
             break
         before, number = left, number + 1
         centre = entries.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(number))).alias("c"))
         stars = entries.join(centre, "gram").where(F.col("label") != F.col("c.label")).select(
             F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb")
         ).where(_fits("na", "nb", percent)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        found = keep(_confirmed(keep(stars.where(_enough("shared", "na", "nb", percent)).select("a", "b")), docs, alike, size, percent))
+        likely = keep(stars.where(_enough("shared", "na", "nb", percent)).select("a", "b", "shared"))
+        # One pair for each class, the likeliest: full sets travel with pairs.
+        most = likely.select(F.col("a").alias("c"), "*").union(likely.select(F.col("b").alias("c"), "*"))
+        most = most.groupBy("c").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        found = keep(_confirmed(keep(most), docs, alike, size, percent))
         links = found if links is None else links.union(found)
         labels = components(links)
         entries = entries.select("gram", "cls", "n")
 
     if held:
-        blocks = -(-held // ROWS)
-        short = F.col("m") <= LONG
-        cuts = F.ceil(F.col("m") / LONG).cast("int")
-        own = F.when(short, 0).otherwise(F.pmod(F.xxhash64("cls"), cuts).cast("int"))
-        dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.when(short, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), cuts - 1))))
-        dealt = dealt.select(
-            F.when(short, F.pmod(F.xxhash64("gram"), F.lit(blocks))).otherwise(F.col("gram")).alias("block"),
-            F.when(short, -1).otherwise(F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"), "gram", "cls", "n", "label",
+        # Columns cut into the same number of row blocks share them, so that a block adds up several columns.
+        cuts = F.when(F.col("m") <= LONG, 1).otherwise(F.pow(2, F.ceil(F.log2(F.col("m") / LONG)))).cast("int")
+        totals = entries.withColumn("cuts", cuts).groupBy("cuts").agg(F.ceil(F.count("*") / (ROWS * F.col("cuts"))).cast("int").alias("blocks"))
+        dealt = entries.withColumn("cuts", cuts).join(F.broadcast(totals), "cuts")  # a row per power of two
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+            F.struct("cuts", F.pmod(F.xxhash64("gram"), "blocks")).alias("block"),
+            F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "gram", "cls", "n", "label",
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         )
         product = dealt.groupBy("block", "i", "j").applyInPandas(_product_rows(percent), "a long, b long, na long, nb long, shared long")
         pairs = product.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(_enough("shared", "na", "nb", percent))
-        found = _confirmed(keep(pairs.select("a", "b")), docs, alike, size, percent)
+        pairs = keep(pairs.select("a", "b"))
+        found = _confirmed(pairs, docs, alike, size, percent)
         links = found if links is None else links.union(found)
 
     # Rows of one doc_id are one document, whatever their sets.
