@@ -1,9 +1,9 @@
 """Linking anchors and question texts to vocabularies.
 
-Containment is decided by equality: the longer side is taken apart into its
-substrings (or word runs) of the lengths the shorter side actually has, and the
-two meet in a hash join. No pair is formed that does not match, and both sides
-may be of any size.
+Containment of strings is found by automata over vocabulary blocks; containment
+of word runs is decided by equality: the longer side is taken apart into its
+runs of the lengths the shorter side actually has, and the two meet in a hash
+join. No pair is formed that does not match, and both sides may be of any size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import dates, text as tx
+from graphloom.operators.occurrence import contained_entries
 
 # ---- fixed values -----------------------------------------------------------
 MIN_VENUE_NAME = 6
@@ -29,30 +30,6 @@ BARE_DAY = (
 # -----------------------------------------------------------------------------
 
 
-def _lengths(df: DataFrame, col: Column) -> Column:
-    """The distinct string lengths of a column, as a scalar array."""
-    return df.agg(F.array_sort(F.collect_set(F.length(col)))).scalar()
-
-
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-
-    def of_length(n: Column) -> Column:
-        return F.when(
-            n <= F.length(text),
-            F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
-def contained_entries(texts: DataFrame, text: str, vocab: DataFrame, entry: str) -> DataFrame:
-    """(text, entry) wherever the entry occurs inside the text; both already normalised."""
-    sized = texts.select(text).distinct().withColumn("_n", _lengths(vocab, F.col(entry)))
-    parts = sized.select(text, F.explode(_substrings(F.col(text), F.col("_n"))).alias(entry))
-    return parts.join(vocab.select(entry).distinct(), entry)
-
-
 def link_vocabulary(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     """(query, entry, tier): exact, else the longest entry inside the query, else
     the only entry around it. Unlinked queries are absent.
@@ -74,8 +51,7 @@ def link_vocabulary(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     )
     rest = asked.join(first.select("query"), "query", "left_anti")
     wider = (
-        entries.withColumn("_n", _lengths(rest, F.col("q")))
-        .select("entry", F.explode(_substrings(F.col("e"), F.coalesce("_n", F.array().cast("array<int>")))).alias("q"))
+        contained_entries(entries, "e", rest, "q").join(entries, "e")
         .groupBy("q")
         .agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"))
         .where(F.col("n") == 1)

@@ -24,19 +24,21 @@ from graphloom.sources.runs import RECORD
 from graphloom.sources.tables import TableStore
 
 
-def tail_records(spark: SparkSession, folder: str) -> DataFrame:
+def tail_records(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Run records as they are appended to a directory of run files or to the records folder of a run store.
 
     Header lines and an unfinished last line hold no question and are passed over, as are invalid run ids.
     """
-    lines = spark.readStream.schema(RECORD).json(folder)
+    reader = spark.readStream.schema(RECORD)
+    lines = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(folder)
     return lines.where(F.col("question_id").isNotNull() & is_run_id(F.col("run_id")))
 
 
-def tail_table(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
-    """Parquet files of one table as a stream."""
+def tail_table(spark: SparkSession, folder: str, file_glob: str, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files of one table as a stream; ``files_per_batch`` bounds a batch."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def latest_per_key(records: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -65,47 +67,47 @@ def live_summary(answers: DataFrame) -> DataFrame:
     )
 
 
-def numbered_trace(steps: DataFrame) -> DataFrame:
-    """Trace steps numbered, with running tokens and the first deviation flagged.
+def numbered_trace(steps: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+    """Trace steps numbered, with running tokens and the first deviation flagged, in whatever order they arrive (update mode).
 
-    ``steps``: run_key, order_no, route, path_name, declared, tokens_in,
-    tokens_out. State is one small counter row per run; late steps of a run are
-    numbered in arrival order, steps of one batch by order_no.
+    ``steps``: run_key, order_no, route, path_name, declared, tokens_in, tokens_out. State is a run's steps in order, as
+    bounded as a trace, and goes ``keep_ms`` after its last step. A step that arrives late takes its place, and it and the steps
+    after it are emitted anew: write them to a table keyed by run_key and order_no.
     """
     marked = steps.withColumn("off_route", off_route(F.col("route"), F.col("path_name"))).select(
         "run_key", "order_no", F.coalesce("off_route", F.lit(False)).alias("off_route"),
         F.coalesce("declared", F.lit(False)).alias("declared"), "tokens_in", "tokens_out",
     )
+    kept = ["order_no", "off_route", "declared", "tokens_in", "tokens_out"]
     out = (
         "run_key string, order_no long, step_n long, cum_tokens_in long, cum_tokens_out long, strategy_change boolean"
     )
-    state_schema = "n long, spent_in long, spent_out long, deviated boolean"
+    state_schema = "order_no array<long>, off_route array<boolean>, declared array<boolean>, tokens_in array<long>, tokens_out array<long>"
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, spent_in, spent_out, deviated = state.get if state.exists else (0, 0, 0, False)
-        rows = pd.concat(list(frames)).sort_values("order_no")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        arrived = pd.concat([f[kept] for f in frames])
+        before = pd.DataFrame(dict(zip(kept, map(list, state.get), strict=True))) if state.exists else arrived.iloc[:0]
+        rows = pd.concat([before, arrived]).drop_duplicates("order_no", keep="last").sort_values("order_no")
+        state.update(tuple(rows[c].tolist() for c in kept))
+        state.setTimeoutDuration(keep_ms)
         off = rows["off_route"].to_numpy(dtype=bool)
-        first = off & (off.cumsum() == 1) & (not deviated)
         result = pd.DataFrame(
             {
                 "run_key": key[0],
                 "order_no": rows["order_no"].to_numpy(),
-                "step_n": n + 1 + pd.RangeIndex(len(rows)).to_numpy(),
-                "cum_tokens_in": spent_in + rows["tokens_in"].cumsum().to_numpy(),
-                "cum_tokens_out": spent_out + rows["tokens_out"].cumsum().to_numpy(),
-                "strategy_change": first | rows["declared"].to_numpy(dtype=bool),
+                "step_n": 1 + pd.RangeIndex(len(rows)).to_numpy(),
+                "cum_tokens_in": rows["tokens_in"].astype("int64").cumsum().to_numpy(),
+                "cum_tokens_out": rows["tokens_out"].astype("int64").cumsum().to_numpy(),
+                "strategy_change": (off & (off.cumsum() == 1)) | rows["declared"].to_numpy(dtype=bool),
             }
         )
-        state.update(
-            (
-                n + len(rows), int(spent_in + rows["tokens_in"].sum()), int(spent_out + rows["tokens_out"].sum()),
-                bool(deviated or off.any()),
-            )
-        )
-        yield result
+        yield result[result["order_no"] >= arrived["order_no"].min()]
 
     return marked.groupBy("run_key").applyInPandasWithState(
-        advance, out, state_schema, "append", GroupStateTimeout.NoTimeout
+        advance, out, state_schema, "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -147,9 +149,43 @@ def pipeline_status(events: DataFrame) -> DataFrame:
     )
 
 
-def unique_events(events: DataFrame, key: str) -> DataFrame:
-    """Events once per id, however late they arrive: the ids seen are kept in the state store, on disk."""
-    return events.dropDuplicates([key])
+def unique_events(events: DataFrame, key: str, keep_ms: int = 86_400_000) -> DataFrame:
+    """Events once per id for as long as its state lives: ``keep_ms`` after the id was last seen (update mode).
+
+    A repeat that comes later passes; a sink keyed by ``key`` that keeps the first row (``drain_merged`` with ``first``) leaves one.
+    """
+    columns = events.columns
+
+    def first(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = next((f for f in frames if len(f)), None)
+        if not state.exists and rows is not None:
+            yield rows.iloc[:1][columns]
+        state.update((True,))
+        state.setTimeoutDuration(keep_ms)
+
+    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def drain_merged(
+    stream: DataFrame, store: TableStore, name: str, keys: list[str], checkpoint: str, first: bool = False, partition_by: tuple[str, ...] = (),
+) -> None:
+    """Run a stream over everything available and merge what each batch emits into a keyed table.
+
+    The last row of a key stays, or with ``first`` the first. A batch that is run again after a failure is published once, so the stream
+    may be stopped and started with the same ``checkpoint`` at any time. The table's ``_batch`` holds a row's batch number.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_batch", F.lit(-batch_id if first else batch_id).cast("long"))
+        store.merge(name, rows, keys, "_batch", partition_by, whole_rows=True, batch=(checkpoint, batch_id))
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
 
 
 def embed_stream(
