@@ -104,6 +104,13 @@ def edition_index(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     )
 
 
+def embedding_edges(coverage: DataFrame) -> DataFrame:
+    """HAS_EMBEDDING edges from a chunk to its vector of each model; ``coverage``: model_key, chunk_id."""
+    return coverage.select(
+        F.lit("HAS_EMBEDDING").alias("etype"), F.col("chunk_id").alias("src"), F.concat_ws("|", "model_key", "chunk_id").alias("dst")
+    ).distinct()
+
+
 def edition_links(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     """(etype, src, dst) per stated neighbour edition; dst NULL when unresolved.
 

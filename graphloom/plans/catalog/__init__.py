@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every catalog module once."""
     from graphloom.plans.catalog import (  # noqa: F401
-        corpus, evidence, graph, linking, retrieval, runs, streams, text, vectors,
+        corpus, evidence, graph, linking, retrieval, runs, stores, streams, text, vectors,
     )
