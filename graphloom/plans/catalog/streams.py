@@ -34,18 +34,19 @@ class StreamWorld(World):
 
 def fed(
     spark: SparkSession, sf: str, name: str, stream: Callable[[StreamWorld], DataFrame], keys: list[str], first: bool = False,
-    change: Callable[[DataFrame, int], DataFrame] = lambda df, half: df,
+    change: Callable[[DataFrame, int], DataFrame] = lambda df, half: df, forgets: bool = False,
 ) -> DataFrame:
     """The table that a stream over a growing folder leaves: two files arrive, the stream runs and ends; two more, and it is started again.
 
-    Rows are dealt to the files by a hash, so they arrive out of order.
+    Rows are dealt to the files by a hash, so they arrive out of order. With ``forgets`` all state has expired when it is started again, and
+    every file is read once more.
     """
     root = f"{checkpoint_root(spark)}/feed-{uuid.uuid4().hex}"
     store, table = TableStore(spark, f"{root}/store", buckets=4), World(spark, sf).table(name)
     for half in range(2):
         arriving = change(table.where(F.pmod(F.xxhash64(*table.columns), F.lit(2)) == half), half)
         arriving.repartition(2, F.xxhash64(*table.columns)).write.mode("append").parquet(f"{root}/in")
-        live.drain_merged(stream(StreamWorld(spark, sf, name, f"{root}/in")), store, "out", keys, f"{root}/checkpoint", first)
+        live.drain_merged(stream(StreamWorld(spark, sf, name, f"{root}/in")), store, "out", keys, f"{root}/checkpoint{half * forgets}", first)
     return store.read("out")
 
 
@@ -127,7 +128,7 @@ def _ceiling(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str8_unique_events", "SELECT event_id, user_id, 'first' AS copy FROM events")
 def _unique(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event comes twice in its file, and half of them again after the state of their ids has expired."""
+    """Every event comes twice in its file, and half of them, changed, and all first files again after the state of their ids has expired."""
 
     def copies(df: DataFrame, half: int) -> DataFrame:
         twice = df.withColumn("copy", F.lit("first")).withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
@@ -135,9 +136,9 @@ def _unique(spark: SparkSession, sf: str) -> DataFrame:
         return twice.unionByName(late) if half else twice
 
     def unique(w: StreamWorld) -> DataFrame:
-        return live.unique_events(w.table("events").select("event_id", "user_id", "copy"), "event_id", keep_ms=1)
+        return live.unique_events(w.table("events").select("event_id", "user_id", "copy"), "event_id")
 
-    return fed(spark, sf, "events", unique, ["event_id"], first=True, change=copies).drop("_batch")
+    return fed(spark, sf, "events", unique, ["event_id"], first=True, change=copies, forgets=True).drop("_batch")
 
 
 @query(

@@ -67,11 +67,16 @@ def live_summary(answers: DataFrame) -> DataFrame:
     )
 
 
-def numbered_trace(steps: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+def _timeout(keep_ms: int | None) -> str:
+    """Timers wake a running stream again and again; one that ends when its input does (``availableNow``) takes none."""
+    return GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+
+
+def numbered_trace(steps: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Trace steps numbered, with running tokens and the first deviation flagged, in whatever order they arrive (update mode).
 
     ``steps``: run_key, order_no, route, path_name, declared, tokens_in, tokens_out. State is a run's steps in order, as
-    bounded as a trace, and goes ``keep_ms`` after its last step. A step that arrives late takes its place, and it and the steps
+    bounded as a trace, and goes ``keep_ms`` after its last step where that is given. A step that arrives late takes its place, and it and the steps
     after it are emitted anew: write them to a table keyed by run_key and order_no.
     """
     marked = steps.withColumn("off_route", off_route(F.col("route"), F.col("path_name"))).select(
@@ -88,26 +93,25 @@ def numbered_trace(steps: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        arrived = pd.concat([f[kept] for f in frames])
-        before = pd.DataFrame(dict(zip(kept, map(list, state.get), strict=True))) if state.exists else arrived.iloc[:0]
-        rows = pd.concat([before, arrived]).drop_duplicates("order_no", keep="last").sort_values("order_no")
-        state.update(tuple(rows[c].tolist() for c in kept))
-        state.setTimeoutDuration(keep_ms)
-        off = rows["off_route"].to_numpy(dtype=bool)
-        result = pd.DataFrame(
-            {
-                "run_key": key[0],
-                "order_no": rows["order_no"].to_numpy(),
-                "step_n": 1 + pd.RangeIndex(len(rows)).to_numpy(),
-                "cum_tokens_in": rows["tokens_in"].astype("int64").cumsum().to_numpy(),
-                "cum_tokens_out": rows["tokens_out"].astype("int64").cumsum().to_numpy(),
-                "strategy_change": (off & (off.cumsum() == 1)) | rows["declared"].to_numpy(dtype=bool),
-            }
-        )
-        yield result[result["order_no"] >= arrived["order_no"].min()]
+        # A run's steps are few: plain rows cost less than frames of their own.
+        arrived = [row for f in frames for row in zip(*(f[c].tolist() for c in kept), strict=True)]
+        steps = {row[0]: row for row in (*(zip(*state.get, strict=True) if state.exists else ()), *arrived)}
+        rows = [steps[k] for k in sorted(steps)]
+        state.update(tuple(map(list, zip(*rows, strict=True))))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
+        since = min((row[0] for row in arrived), default=None)
+        spent_in = spent_out = 0
+        deviated, numbered = False, []
+        for n, (order_no, off, declared, tokens_in, tokens_out) in enumerate(rows, 1):
+            spent_in, spent_out = spent_in + int(tokens_in or 0), spent_out + int(tokens_out or 0)
+            if since is not None and order_no >= since:
+                numbered.append((key[0], order_no, n, spent_in, spent_out, bool(declared or off and not deviated)))
+            deviated = deviated or bool(off)
+        yield pd.DataFrame(numbered, columns=["run_key", "order_no", "step_n", "cum_tokens_in", "cum_tokens_out", "strategy_change"])
 
     return marked.groupBy("run_key").applyInPandasWithState(
-        advance, out, state_schema, "update", GroupStateTimeout.ProcessingTimeTimeout
+        advance, out, state_schema, "update", _timeout(keep_ms)
     )
 
 
@@ -149,8 +153,8 @@ def pipeline_status(events: DataFrame) -> DataFrame:
     )
 
 
-def unique_events(events: DataFrame, key: str, keep_ms: int = 86_400_000) -> DataFrame:
-    """Events once per id for as long as its state lives: ``keep_ms`` after the id was last seen (update mode).
+def unique_events(events: DataFrame, key: str, keep_ms: int | None = None) -> DataFrame:
+    """Events once per id for as long as its state lives: where ``keep_ms`` is given, so long after the id was last seen (update mode).
 
     A repeat that comes later passes; a sink keyed by ``key`` that keeps the first row (``drain_merged`` with ``first``) leaves one.
     """
@@ -164,9 +168,10 @@ def unique_events(events: DataFrame, key: str, keep_ms: int = 86_400_000) -> Dat
         if not state.exists and rows is not None:
             yield rows.iloc[:1][columns]
         state.update((True,))
-        state.setTimeoutDuration(keep_ms)
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
 
-    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen boolean", "update", _timeout(keep_ms))
 
 
 def drain_merged(
@@ -175,11 +180,12 @@ def drain_merged(
     """Run a stream over everything available and merge what each batch emits into a keyed table.
 
     The last row of a key stays, or with ``first`` the first. A batch that is run again after a failure is published once, so the stream
-    may be stopped and started with the same ``checkpoint`` at any time. The table's ``_batch`` holds a row's batch number.
+    may be stopped and started with the same ``checkpoint`` at any time. The table's ``_batch`` orders the batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_batch", F.lit(-batch_id if first else batch_id).cast("long"))
+        order = store.version(name)
+        rows = batch.withColumn("_batch", F.lit(-order if first else order).cast("long"))
         store.merge(name, rows, keys, "_batch", partition_by, whole_rows=True, batch=(checkpoint, batch_id))
 
     query = (
