@@ -224,7 +224,9 @@ def _grounding(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.operators.scoring import grounding
 
     turns = World(spark, sf).table("conversations")
-    texts = turns.groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    texts = turns.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts")
+    )
     return turns.join(texts, "conv_id").select(
         "conv_id", "turn", F.round(grounding(F.lower("role"), F.col("texts")), 6).alias("grounded")
     )
