@@ -6,10 +6,12 @@ shingle are therefore one contiguous slice of one table. Bands of five coordinat
 
 Links are always confirmed on the full shingle sets. Within a bucket no list of all pairs is ever made:
 
-1. equal sets are one class, represented by its smallest id;
+1. equal sets are one class, represented by its smallest id; buckets that hold the same classes are one;
 2. every member of a bucket is compared with the bucket's smallest id, and confirmed links are merged to components;
-3. buckets whose members still fall into several components are compared in blocks of at most ``BLOCK`` members a
-   side inside tasks, and only the best link between two components leaves the task; it is confirmed on the full sets.
+3. buckets of more than ``BLOCK`` members that still fall into several components choose another centre, and so on until
+   none is left or a round no longer saves a fifth of the pairs;
+4. what is still split is compared in blocks of about ``BLOCK`` members a side inside tasks, on the full sets; members of a
+   bucket's largest component only meet the others. One link between two components leaves the task.
 
 With 40 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 
@@ -99,20 +101,23 @@ def _best_links(percent: int):
     def rows(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates("rep").reset_index(drop=True)
         n, label, side = block["n"].to_numpy(), block["label"].to_numpy(), block["side"].to_numpy()
-        values = np.concatenate(block["prints"].to_list())
-        owner = np.repeat(np.arange(len(block)), block["prints"].map(len))
-        _, column = np.unique(values, return_inverse=True)
-        shared = np.zeros((len(block), len(block)), np.float32)
-        for at in range(0, column.max() + 1, 4096):
+        rep = block["rep"].to_numpy()
+        values, owner = np.concatenate(block["shingles"].to_list()), np.repeat(np.arange(len(block)), n)
+        _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+        several = held[column] > 1  # the others are in no intersection
+        owner, (kinds, column) = owner[several], np.unique(column[several], return_inverse=True)
+        shared = np.zeros((len(block), len(block)), np.float32)  # whole numbers far below 2**24
+        for at in range(0, len(kinds), 4096):
             here = (column >= at) & (column < at + 4096)
             dense = np.zeros((len(block), 4096), np.float32)
             dense[owner[here], column[here] - at] = 1
             shared += dense @ dense.T
-        union = n[:, None] + n[None, :] - shared
-        fits = (100 * shared >= percent * union) & (label[:, None] < label[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
-        i, j = np.nonzero(fits)
-        found = pd.DataFrame({"a": block["rep"].to_numpy()[i], "b": block["rep"].to_numpy()[j], "x": label[i], "y": label[j], "s": (shared / union)[i, j]})
-        return found.sort_values("s", ascending=False, kind="stable").drop_duplicates(["x", "y"])[["a", "b"]]
+        i, j = np.nonzero((label[:, None] < label[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
+        both = shared[i, j].astype(np.int64)
+        linked = 100 * both >= percent * (n[i] + n[j] - both)
+        i, j = i[linked], j[linked]
+        found = pd.DataFrame({"a": rep[i], "b": rep[j], "x": label[i], "y": label[j]})
+        return found.drop_duplicates(["x", "y"])[["a", "b"]]
 
     return rows
 
@@ -149,22 +154,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = keep(_confirmed(stars, sets, percent))
     labels = components(links)
 
-    members = grouped.where("size > 2").select("bucket", "rep", "n", "size")
-    labelled = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "n", "size", F.coalesce("label", "rep").alias("label"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    # Buckets that hold the same classes ask for the same pairs: one of them is enough.
+    crowded = grouped.where("size > 2").select("bucket", "rep", "n")
+    alike = crowded.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    members = crowded.join(alike.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+    before, number = None, 0
+    while True:
+        labelled = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+        shape = shares.groupBy("bucket").agg(
+            F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"),
+            ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"),
+        )
+        open_members = keep(labelled.join(shape.where("pairs > 0"), "bucket"))
+        large = open_members.where(F.col("m") > BLOCK)
+        left, held = large.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
+        if not held or before is not None and left > 0.8 * before:
+            break
+        before, number = left, number + 1
+        # The same classes choose the same centre in every bucket.
+        centre = large.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(number))).alias("c"))
+        stars = large.join(centre, "bucket").where(f"label <> c.label AND {possible}")
+        stars = keep(stars.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
+        links = links.union(keep(_confirmed(stars, sets, percent)))
+        labels = components(links)
+        members = open_members.select("bucket", "rep", "n")
+
+    # The rest in blocks. Members of a bucket's largest component need not meet each other, only the blocks of the others.
+    small = F.col("label") != F.col("main")
+    others, mains = (F.ceil(c / BLOCK).cast("int") for c in (F.col("m") - F.col("most"), F.col("most")))
+    whole = F.col("m") <= BLOCK
+    mine = F.when(whole, 0).when(small, F.pmod(F.xxhash64("rep"), others)).otherwise(others + F.pmod(F.xxhash64("rep"), mains)).cast("int")
+    last = F.when(whole, 0).when(small, others + mains - 1).otherwise(others - 1)
     dealt = (
-        labelled.join(open_buckets, "bucket").withColumn("mine", mine).withColumn("other", other)
+        open_members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select(
             "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "label",
             F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
-    prints = sets.select("rep", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")).alias("prints"))
-    best = dealt.join(prints, "rep").groupBy("bucket", "i", "j").applyInPandas(_best_links(percent), "a long, b long").distinct()
-    labels = components(links.union(_confirmed(keep(best), sets, percent)))
+    best = dealt.join(sets.select("rep", "shingles"), "rep").groupBy("bucket", "i", "j").applyInPandas(_best_links(percent), "a long, b long").distinct()
+    labels = components(links.union(keep(best)))
 
     named = classes.select("n", "h1", "h2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component"))
     return signatures.drop("bands").join(named, ["n", "h1", "h2"], "left").select(
