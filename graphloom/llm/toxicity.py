@@ -39,7 +39,7 @@ from graphloom.llm.words import mix
 ORDER, SPAN, DECAY = 4, 6, 0.6
 LANDMARKS = 400
 START = "\x02"
-CACHE = 400_000
+CACHE = 200_000
 #: Words described at a time.
 CHUNK = 4_096
 #: Clean words looked at for negatives, the frequent ones first.
