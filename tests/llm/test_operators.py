@@ -9,10 +9,11 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, line_dedup, nearest, packing, secrets, substring_dedup, surrogates, toxicity
+from graphloom.llm import decontaminate, html_text, line_dedup, near_dedup, nearest, packing, secrets, substring_dedup, surrogates, toxicity
 from graphloom.llm.components import components
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.words import Runs
@@ -230,6 +231,20 @@ def test_packing_of_documents(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.byte_encoder(path)
+    rng = np.random.default_rng(44)
+    alphabet = ["a", "The", "don't", "'LL", "'s", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\u00a0", "\u3000", "12", "_", "--", "é", "日本", "語", "🙂", "x" * 60, "<|endoftext|>"]
+    texts = ["".join(alphabet[k] for k in rng.integers(0, len(alphabet) - (i % 5 > 0), int(rng.integers(0, 30)))) for i in range(3000)]
+    texts += ["a" * 5000, " " * 5000, " " * 200_000 + "b", "ab" * 100_000, "x\n" * 5000]
+    assert packing._merging(path) is not None
+    assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 # --- 5
 
 
@@ -279,7 +294,9 @@ def brute_groups(rows, size, percent):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = np.random.default_rng(6)
     base, rows = words(120, 5), []
     for i in range(160):  # a large family whose members are at 0.5 to 1 of each other, and strangers
@@ -295,6 +312,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in odd) == {(None, None, False): 1, (4, 4, True): 2, (9, 4, False): 1}
 
 
+def test_near_duplicates_exactly_at_the_threshold(spark):
+    common = words(80, 61, 10**6)
+    rows = [(i, " ".join(common + words(10, 62 + i, 10**6))) for i in range(30)]  # any two share 80 of 100
+    rows += [(100 + i, " ".join(common + words(11, 200 + i, 10**6))) for i in range(3)]  # and these only 80 of 101 or more
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), size=1).collect()}
+    assert got == {i: top for i, (_, top) in brute_groups(rows, 1, 80).items()}
+
+
+def test_best_links_leave_one_link_for_two_components():
+    sets = [np.arange(90), np.arange(10, 100), np.arange(11, 101), np.arange(500, 590)]
+    block = pd.DataFrame({"bucket": 1, "i": 0, "j": 0, "rep": [1, 2, 3, 4], "n": 90, "label": [1, 2, 2, 4], "side": 2, "shingles": sets})
+    assert near_dedup._best_links(80)(block).to_numpy().tolist() == [[1, 2]]
+
+
 # --- 7
 
 
