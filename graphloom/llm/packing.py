@@ -10,6 +10,9 @@ them.
 Ranks are counted within (length, salt) and shifted by the counts of the smaller salts, so a length that a third of all
 pieces share is spread over ``SALTS`` groups.
 
+Ids are those of the tokenizer file. Texts whose characters every engine classes alike are merged by ``tiktoken`` from the file's own
+vocabulary, which holds no state between texts; all others by ``tokenizers``.
+
 Defined cases: a null or empty text is one piece that holds the end mark alone; repeated rows are packed each; an empty
 table gives no pieces; a piece of the full length fills a sequence.
 """
