@@ -485,3 +485,32 @@ def test_surrogates_stay_distinct(spark):
     got = surrogates.assign(found, "k").collect()
     assert len(got) == 5000 == len({(r["kind"], r["surrogate"]) for r in got})
     assert not {(r["kind"], r["surrogate"]) for r in got} & {(r["kind"], r["form"]) for r in got}
+
+
+def test_surrogates_carry_names(spark):
+    long = "word " * 60_000
+    rows = [
+        (1, "Frau Anna Schmidt kam. Anna lachte. Schmidt sagte es."), (2, "Mr. John Lee left, John Lee agreed, and Lee's dog too."),
+        (3, "Dr. Anna Schmidt und Frau Dr. Anna Schmidt"), (4, "call 555-123-4567 or 555.123.4567"), (5, long + "Mrs. Ida Brandt " + long + "Brandt"),
+        (6, "Schmidt and Anna are not found by a form of address here"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    anna, schmidt = got[1].split()[1:3]
+    assert got[1] == f"Frau {anna} {schmidt} kam. {anna} lachte. {schmidt} sagte es." and "Anna" not in got[1] and "Schmidt" not in got[1]
+    john, lee = got[2].split()[1:3]
+    assert got[2] == f"Mr. {john} {lee} left, {john} {lee} agreed, and {lee}'s dog too." and "Lee" not in got[2]
+    assert got[3] == f"Dr. {anna} {schmidt} und Frau Dr. {anna} {schmidt}"
+    one, other = got[4].split()[1], got[4].split()[3]
+    assert one.replace("-", "") == other.replace(".", "") != "5551234567"
+    assert "Brandt" not in got[5] and "Ida" not in got[5] and got[5].startswith(long) and len(got[5].split()) == len(rows[4][1].split())
+    assert got[6] == rows[5][1]
+
+
+def test_surrogates_of_a_full_space(spark):
+    """All addresses of one letter each, and all telephone numbers of a short format: the rounds end, all stay distinct."""
+    mails = [(f"a@{chr(97 + i % 26)}.s{i}.com") for i in range(900)]
+    phones = [f"+12{i:03d}" for i in range(1000)]
+    rows = [(i, t) for i, t in enumerate(mails + phones)]
+    got = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert len({r["text"] for r in got}) == len(rows) and all(r["n_entities"] == 1 for r in got)
+    assert not {r["text"] for r in got} & set(mails + phones)
