@@ -167,22 +167,40 @@ def count_members(
     questions: DataFrame, events: DataFrame, limit: int | None = None,
     min_confidence: float = MIN_CONFIDENCE, missing: str = "zero",
 ) -> DataFrame:
-    """The counted events per question, first ``limit`` by event id (None: all)."""
+    """The counted events per question, first ``limit`` by event id (None: all).
+
+    Questions meet cells (a scope with constrainable values), never single events, to decide what passes. With a limit, a cell
+    holds its first ``limit`` events only, cut at the finest scopes before they are copied to the coarser ones; without one, events
+    stay at their finest scope and are read once, by the cells that pass.
+    """
     asked = _signatures(questions)
     distinct = asked.select("signature", "scope", "constraints").dropDuplicates(["signature"])
     wanted = distinct.select("scope").distinct()
-    rows = scoped(
-        events.where(F.col("parse_confidence") >= min_confidence).select(
-            *SCOPE, "event_id", "event_name", "doc_id", "title", *COUNT_FIELDS
-        )
-    ).join(wanted, "scope", "left_semi")
-    hits = distinct.join(rows, "scope").where(_all_pass(missing))
-    if limit is not None:
-        by_id = Window.partitionBy("signature").orderBy("event_id", "doc_id")
-        hits = hits.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= limit)
-    return asked.select("qid", "signature").join(
-        hits.select("signature", "event_id", "event_name", "doc_id", "title", *COUNT_FIELDS), "signature"
-    ).drop("signature")
+    rows = events.where(F.col("parse_confidence") >= min_confidence).select(
+        *SCOPE, "event_id", "event_name", "doc_id", "title", *COUNT_FIELDS
+    )
+    # NULL and "" are the same anchor of a scope, and one cell.
+    finest = F.to_json(F.struct(*[_given(c).alias(c) for c in SCOPE], *COUNT_FIELDS))
+    shown = ("event_id", "event_name", "doc_id", "title", *COUNT_FIELDS)
+
+    def passing(cells: DataFrame) -> DataFrame:
+        return distinct.join(cells, "scope").where(_all_pass(missing)).select("signature", "cell")
+
+    if limit is None:
+        held = rows.withColumn("cell", finest)
+        cells = scoped(held.select(*SCOPE, *COUNT_FIELDS, "cell").dropDuplicates(["cell"])).join(wanted, "scope", "left_semi")
+        hits = passing(cells).join(held, "cell")
+    else:
+        def first(held: DataFrame, *key: str) -> DataFrame:
+            by_id = Window.partitionBy(*key).orderBy("event_id", "doc_id")
+            return held.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= limit).drop("rank")
+
+        kept = first(rows.withColumn("cell", finest), "cell").drop("cell")
+        spread = scoped(kept).join(wanted, "scope", "left_semi").withColumn("cell", F.to_json(F.struct("scope", *COUNT_FIELDS)))
+        spread = first(spread, "cell")
+        hits = passing(spread.select("scope", *COUNT_FIELDS, "cell").dropDuplicates(["cell"])).join(spread, "cell")
+        hits = first(hits.select("signature", *shown), "signature")
+    return asked.select("qid", "signature").join(hits.select("signature", *shown), "signature").drop("signature")
 
 
 def count_description(constraints: Column) -> Column:

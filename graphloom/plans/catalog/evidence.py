@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.operators import documents as docs
 from graphloom.operators import evidence as ev
+from graphloom.operators import graph as g
 from graphloom.operators import retrieval as rt
 from graphloom.plans import answer as an
 from graphloom.plans.catalog import query
-from graphloom.plans.catalog.sql import EVENTS, STOP, normalize, word_set
+from graphloom.plans.catalog.corpus import CHUNKS
+from graphloom.plans.catalog.sql import CENTRES, EVENTS, STOP, normalize, word_set
 from graphloom.plans.world import World
 from graphloom.session import cut_lineage
 
@@ -253,9 +255,17 @@ def plan_questions(w: World) -> DataFrame:
     )
 
 
-@query(
-    "ev18_answer_evidence",
-    f"""WITH {EVENTS}, q AS (SELECT 'q' || c_custkey AS qid, c_custkey % 5 AS m, n_name, 'Race of ' || c_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey),
+_DIRECT = f"""{EVENTS}, q AS (SELECT 'q' || c_custkey AS qid, c_custkey % 5 AS m, c_custkey, n_name, 'Race of ' || c_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    chain AS (SELECT sport, event_name, date_year AS y, arg_max(event_id, o_orderkey) AS target FROM ev GROUP BY ALL),
+    steps AS (SELECT d.etype, e.event_id AS src, c.target AS dst FROM ev e CROSS JOIN (VALUES ('PREV_EDITION', -1), ('NEXT_EDITION', 1)) d(etype, step)
+       JOIN chain c ON c.sport = e.sport AND c.event_name = e.event_name AND c.y = e.date_year + d.step),
+    walks AS (SELECT 'w' || c_custkey AS qid, c_custkey, c_custkey % 3 AS hops,
+       CASE WHEN c_custkey % 2 = 0 THEN 'PREV_EDITION' ELSE 'NEXT_EDITION' END AS etype,
+       CASE WHEN c_custkey % 2 = 0 THEN arg_max(event_id, o_orderkey) ELSE arg_min(event_id, o_orderkey) END AS start
+       FROM customer JOIN ev ON event_name = 'Race of ' || customer.c_name GROUP BY c_custkey),
+    one AS (SELECT qid, hops, etype, dst FROM walks JOIN steps USING (etype) WHERE src = start AND hops > 0),
+    reached AS (SELECT qid, start AS event_id FROM walks WHERE hops = 0 UNION ALL SELECT qid, dst FROM one WHERE hops = 1
+       UNION ALL SELECT qid, steps.dst FROM one JOIN steps ON steps.etype = one.etype AND steps.src = one.dst WHERE hops = 2),
     looked AS (SELECT qid, 'graph_traversal' AS source, event_id FROM q JOIN ev ON event_name = q.title WHERE m = 0),
     counted AS (SELECT qid, 'aggregation_count' AS source, event_id FROM q JOIN ev ON venue = n_name WHERE m = 1 AND competitors > 100 AND parse_confidence >= 0.9
        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY event_id) <= 30),
@@ -263,30 +273,79 @@ def plan_questions(w: World) -> DataFrame:
     best AS (SELECT qid, 'aggregation_argmax' AS source, event_id FROM q JOIN ev ON venue = n_name WHERE m = 2
        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY coalesce(nations, 0) DESC, event_id) <= 3),
     held AS (SELECT qid, 'multi_hop' AS source, event_id FROM (SELECT qid, event_id, CASE WHEN date_year = 1998 THEN 0 ELSE 1 END AS t FROM q JOIN ev ON venue = n_name
-       WHERE m IN (3, 4)) QUALIFY t = min(t) OVER (PARTITION BY qid))
-    SELECT * FROM looked UNION ALL SELECT * FROM counted UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM best UNION ALL SELECT * FROM held""",
-)
+       WHERE m IN (3, 4)) QUALIFY t = min(t) OVER (PARTITION BY qid)),
+    direct AS (SELECT * FROM looked UNION ALL SELECT * FROM counted UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM best UNION ALL SELECT * FROM held
+       UNION ALL SELECT qid, 'multi_hop', event_id FROM reached)"""
+
+
+def walk_questions(w: World) -> DataFrame:
+    """One walk per customer with events: from the last one back or from the first one on, by none, one or two editions."""
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    back = k % 2 == 0
+    ends = w.events_base().groupBy("event_name").agg(
+        F.max_by("event_id", "o_orderkey").alias("last"), F.min_by("event_id", "o_orderkey").alias("first")
+    )
+    return w.table("customer").withColumn("event_name", F.concat(F.lit("Race of "), F.col("c_name"))).join(ends, "event_name").select(
+        F.concat(F.lit("w"), k.cast("string")).alias("qid"),
+        F.when(k % 4 == 0, F.lit("zzz")).otherwise(F.concat(F.lit("Which edition of the "), F.col("event_name"), F.lit(" is it?"))).alias("question"),
+        F.lit("TRAVERSE").alias("operation"), none.alias("sport"), none.alias("games"), none.alias("venue"), none.alias("title"),
+        F.when(back, F.col("last")).otherwise(F.col("first")).alias("event_id"), F.array().cast(rt.CONSTRAINTS).alias("constraints"),
+        F.lit("nations").alias("target_field"), F.lit(None).cast("int").alias("date_year"), F.lit(None).cast("int").alias("date_month"),
+        F.lit(None).cast("int").alias("date_day_start"),
+        F.when(back, "PREV_EDITION").otherwise("NEXT_EDITION").alias("edge_type"), (k % 3).cast("int").alias("hops"),
+    )
+
+
+def all_questions(w: World) -> DataFrame:
+    asked = plan_questions(w).withColumns({"edge_type": F.lit("PREV_EDITION"), "hops": F.lit(1)})
+    return asked.unionByName(walk_questions(w))
+
+
+def event_links(w: World) -> DataFrame:
+    return cut_lineage(g.edition_links(w.event_chain()).where(F.col("dst").isNotNull()))
+
+
+@query("ev18_answer_evidence", f"WITH {_DIRECT} SELECT * FROM direct")
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
     w = World(spark, sf)
-    edges = w.spark.createDataFrame([], "etype string, src string, dst string")
-    return an.direct_evidence(plan_questions(w), cut_lineage(w.events()), edges, w.documents()).select(
+    return an.direct_evidence(cut_lineage(all_questions(w)), cut_lineage(w.events()), event_links(w), w.documents()).select(
         "qid", "source", "event_id"
     )
 
 
-@query("ev18_fallback_cascade")
+@query(
+    "ev18_fallback_cascade",
+    f"""WITH {_DIRECT}, {CHUNKS}, {CENTRES.replace("c AS (", "cen AS (")},
+    asked AS (SELECT qid, c_custkey, ['LOOKUP','COUNT','ARGMAX','TRAVERSE','LOOKUP'][m + 1] AS op, m = 3 AS mute FROM q
+      UNION ALL SELECT qid, c_custkey, 'TRAVERSE', c_custkey % 4 = 0 FROM walks),
+    seen AS (SELECT a.qid, a.c_custkey, count(d.qid) = 0 OR (op IN ('COUNT', 'ARGMAX') AND count(d.qid) FILTER (starts_with(source, 'aggregation')) = 0) AS unscoped,
+      count(event_id) = 0 OR bool_or(mute) AS ungrounded FROM asked a LEFT JOIN direct d USING (qid) GROUP BY a.qid, a.c_custkey, op),
+    near AS (SELECT label, chunk_id FROM (SELECT cen.label, 'D' || substr(e.chunk_id, 2) || '_c0' AS chunk_id, list_cosine_similarity(vector, emb) AS score, e.chunk_id AS own
+      FROM cen CROSS JOIN e) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk_id) <= 10),
+    upper_chunks AS (SELECT 'D' || substr(chunk_id, 2) AS chunk_id, 'D' || substr(doc_id, 2) AS doc_id FROM chunks),
+    second AS (SELECT qid, 'similarity_search' AS source, NULL AS event_id, chunk_id FROM seen JOIN near ON label = c_custkey % 10 JOIN upper_chunks USING (chunk_id) WHERE unscoped),
+    third AS (SELECT DISTINCT qid, 'document_retrieval' AS source, NULL AS event_id, chunk_id FROM seen JOIN direct USING (qid) JOIN ev USING (event_id)
+      JOIN upper_chunks USING (doc_id) WHERE ungrounded AND NOT unscoped)
+    SELECT qid, source, event_id, NULL AS chunk_id FROM direct UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third""",
+)
 def _cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Every route, walks over real links, then the two fallbacks: rows of all three passes.
+
+    Questions without a word of sense are never grounded, so they go on to the chunks of the documents they found; questions
+    without rows go on to the vectors of a label.
+    """
     w = World(spark, sf)
-    asked = plan_questions(w).withColumn("question", F.when(F.col("operation") == "TRAVERSE", "zzz").otherwise(F.col("question")))
-    # Two of the chunks' documents also carry events, so document expansion finds text.
+    mute = (F.col("operation") == "TRAVERSE") & F.startswith(F.col("qid"), F.lit("q"))
+    asked = cut_lineage(all_questions(w).withColumn("question", F.when(mute, "zzz").otherwise(F.col("question"))))
+    # Documents get the ids of the events' pages, so document expansion finds text.
     chunks = docs.chunk_documents(
         w.chunk_source().withColumn("doc_id", F.concat(F.lit("D"), F.expr("substring(doc_id, 2)")))
     )
     vectors = w.vectors().select(F.concat(F.lit("D"), F.expr("substring(chunk_id, 2)"), F.lit("_c0")).alias("chunk_id"), "emb")
-    queries = w.centroids().select(F.regexp_replace("qid", "label", "q").alias("qid"), "vector")
-    edges = w.spark.createDataFrame([], "etype string, src string, dst string")
-    return an.answer_evidence(cut_lineage(asked), cut_lineage(w.events()), edges, w.documents(), chunks, queries, vectors).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("qid").alias("questions")
+    queries = asked.select("qid", (F.expr("cast(substring(qid, 2) as bigint)") % 10).alias("label")).join(w.centroids().select("label", "vector"), "label").select("qid", "vector")
+    return an.answer_evidence(asked, cut_lineage(w.events()), event_links(w), w.documents(), chunks, queries, vectors).select(
+        "qid", "source", "event_id", "chunk_id"
     )
 
 

@@ -76,6 +76,17 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     return rt.count_members(count_questions(w), w.events())
 
 
+@query(
+    "agg2_first_members",
+    f"""WITH {_COUNT_SQL}
+    SELECT qid, event_id, event_name, doc_id, title, competitors, date_year, nations FROM passing WHERE parse_confidence >= 0.9
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY event_id, doc_id) <= 30""",
+)
+def _first_members(spark: SparkSession, sf: str) -> DataFrame:
+    w = World(spark, sf)
+    return rt.count_members(count_questions(w), w.events(), limit=rt.MAX_MEMBERS)
+
+
 @query(
     "agg2_count_evidence",
     f"""WITH {_COUNT_SQL}

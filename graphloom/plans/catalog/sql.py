@@ -39,6 +39,10 @@ links AS (
   FROM parts p CROSS JOIN (VALUES ('PREV_EDITION', -1), ('NEXT_EDITION', 1)) d(etype, step)
   LEFT JOIN edition_index i ON i.sport_name = p.sport_name AND i.event_name = p.event_name AND i.y = p.y + d.step)"""
 
+CENTRES = """e AS (SELECT 'v' || vec_id AS chunk_id, label, embedding::DOUBLE[] AS emb FROM embeddings),
+x AS (SELECT label, unnest(emb) AS v, generate_subscripts(emb, 1) AS i FROM e),
+c AS (SELECT 'label' || label AS qid, label, list(m ORDER BY i) AS vector FROM (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL) GROUP BY label)"""
+
 _WORDS = "[" + ", ".join(f"'{w}'" for w in NUMBER_WORDS) + "]"
 _PARTICLES = "Mac|Mc|Van|Di|De|Le|La"
 

@@ -83,6 +83,14 @@ class World:
             "l_orderkey", "o_orderkey"
         )
 
+    def event_chain(self) -> DataFrame:
+        """The events as parsed editions of a sport's race: each states the year before and after."""
+        year = F.col("date_year")
+        return self.events_base().select(
+            "event_id", "event_name", "doc_id", F.col("sport").alias("sport_name"), F.col("games").alias("games_id"),
+            (year - 1).alias("prev_year"), (year + 1).alias("next_year"), F.lit(True).alias("is_event"), F.col("o_orderkey").alias("line_no"),
+        )
+
     def documents(self) -> DataFrame:
         return self.events_base().select("doc_id", "title")
 

@@ -209,3 +209,49 @@ def test_late_events_are_kept_and_repeats_dropped(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = live.drain(live.unique_events(stream, "event_id"), "append", str(tmp_path / "run"))
     assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_counted_members_match_brute_force(spark):
+    """NULL and empty anchors, missing figures, constraints that fail, a limit cut at the finest scopes first."""
+    rows = [
+        (f"e{i:03d}", "race", f"d{i}", "t", ["rowing", "chess", "", None][i % 4], ["g1", "g2"][i % 2], ["hall", None, ""][i % 3],
+         [10, 20, None][i % 3], 1990 + i % 2, i % 5, 0.95 if i % 7 else 0.5)
+        for i in range(200)
+    ]
+    cols = "event_id string, event_name string, doc_id string, title string, sport string, games string, venue string, competitors int, date_year int, nations int, parse_confidence double"
+    events = spark.createDataFrame(rows, cols)
+    asked = [
+        ("a", None, None, None, []), ("b", "rowing", "", None, [("competitors", ">", 5.0)]), ("c", None, "g2", "hall", []), ("d", "chess", None, None, [("nations", "<=", 2.0), ("date_year", "=", 1991.0)]),
+        ("e", "none", None, None, []), ("f", None, None, None, [("competitors", "=", 0.0)]), ("g", None, None, None, []),
+    ]
+    questions = spark.createDataFrame(asked, f"qid string, sport string, games string, venue string, constraints {rt.CONSTRAINTS}")
+    tests = {">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
+
+    def expected(limit):
+        out = []
+        for qid, sport, games, venue, limits in asked:
+            fits = [
+                r for r in rows
+                if r[10] >= 0.9 and all(not want or have == want for want, have in zip((sport, games, venue), r[4:7]))
+                and all(tests[op]({"competitors": r[7], "date_year": r[8], "nations": r[9]}[f] or 0, v) for f, op, v in limits)
+            ]
+            out += [(qid, r[0]) for r in sorted(fits)[:limit]]
+        return sorted(out)
+
+    for limit in (None, 3, 30, 1000):
+        got = sorted((r["qid"], r["event_id"]) for r in rt.count_members(questions, events, limit=limit).collect())
+        assert got == expected(limit)
+
+
+def test_cells_that_no_query_probes_are_not_read(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = np.eye(8) * 10
+    vectors = spark.createDataFrame([(f"v{i}", (centres[i % 8] + rng.normal(size=8)).tolist()) for i in range(400)], "chunk_id string, emb array<double>")
+    celled = sim.write_cells(vectors, centres.tolist(), str(tmp_path / "cells"))
+    queries = spark.createDataFrame([(f"q{i}", (centres[i % 2] + rng.normal(size=8)).tolist()) for i in range(10)], "qid string, vector array<double>")
+    nprobe = sim.probes_for_recall(queries, celled, centres.tolist(), 10, recall=0.9)
+    hits = sim.topk_cells(queries, celled, centres.tolist(), 10, nprobe)
+    exact = {(r["qid"], r["chunk_id"]) for r in sim.topk_cosine(queries, vectors, 10).collect()}
+    assert nprobe == 1 and len({(r["qid"], r["chunk_id"]) for r in hits.collect()} & exact) >= 0.9 * len(exact)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(", "") and "IN (0,1)" in plan
