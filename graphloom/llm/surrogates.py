@@ -236,8 +236,9 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 
         return F.when(F.col("has_names"), F.array_join(F.transform(_pieces(gap), one), "")).otherwise(gap)
 
-    # Texts with findings are cut once more; both arrays are columns of their own, so each is made once a text.
-    cut = docs.join(by_text, "key", "left").select(
+    # The names grow with the corpus: one merge join at every size. Texts with findings are cut once more; both arrays are columns
+    # of their own, so each is made once a text.
+    cut = docs.join(by_text.hint("merge"), "key", "left").select(
         "*", F.when(F.col("names").isNotNull(), F.split("text", PATTERN, -1)).alias("gaps"), F.when(F.col("names").isNotNull(), hits(F.col("text"))).alias("found"),
     )
     pieces = F.transform(
