@@ -91,6 +91,34 @@ def vertex_ids(parsed: DataFrame) -> DataFrame:
     )
 
 
+def ids_of(vertices: DataFrame, vtype: str) -> DataFrame:
+    """(id): the distinct ids of one vertex type; ``vertices``: vtype, id."""
+    return vertices.where(F.col("vtype") == vtype).select("id").where(F.col("id") != "").distinct()
+
+
+def vocabulary(parsed: DataFrame) -> DataFrame:
+    """(vtype, entry): the distinct Games, sport and venue names that questions may be linked to, in one pass."""
+    return vertex_ids(parsed.where("is_event")).where(F.col("vtype").isin("games", "sport", "venue") & (F.col("id") != "")).select(
+        "vtype", F.col("id").alias("entry")
+    )
+
+
+def live_counts(vertices: DataFrame, vtypes: tuple[str, ...] = ("document", "event", "games", "sport", "venue", "chunk")) -> DataFrame:
+    """(vtype, n): distinct vertices per type, 0 for a type without any."""
+    known = vertices.sparkSession.createDataFrame([(t,) for t in vtypes], "vtype string")
+    counted = vertices.distinct().groupBy("vtype").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counted, "vtype", "left").select("vtype", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def chunks_of_hits(hits: DataFrame, edge_table: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits on embedding vertices with the chunk each belongs to: the columns of ``hits`` and of ``chunks``.
+
+    ``hits``: embedding_id and more; the way back is the HAS_EMBEDDING edge, a hit without an edge or a chunk is dropped.
+    """
+    back = edge_table.where(F.col("etype") == "HAS_EMBEDDING").select(F.col("dst").alias("embedding_id"), F.col("src").alias("chunk_id"))
+    return hits.join(back, "embedding_id").join(chunks, "chunk_id")
+
+
 def edition_index(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     """One event per (sport, event name, Games year): the last document wins."""
     return (

@@ -79,6 +79,34 @@ def _relationships(spark: SparkSession, sf: str) -> DataFrame:
     return g.relationship_count(edges.unionByName(plumbing))
 
 
+@query(
+    "src9_venue_ids",
+    f"""WITH {PARSED} SELECT DISTINCT venue_name AS id FROM parsed WHERE is_event AND venue_name <> ''""",
+)
+def _ids(spark: SparkSession, sf: str) -> DataFrame:
+    return g.ids_of(g.vertex_ids(parsed(spark, sf)), "venue")
+
+
+@query(
+    "src10_names",
+    f"""WITH {PARSED} SELECT DISTINCT 'games' AS vtype, games_id AS entry FROM parsed WHERE is_event AND games_id <> ''
+    UNION ALL SELECT DISTINCT 'sport', sport_name FROM parsed WHERE is_event AND sport_name <> ''
+    UNION ALL SELECT DISTINCT 'venue', venue_name FROM parsed WHERE is_event AND venue_name <> ''""",
+)
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return g.vocabulary(parsed(spark, sf))
+
+
+@query(
+    "grf6_live_counts",
+    f"""WITH {PARSED} SELECT 'document' AS vtype, count(DISTINCT doc_id) AS n FROM parsed UNION ALL SELECT 'event', count(DISTINCT event_id) FROM parsed WHERE is_event
+    UNION ALL SELECT 'games', count(DISTINCT games_id) FROM parsed WHERE is_event UNION ALL SELECT 'sport', count(DISTINCT sport_name) FROM parsed WHERE is_event
+    UNION ALL SELECT 'venue', count(DISTINCT venue_name) FROM parsed WHERE is_event UNION ALL SELECT 'chunk', 0""",
+)
+def _live_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return g.live_counts(g.vertex_ids(parsed(spark, sf)))
+
+
 @query(
     "jn2_event_view",
     f"""WITH {PARSED} SELECT event_id, doc_id, title, sport_name AS sport, games_id AS games, venue_name AS venue FROM parsed WHERE is_event""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import vectors as vx
 from graphloom.operators import coverage as cov
 from graphloom.operators import documents as docs
+from graphloom.operators import graph as g
 from graphloom.operators import similarity as sim
 from graphloom.plans.catalog import query
 from graphloom.plans.catalog.corpus import CHUNKS
@@ -88,6 +89,24 @@ def _text(spark: SparkSession, sf: str) -> DataFrame:
     return hits.join(docs.chunk_documents(w.chunk_source()), "chunk_id").select("qid", "chunk_id", "rank", "token_count")
 
 
+@query(
+    "jn6_edge_hits",
+    f"""WITH {CHUNKS}, {CENTRES.replace("c AS (", "cen AS (")}, owned AS (
+      SELECT 'm|' || k.chunk_id AS embedding_id, k.chunk_id, len(w)::INT AS token_count, emb FROM chunks k JOIN e ON 'd' || substr(e.chunk_id, 2) = k.doc_id WHERE seq = 0)
+    SELECT qid, chunk_id, token_count, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(vector, emb) DESC, embedding_id)::INT AS rank
+    FROM cen CROSS JOIN owned QUALIFY rank <= 10""",
+)
+def _edge_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of one model stand at embedding vertices; hits go back over HAS_EMBEDDING edges to their chunks."""
+    w = World(spark, sf)
+    chunks = docs.chunk_documents(w.chunk_source())
+    edges = g.embedding_edges(chunks.where("seq = 0").select(F.lit("m").alias("model_key"), "chunk_id"))
+    number = F.concat(F.lit("m|d"), F.expr("substring(chunk_id, 2)"), F.lit("_c0"))
+    held = w.vectors().select(number.alias("chunk_id"), "emb").join(edges.select(F.col("dst").alias("chunk_id")), "chunk_id", "left_semi")
+    hits = sim.topk_cosine(w.centroids(), held, 10).withColumnRenamed("chunk_id", "embedding_id")
+    return g.chunks_of_hits(hits, edges, chunks).select("qid", "chunk_id", "rank", "token_count")
+
+
 @query(
     "fn9_l2_normalize",
     """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: 3 * x / (3 * sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))))), 6) AS total,
