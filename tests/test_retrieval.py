@@ -142,6 +142,22 @@ def test_run_files(spark, tmp_path):
     assert (listing["started_at"], listing["n_questions"], listing["scored"]) == ("2024-05-01", 2, True)
 
 
+def test_lines_are_read_twice_and_never_dealt_by_file(spark, tmp_path):
+    """One file may hold most lines; records without a question stay each by itself."""
+    head = json.dumps({"run_config": {"dataset": "d"}})
+    (tmp_path / "r1.jsonl").write_text("\n".join([head, record("q1", "done", 3), record("", "done", 4), record("", "done", 5)]))
+    (tmp_path / "r2.jsonl").write_text("\n".join([json.dumps({"a": "run_config"}), head, record("q1", "done", 6)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        records = rf.read_records(rf.read_lines(spark, str(tmp_path)))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["run_id"], r["record"]["pipelines"]["rag"]["tokens"]["total"]) for r in records.collect()) == [("r1", 3), ("r1", 4), ("r1", 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("FileScan text") == 2
+
+
 def test_secret_guard(spark):
     clean = spark.createDataFrame([("fine",)], "t string")
     rf.assert_no_secret(clean)
