@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import records as fmt
 from graphloom.functions import text as tx
 from graphloom.operators.scoring import AGENT, BASE, GRAPH, PIPELINES
+from graphloom.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------
 WORTH_IT = 0.5
@@ -411,11 +412,12 @@ def running_total(rows: DataFrame, key: str, order: str, value: str, ranges: int
 
     A key may hold a large part of all rows, so each key's order is cut into
     ranges at approximate quantiles: sums per range, a short running sum over
-    the ranges, and a window only inside one range. The cuts are approximate,
-    the totals exact.
+    the ranges, and a window only inside one range. The cuts are approximate
+    and depend on the order in which sketches meet, so they are made once and
+    kept; the totals are exact. Values of ``order`` must differ within a key.
     """
-    cuts = rows.groupBy(key).agg(
-        F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
+    cuts = cut_lineage(
+        rows.groupBy(key).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
     )
     ranged = rows.join(cuts, key).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
