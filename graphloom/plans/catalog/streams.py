@@ -19,34 +19,41 @@ from graphloom.sources.tables import TableStore
 from graphloom.streaming import live
 
 
+ROWS_PER_BATCH_FILE = 500_000
+ORDERS_PER_RUN_FILE = 100_000
+
+
 class StreamWorld(World):
-    """The same mappings with one table read as a stream, a file per batch."""
+    """The same mappings with one table read as a stream, some files per batch."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streamed: str, folder: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: str, folder: str, files: int = 1) -> None:
         super().__init__(spark, sf_dir)
-        self.streamed, self.folder = streamed, folder
+        self.streamed, self.folder, self.files = streamed, folder, files
 
     def table(self, name: str) -> DataFrame:
         if name == self.streamed:
-            return live.tail_table(self.spark, self.folder, "*.parquet", 1)
+            return live.tail_table(self.spark, self.folder, "*.parquet", self.files)
         return super().table(name)
 
 
 def fed(
     spark: SparkSession, sf: str, name: str, stream: Callable[[StreamWorld], DataFrame], keys: list[str], first: bool = False,
-    change: Callable[[DataFrame, int], DataFrame] = lambda df, half: df, forgets: bool = False,
+    change: Callable[[DataFrame, int], DataFrame] = lambda df, half: df, forgets: bool = False, mode: str = "update",
 ) -> DataFrame:
-    """The table that a stream over a growing folder leaves: two files arrive, the stream runs and ends; two more, and it is started again.
+    """The table that a stream over a growing folder leaves: two batches of files arrive, the stream runs and ends; two more, and it is started again.
 
-    Rows are dealt to the files by a hash, so they arrive out of order. With ``forgets`` all state has expired when it is started again, and
+    A batch has as many files, and the table as many buckets, as the rows need. Rows are dealt to the files by a hash, so they arrive out of order. With ``forgets`` all state has expired when it is started again, and
     every file is read once more.
     """
     root = f"{checkpoint_root(spark)}/feed-{uuid.uuid4().hex}"
-    store, table = TableStore(spark, f"{root}/store", buckets=4), World(spark, sf).table(name)
+    table = World(spark, sf).table(name)
+    files = table.count() // ROWS_PER_BATCH_FILE + 1
+    store = TableStore(spark, f"{root}/store", buckets=files + 3)
     for half in range(2):
         arriving = change(table.where(F.pmod(F.xxhash64(*table.columns), F.lit(2)) == half), half)
-        arriving.repartition(2, F.xxhash64(*table.columns)).write.mode("append").parquet(f"{root}/in")
-        live.drain_merged(stream(StreamWorld(spark, sf, name, f"{root}/in")), store, "out", keys, f"{root}/checkpoint{half * forgets}", first)
+        arriving.repartition(2 * files, F.xxhash64(*table.columns)).write.mode("append").parquet(f"{root}/in")
+        rows = stream(StreamWorld(spark, sf, name, f"{root}/in", files))
+        live.drain_merged(rows, store, "out", keys, f"{root}/checkpoint{half * forgets}", first, mode=mode)
     return store.read("out")
 
 
@@ -101,7 +108,7 @@ def _trace(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
 
-    return fed(spark, sf, "lineitem", numbered, ["run_key", "order_no"]).drop("_batch")
+    return fed(spark, sf, "lineitem", numbered, ["run_key", "order_no"], mode="append").drop("_batch")
 
 
 @query(
@@ -174,12 +181,14 @@ def _embed(spark: SparkSession, sf: str) -> DataFrame:
 def _tail(spark: SparkSession, sf: str) -> DataFrame:
     """Native run files, headers and repeated questions among their lines, written in two goes; one ends in a torn line."""
     root = f"{checkpoint_root(spark)}/feed-{uuid.uuid4().hex}"
-    store, lines = TableStore(spark, f"{root}/store", buckets=4), run_lines(World(spark, sf)).select("value")
+    w = World(spark, sf)
+    files = w.table("orders").count() // ORDERS_PER_RUN_FILE + 1
+    store, lines = TableStore(spark, f"{root}/store", buckets=files + 3), run_lines(w).select("value")
     torn = spark.createDataFrame([('{"run_id": "torn", "questi',)], "value string")
     for half in range(2):
         part = lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half)
-        (part.union(torn) if half else part).repartition(2).write.mode("append").text(f"{root}/in")
-        records = live.tail_records(spark, f"{root}/in", 1).select("run_id", "question_id", F.lit(True).alias("live"))
+        (part.union(torn) if half else part).repartition(2 * files).write.mode("append").text(f"{root}/in")
+        records = live.tail_records(spark, f"{root}/in", files).select("run_id", "question_id", F.lit(True).alias("live"))
         live.drain_merged(records, store, "out", ["run_id", "question_id"], f"{root}/checkpoint")
     return store.read("out").drop("_batch")
 

@@ -72,46 +72,66 @@ def _timeout(keep_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
 
 
-def numbered_trace(steps: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """Trace steps numbered, with running tokens and the first deviation flagged, in whatever order they arrive (update mode).
+def numbered_trace(steps: DataFrame, keep_ms: int | None = None, groups: int = 2_048) -> DataFrame:
+    """Trace steps numbered, with running tokens and the first deviation flagged, in whatever order they arrive (append mode).
 
-    ``steps``: run_key, order_no, route, path_name, declared, tokens_in, tokens_out. State is a run's steps in order, as
-    bounded as a trace, and goes ``keep_ms`` after its last step where that is given. A step that arrives late takes its place, and it and the steps
+    ``steps``: run_key, order_no, route, path_name, declared, tokens_in, tokens_out. Runs share a state with the others of their hash,
+    one of ``groups``: a call for each run would cost more than its few steps. State holds the runs' steps, and those of a run go
+    ``keep_ms`` after its last step where that is given. A step that arrives late takes its place, and it and the steps
     after it are emitted anew: write them to a table keyed by run_key and order_no.
     """
     marked = steps.withColumn("off_route", off_route(F.col("route"), F.col("path_name"))).select(
+        F.pmod(F.xxhash64("run_key"), F.lit(groups)).alias("_group"),
         "run_key", "order_no", F.coalesce("off_route", F.lit(False)).alias("off_route"),
         F.coalesce("declared", F.lit(False)).alias("declared"), "tokens_in", "tokens_out",
     )
-    kept = ["order_no", "off_route", "declared", "tokens_in", "tokens_out"]
+    kept = ["run_key", "order_no", "off_route", "declared", "tokens_in", "tokens_out"]
     out = (
         "run_key string, order_no long, step_n long, cum_tokens_in long, cum_tokens_out long, strategy_change boolean"
     )
-    state_schema = "order_no array<long>, off_route array<boolean>, declared array<boolean>, tokens_in array<long>, tokens_out array<long>"
+    state_schema = (
+        "run_key array<string>, order_no array<long>, off_route array<boolean>, declared array<boolean>, tokens_in array<long>, "
+        "tokens_out array<long>, seen_ms array<long>"
+    )
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def keep(rows: list[tuple], seen: dict[str, int], state: GroupState, now: int) -> None:
+        if keep_ms:
+            rows = [row for row in rows if seen[row[0]] + keep_ms > now]
+        if not rows:
             state.remove()
             return
-        # A run's steps are few: plain rows cost less than frames of their own.
-        arrived = [row for f in frames for row in zip(*(f[c].tolist() for c in kept), strict=True)]
-        steps = {row[0]: row for row in (*(zip(*state.get, strict=True) if state.exists else ()), *arrived)}
-        rows = [steps[k] for k in sorted(steps)]
-        state.update(tuple(map(list, zip(*rows, strict=True))))
+        state.update((*map(list, zip(*rows, strict=True)), [seen[row[0]] for row in rows]))
         if keep_ms:
-            state.setTimeoutDuration(keep_ms)
-        since = min((row[0] for row in arrived), default=None)
-        spent_in = spent_out = 0
-        deviated, numbered = False, []
-        for n, (order_no, off, declared, tokens_in, tokens_out) in enumerate(rows, 1):
-            spent_in, spent_out = spent_in + int(tokens_in or 0), spent_out + int(tokens_out or 0)
-            if since is not None and order_no >= since:
-                numbered.append((key[0], order_no, n, spent_in, spent_out, bool(declared or off and not deviated)))
+            state.setTimeoutDuration(max(1, min(seen[row[0]] for row in rows) + keep_ms - now))
+
+    def advance(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if keep_ms else 0
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        steps, seen = {row[:2]: row[:6] for row in held}, {row[0]: row[6] for row in held}
+        if state.hasTimedOut:
+            keep(list(steps.values()), seen, state, now)
+            return
+        # Plain rows cost less than frames where runs are short.
+        since: dict[str, int] = {}
+        for f in frames:
+            for row in zip(*(f[c].tolist() for c in kept), strict=True):
+                steps[row[:2]] = row
+                since[row[0]] = min(row[1], since.get(row[0], row[1]))
+        seen.update(dict.fromkeys(since, now))
+        rows = [steps[k] for k in sorted(steps)]
+        run, numbered = None, []
+        for run_key, order_no, off, declared, tokens_in, tokens_out in rows:
+            if run_key != run:
+                run, n, spent_in, spent_out, deviated = run_key, 0, 0, 0, False
+            n, spent_in, spent_out = n + 1, spent_in + int(tokens_in or 0), spent_out + int(tokens_out or 0)
+            if run_key in since and order_no >= since[run_key]:
+                numbered.append((run_key, order_no, n, spent_in, spent_out, bool(declared or off and not deviated)))
             deviated = deviated or bool(off)
+        keep(rows, seen, state, now)
         yield pd.DataFrame(numbered, columns=["run_key", "order_no", "step_n", "cum_tokens_in", "cum_tokens_out", "strategy_change"])
 
-    return marked.groupBy("run_key").applyInPandasWithState(
-        advance, out, state_schema, "update", _timeout(keep_ms)
+    return marked.groupBy("_group").applyInPandasWithState(
+        advance, out, state_schema, "append", _timeout(keep_ms)
     )
 
 
@@ -154,28 +174,19 @@ def pipeline_status(events: DataFrame) -> DataFrame:
 
 
 def unique_events(events: DataFrame, key: str, keep_ms: int | None = None) -> DataFrame:
-    """Events once per id for as long as its state lives: where ``keep_ms`` is given, so long after the id was last seen (update mode).
+    """Events once per id for as long as its state lives: where ``keep_ms`` is given, so long after the id was first let through.
 
     A repeat that comes later passes; a sink keyed by ``key`` that keeps the first row (``drain_merged`` with ``first``) leaves one.
     """
-    columns = events.columns
-
-    def first(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = next((f for f in frames if len(f)), None)
-        if not state.exists and rows is not None:
-            yield rows.iloc[:1][columns]
-        state.update((True,))
-        if keep_ms:
-            state.setTimeoutDuration(keep_ms)
-
-    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen boolean", "update", _timeout(keep_ms))
+    if not keep_ms:
+        return events.dropDuplicates([key])
+    arrived = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{keep_ms} milliseconds")
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def drain_merged(
     stream: DataFrame, store: TableStore, name: str, keys: list[str], checkpoint: str, first: bool = False, partition_by: tuple[str, ...] = (),
+    mode: str = "update",
 ) -> None:
     """Run a stream over everything available and merge what each batch emits into a keyed table.
 
@@ -189,7 +200,7 @@ def drain_merged(
         store.merge(name, rows, keys, "_batch", partition_by, whole_rows=True, batch=(checkpoint, batch_id))
 
     query = (
-        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 

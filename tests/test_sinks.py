@@ -59,6 +59,25 @@ def test_embed_stream_resumes(spark, tmp_path):
     assert parts.where(F.size("emb") != 8).count() == 0
 
 
+def test_many_runs_share_a_state_and_a_late_step_takes_its_place(spark, tmp_path):
+    schema = "run_key string, order_no long, route string, path_name string, declared boolean, tokens_in long, tokens_out long"
+    step = lambda run, i: (run, i, "loop", "elsewhere", False, i, 1)
+    arriving = [[step(f"r{r}", i) for r in range(20) for i in (1, 3)], [step(f"r{r}", 2) for r in range(10)]]
+    for n, rows in enumerate(arriving):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        trace = live.numbered_trace(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), groups=3)
+        out = live.drain(trace, "append", str(tmp_path / "run")).collect()
+    got = sorted({(r["run_key"], r["order_no"]): (r["run_key"], r["order_no"], r["step_n"], r["cum_tokens_in"], r["strategy_change"])
+                  for r in sorted(out, key=lambda r: r["step_n"])}.values())
+    want = [(f"r{r}", i, n, s, n == 1) for r in range(20) for n, (i, s) in enumerate(((1, 1), (2, 3), (3, 6)) if r < 10 else ((1, 1), (3, 4)), 1)]
+    assert got == sorted(want)
+
+
+def test_cuts_of_a_running_total_are_made_once(spark):
+    rows = spark.range(1000).selectExpr("id % 2 AS k", "id AS o", "id % 7 AS v")
+    assert "percentile_approx" not in rp.running_total(rows, "k", "o", "v", ranges=16)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_running_total_is_exact(spark):
     rows = [("hot", i, i % 7) for i in range(500)] + [("cold", 3, 5), ("cold", 9, 1)]
     df = spark.createDataFrame(rows, "k string, o long, v long")
