@@ -154,17 +154,15 @@ def grounding(answer: Column, evidence: Column) -> Column:
     return tx.let(_padded(evidence), lambda hay: _support(tx.normalized_names(answer), hay))
 
 
-def score_answers(answers: DataFrame) -> DataFrame:
-    """Adds the six metrics. Without ground truth all but ``grounded`` are NULL.
+def with_evidence(questions: DataFrame) -> DataFrame:
+    """Adds what scoring needs of ground truth, citations and gold documents: ``_g``, ``_hay`` and ``_r``.
 
-    ``answers``: answer, ground_truth, gold_doc_ids, citations
-    (array<struct<source_id, snippet>>). Every text is normalised once.
+    Where the answers of several pipelines share them, they are prepared here once a question, before a question is spread to its answers.
     """
     none = F.array().cast("array<string>")
-    cites = F.coalesce("citations", F.array().cast(dict(answers.dtypes)["citations"]))
-    prepared = answers.withColumns(
+    cites = F.coalesce("citations", F.array().cast(dict(questions.dtypes)["citations"]))
+    return questions.withColumns(
         {
-            "_p": tx.answer_parts(F.col("answer")),
             "_g": F.transform(F.coalesce("ground_truth", none), tx.answer_parts),
             "_hay": _padded(F.transform(cites, lambda c: c["snippet"])),
             "_r": retrieval_metrics(
@@ -172,6 +170,16 @@ def score_answers(answers: DataFrame) -> DataFrame:
             ),
         }
     )
+
+
+def score_answers(answers: DataFrame) -> DataFrame:
+    """Adds the six metrics. Without ground truth all but ``grounded`` are NULL.
+
+    ``answers``: answer, ground_truth, gold_doc_ids, citations
+    (array<struct<source_id, snippet>>), or the columns of ``with_evidence`` for the last three. Every text is normalised once.
+    """
+    shared = answers if {"_g", "_hay", "_r"} <= set(answers.columns) else with_evidence(answers)
+    prepared = shared.withColumn("_p", tx.answer_parts(F.col("answer")))
     has_gold = F.size("_g") > 0
     return prepared.withColumns(
         {

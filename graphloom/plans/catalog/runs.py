@@ -17,7 +17,8 @@ from graphloom.sources import runs as rf
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.score_answers(World(spark, sf).cited_answers())
+    w = World(spark, sf)
+    return sc.score_answers(w.spread(sc.with_evidence(w.cited_questions())))
 
 
 def sides(spark: SparkSession, sf: str) -> DataFrame:

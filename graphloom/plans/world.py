@@ -172,7 +172,12 @@ class World:
 
     def answers(self) -> DataFrame:
         """Three pipelines' answers to one question per order; a run per priority."""
-        return self.asked().withColumn("p", F.explode("pipelines")).drop("pipelines").select("*", "p.*").drop("p")
+        return self.spread(self.asked())
+
+    @staticmethod
+    def spread(asked: DataFrame) -> DataFrame:
+        """A row per answer out of a row per question."""
+        return asked.withColumn("p", F.explode("pipelines")).drop("pipelines").select("*", "p.*").drop("p")
 
     def asked(self) -> DataFrame:
         """The question of every order with its three answers in an array."""
@@ -232,8 +237,8 @@ class World:
             F.col("p_name").alias("snippet"), "l_returnflag",
         )
 
-    def cited_answers(self) -> DataFrame:
-        """Answers with their citation list and gold documents.
+    def cited_questions(self) -> DataFrame:
+        """Questions with their three answers, their citation list and gold documents.
 
         An order has few line items, so the lists stay short.
         """
@@ -241,7 +246,7 @@ class World:
             F.collect_list(F.struct(F.col("doc_id").alias("source_id"), "snippet")).alias("citations"),
             F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("doc_id"))).alias("gold_doc_ids"),
         )
-        return self.answers().join(lists, "qid", "left").withColumn(
+        return self.asked().join(lists, "qid", "left").withColumn(
             "citations_count", F.size(F.coalesce("citations", F.array().cast("array<struct<source_id:string,snippet:string>>")))
         )
 

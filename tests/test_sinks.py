@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from graphloom.operators import coverage as cov
+from graphloom.operators import scoring as sc
 from graphloom.plans import reports as rp
 from graphloom.sources import runs as rf
 from graphloom.sources import trials as tr
@@ -100,3 +101,12 @@ def test_streamed_embeddings_join_the_store(spark, tmp_path):
     rows = store.read("embedding").collect()
     assert sorted(r["chunk_id"] for r in rows) == ["a", "b", "c", "d"] and {len(r["emb"]) for r in rows} == {8}
     assert store.read("coverage").count() == 4
+
+
+def test_answers_that_share_their_evidence_score_the_same(spark):
+    cites, none = [("d1", "Lima and Rome"), ("d2", "Oslo")], None
+    schema = "qid int, answers array<string>, ground_truth array<string>, gold_doc_ids array<string>, citations array<struct<source_id:string,snippet:string>>"
+    asked = spark.createDataFrame([(1, ["Lima", "Oslo and Bern", ""], ["Lima"], ["d2"], cites), (2, ["7", "x"], none, none, none)], schema)
+    spread = lambda df: df.withColumn("answer", F.explode("answers")).drop("answers")
+    scored = lambda df: sorted(map(tuple, df.select("qid", "answer", *sc.METRICS).collect()))
+    assert scored(sc.score_answers(spread(sc.with_evidence(asked)))) == scored(sc.score_answers(spread(asked)))
