@@ -14,8 +14,13 @@ MONTHS = (
 # -----------------------------------------------------------------------------
 
 
+def number(digits: Column) -> Column:
+    """An integer; NULL for no digits without a cast, which fails by an exception each time."""
+    return F.nullif(digits, F.lit("")).try_cast("int")
+
+
 def _group(text: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(text, pattern, index).try_cast("int")
+    return number(F.regexp_extract(text, pattern, index))
 
 
 def first_year(text: Column) -> Column:
@@ -30,6 +35,7 @@ def normalize_date(text: Column) -> Column:
     is_iso = raw.rlike(iso)
     plain = F.translate(raw, "–—", "--")
     span = r"(?U)\b(\d{1,2})\s*-\s*(\d{1,2})\b"
+    dashed = plain.contains("-")
     # The calendar order decides between two month names, not the text order.
     named = F.regexp_extract_all(plain, F.lit(rf"(?iU)\b({'|'.join(n for names in MONTHS for n in names)})\b"), F.lit(1))
     short = F.array(*[F.lit(names[-1][:3]) for names in MONTHS])
@@ -37,12 +43,12 @@ def normalize_date(text: Column) -> Column:
         F.transform(named, lambda n: F.array_position(short, F.lower(F.substring(n, 1, 3))).cast("int"))
     )
     lone_day = _group(plain, r"(?U)\b(\d{1,2})\b", 1)
-    start = F.coalesce(_group(plain, span, 1), F.when(lone_day <= 31, lone_day))
+    start = F.coalesce(F.when(dashed, _group(plain, span, 1)), F.when(lone_day <= 31, lone_day))
     return F.struct(
         F.when(is_iso, _group(raw, iso, 1)).otherwise(first_year(plain)).alias("date_year"),
         F.when(is_iso, _group(raw, iso, 2)).otherwise(month).alias("date_month"),
         F.when(is_iso, _group(raw, iso, 3)).otherwise(start).alias("date_day_start"),
-        F.when(~is_iso, _group(plain, span, 2)).alias("date_day_end"),
+        F.when(~is_iso & dashed, _group(plain, span, 2)).alias("date_day_end"),
     )
 
 
@@ -55,7 +61,7 @@ def games_id(text: Column) -> Column:
 
 def games_year(games: Column) -> Column:
     """Year part of a Games id."""
-    return F.regexp_extract(games, r"^(\d+)(?:-|$)", 1).try_cast("int")
+    return number(F.regexp_extract(games, r"^(\d+)(?:-|$)", 1))
 
 
 def games_season(games: Column) -> Column:

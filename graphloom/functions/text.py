@@ -36,6 +36,10 @@ _BOUNDARY = (
 )
 #: Every white space character of the Basic Multilingual Plane.
 _SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+#: The same as the inside of a character class.
+SPACES = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value`` with the value computed once.
 

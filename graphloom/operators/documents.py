@@ -12,8 +12,11 @@ TARGET_INFOBOX = "olympic event"
 HEADER = r"(?mdU)^\s*\[Infobox ([^\]]+)\]\s*$"
 TARGET_BLOCK = r"(?mdU)^\s*\[Infobox \s*(?i:olympic event)\s*\]\s*$([\s\S]*)"
 FIRST_BLOCK = r"(?mdU)^\s*\[Infobox [^\]]+\]\s*$([\s\S]*)"
-FIELD_LINE = r"^[ \t]+([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(.*)$"
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+LINE_ENDS = "\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029"
+#: The field lines that a block starts with, blank lines among them; possessive, so that a block of any length needs no stack.
+FIELD_LINES = (
+    rf"^(?:[{tx.SPACES}]*\n)?+(?:[ \t]++[A-Za-z_][A-Za-z0-9_]*+[ \t]*+:[^\n]*+(?:\n(?:[{tx.SPACES}]*\n)?+|\z))*+"
+)
 TITLE_SPORT = r"(?iU)^(.*?)\s+at\s+the\s+\d{4}\b"
 LEADING_NUMBER = r"^(\d[\d,]*)"
 COVERAGE_FIELDS = (
@@ -43,29 +46,27 @@ def infobox_entries(text: Column) -> Column:
     body = F.when(text.rlike(TARGET_BLOCK), F.regexp_extract(text, TARGET_BLOCK, 1)).otherwise(
         F.regexp_extract(text, FIRST_BLOCK, 1)
     )
-    lines = F.filter(F.split(body, LINE_BREAK), lambda line: tx.strip(line) != "")
-
-    def head(found: Column) -> Column:
-        stop = F.array_position(F.transform(found, lambda line: line.rlike(FIELD_LINE)), False)
-        return F.slice(found, F.lit(1), F.when(stop == 0, F.size(found)).otherwise(stop - 1).cast("int"))
+    for end in LINE_ENDS:
+        body = F.replace(body, F.lit(end), F.lit("\n"))
+    # One regular expression finds the lines; they are taken apart without any.
+    found = F.transform(
+        F.split(F.regexp_extract(body, FIELD_LINES, 0), "\n"),
+        lambda line: F.struct(
+            F.btrim(F.substring_index(line, ":", 1), F.lit(" \t")).alias("key"),
+            tx.strip(F.substr(line, F.instr(line, ":") + 1)).alias("value"),
+        ),
+    )
 
-    def pairs(block: Column) -> Column:
-        parsed = F.transform(
-            block,
-            lambda line: F.struct(
-                F.regexp_extract(line, FIELD_LINE, 1).alias("key"),
-                tx.strip(F.regexp_extract(line, FIELD_LINE, 2)).alias("value"),
-            ),
-        )
-        return F.filter(parsed, lambda pair: pair["value"] != "")
+    def first_per_key(pairs: Column) -> Column:
+        def first(keys: Column) -> Column:
+            repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+            return F.when(
+                repeated, F.filter(pairs, lambda pair, i: F.array_position(keys, pair["key"]) == i + 1)
+            ).otherwise(pairs)
 
-    def first_per_key(found: Column) -> Column:
-        return tx.let(
-            F.transform(found, lambda pair: pair["key"]),
-            lambda keys: F.filter(found, lambda pair, i: F.array_position(keys, pair["key"]) == i + 1),
-        )
+        return tx.let(F.transform(pairs, lambda pair: pair["key"]), first)
 
-    return tx.let(pairs(tx.let(lines, head)), first_per_key)
+    return tx.let(F.filter(found, lambda pair: (pair["key"] != "") & (pair["value"] != "")), first_per_key)
 
 
 def infobox_fields(text: Column) -> Column:
@@ -89,7 +90,7 @@ def leading_int(raw: Column) -> Column:
     bare = tx.strip(raw)
     digits = F.regexp_extract(bare, LEADING_NUMBER, 1)
     return F.struct(
-        F.replace(digits, F.lit(","), F.lit("")).try_cast("int").alias("value"),
+        dates.number(F.replace(digits, F.lit(","), F.lit(""))).alias("value"),
         F.coalesce((digits == bare) & (bare != ""), F.lit(False)).alias("exact"),
     )
 

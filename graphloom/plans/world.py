@@ -47,6 +47,7 @@ class World:
         return (
             self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            .repartition("l_orderkey")  # both steps of the distinct count meet on this one shuffle
             .groupBy("l_orderkey")
             .agg(
                 F.sum("l_quantity").cast("int").alias("competitors"),
