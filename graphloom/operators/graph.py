@@ -10,6 +10,8 @@ from graphloom.functions import dates
 # ---- fixed values -----------------------------------------------------------
 VERTEX_TYPES = ("document", "event", "games", "sport", "venue", "chunk")
 PLUMBING_EDGES = ("HAS_CHUNK", "HAS_EMBEDDING")
+SCOPE_EDGES = ("DESCRIBES", "AT_GAMES", "IN_SPORT", "HELD_AT")
+EDITION_EDGES = ("PREV_EDITION", "NEXT_EDITION")
 # -----------------------------------------------------------------------------
 
 EVENT_NUMBERS = ("competitors", "nations", "date_month", "date_day_start", "date_day_end", "date_year")
@@ -163,8 +165,15 @@ def edition_links(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     ).select("etype", "src", F.col("target").alias("dst"))
 
 
-def edges(parsed: DataFrame, chunks: DataFrame | None = None, order: str = "line_no") -> DataFrame:
-    """edges(etype, src, dst, date_text), one row per (etype, src, dst)."""
+def edges(
+    parsed: DataFrame, chunks: DataFrame | None = None, order: str = "line_no", types: tuple[str, ...] | None = None
+) -> DataFrame:
+    """edges(etype, src, dst, date_text), one row per (etype, src, dst).
+
+    ``types`` names the edge types wanted, all by default; editions are only linked where they are among them, as that
+    reads ``parsed`` twice more.
+    """
+    wanted = (*SCOPE_EDGES, *EDITION_EDGES, "HAS_CHUNK") if types is None else types
     events = parsed.where("is_event")
     none = F.lit(None).cast("string")
 
@@ -173,7 +182,7 @@ def edges(parsed: DataFrame, chunks: DataFrame | None = None, order: str = "line
             F.lit(etype).alias("etype"), F.col(src).alias("src"), F.col(dst).alias("dst"), text.alias("date_text")
         )
 
-    direct = events.select(
+    out = events.select(
         F.explode(
             F.array(
                 edge("DESCRIBES", "doc_id", "event_id", none),
@@ -183,9 +192,12 @@ def edges(parsed: DataFrame, chunks: DataFrame | None = None, order: str = "line
             )
         ).alias("e")
     ).select("e.*")
-    editions = edition_links(parsed, order).withColumn("date_text", F.lit(None).cast("string"))
-    out = direct.unionByName(editions).where(F.col("dst").isNotNull())
-    if chunks is not None:
+    if set(wanted) & set(EDITION_EDGES):
+        out = out.unionByName(edition_links(parsed, order).withColumn("date_text", F.lit(None).cast("string")))
+    out = out.where(F.col("dst").isNotNull())
+    if types is not None:
+        out = out.where(F.col("etype").isin(*types))
+    if chunks is not None and "HAS_CHUNK" in wanted:
         out = out.unionByName(
             chunks.select(F.lit("HAS_CHUNK").alias("etype"), F.col("doc_id").alias("src"),
                           F.col("chunk_id").alias("dst"), F.lit(None).cast("string").alias("date_text"))
@@ -245,27 +257,26 @@ def event_view(
     An event without a page drops out (inner join, as every query requires it).
     """
 
-    def scope(etype: str, name: str) -> DataFrame:
-        return (
-            edge_table.where(F.col("etype") == etype)
-            .groupBy(F.col("src").alias("event_id"))
-            .agg(F.min("dst").alias(name))
-        )
-
+    # Every edge of an event meets the others once: the page edges with their titles, the scope edges as they are.
     pages = (
         edge_table.where(F.col("etype") == "DESCRIBES")
         .select(F.col("src").alias("doc_id"), F.col("dst").alias("event_id"))
         .join(documents.select("doc_id", "title"), "doc_id")
-        .groupBy("event_id")
-        .agg(F.min(F.struct("doc_id", "title")).alias("page"))
-        .select("event_id", "page.doc_id", "page.title")
+        .select("event_id", F.struct("doc_id", "title").alias("page"), F.lit(None).cast("string").alias("etype"), F.lit(None).cast("string").alias("dst"))
     )
-    return (
-        events.join(pages, "event_id")
-        .join(scope("IN_SPORT", "sport"), "event_id", "left")
-        .join(scope("AT_GAMES", "games"), "event_id", "left")
-        .join(scope("HELD_AT", "venue"), "event_id", "left")
+    scoped = edge_table.where(F.col("etype").isin("IN_SPORT", "AT_GAMES", "HELD_AT")).select(
+        F.col("src").alias("event_id"), F.lit(None).cast(pages.schema["page"].dataType).alias("page"), "etype", "dst"
+    )
+
+    def scope(etype: str, name: str) -> Column:
+        return F.min(F.when(F.col("etype") == etype, F.col("dst"))).alias(name)
+
+    views = (
+        pages.unionByName(scoped).groupBy("event_id")
+        .agg(F.min("page").alias("page"), scope("IN_SPORT", "sport"), scope("AT_GAMES", "games"), scope("HELD_AT", "venue"))
+        .where(F.col("page").isNotNull())
     )
+    return events.join(views.select("event_id", "page.doc_id", "page.title", "sport", "games", "venue"), "event_id")
 
 
 # ---- keyed upkeep --------------------------------------------------------------

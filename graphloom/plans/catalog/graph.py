@@ -12,7 +12,7 @@ from graphloom.plans.catalog import query
 from graphloom.plans.catalog.corpus import PARSED
 from graphloom.plans.catalog.sql import PARTS
 from graphloom.plans.world import World
-from graphloom.session import cut_lineage
+from graphloom.session import kept
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +48,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'HELD_AT', event_id, venue_name FROM parsed WHERE venue_name IS NOT NULL""",
 )
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return g.edges(parsed(spark, sf)).where(~F.col("etype").endswith("EDITION")).select("etype", "src", "dst")
+    return g.edges(parsed(spark, sf), types=g.SCOPE_EDGES).select("etype", "src", "dst")
 
 
 @query("grf3_edition_links", f"WITH {PARTS} SELECT etype, src, dst FROM links")
@@ -112,8 +112,8 @@ def _live_counts(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {PARSED} SELECT event_id, doc_id, title, sport_name AS sport, games_id AS games, venue_name AS venue FROM parsed WHERE is_event""",
 )
 def _view(spark: SparkSession, sf: str) -> DataFrame:
-    p = cut_lineage(parsed(spark, sf))
-    view = g.event_view(g.event_vertices(p), g.edges(p), g.document_vertices(p))
+    p = kept(parsed(spark, sf))
+    view = g.event_view(g.event_vertices(p), g.edges(p, types=g.SCOPE_EDGES), g.document_vertices(p))
     return view.select("event_id", "doc_id", "title", "sport", "games", "venue")
 
 

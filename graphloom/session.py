@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,13 @@ def local_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: later steps read the columns they need."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     spark = df.sparkSession
