@@ -41,7 +41,7 @@ LANDMARKS = 400
 START = "\x02"
 CACHE = 200_000
 #: Words described at a time.
-CHUNK = 4_096
+CHUNK = 2_048
 #: Clean words looked at for negatives, the frequent ones first.
 CLEAN_WORDS = 100_000
 #: Margins below this say no more.
@@ -124,9 +124,9 @@ def top_margins(words: list[set[str]] | list[tuple[str, ...]], of: dict[str, flo
     return out
 
 
-def _kernel(words: list[str], codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark (rows of ``marks`` over ``codes``)."""
-    dense = np.zeros((len(words), marks.shape[0]))
+def _features(words: list[str], codes: np.ndarray, marks: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+    """Nyström features of the words in blocks of CHUNK: their kernel with each landmark (rows of ``marks`` over ``codes``), times ``root``."""
+    blocks = []
     for low in range(0, len(words), CHUNK):
         own, code, weight = describe(words[low : low + CHUNK])
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
@@ -134,22 +134,33 @@ def _kernel(words: list[str], codes: np.ndarray, marks: np.ndarray) -> np.ndarra
         hit = hit[np.argsort(own[hit], kind="stable")]
         columns, values = at[hit], weight[hit]
         bounds = np.searchsorted(own[hit], np.arange(min(CHUNK, len(words) - low) + 1))
-        for i in range(len(bounds) - 1):
+        dense = np.zeros((len(bounds) - 1, marks.shape[0]))
+        for i in range(len(dense)):
             part = slice(bounds[i], bounds[i + 1])
-            dense[low + i] = marks[:, columns[part]] @ values[part]
-    return dense
+            dense[i] = marks[:, columns[part]] @ values[part]
+        blocks.append(dense @ root)
+    return blocks
 
 
-def _machine_weights(features: np.ndarray, positives: int) -> np.ndarray:
-    """Weights and intercept of the linear machine; the first rows are the positives. Both kinds count alike."""
-    x = np.column_stack([features, np.ones(len(features))])
-    y = np.where(np.arange(len(x)) < positives, 1.0, -1.0)
-    cost = np.where(y > 0, 1 / positives, 1 / (len(x) - positives))
-    w = np.zeros(x.shape[1])
+def _machine_weights(blocks: list[np.ndarray], positives: int) -> np.ndarray:
+    """Weights and intercept of the linear machine; the first rows are the positives. Both kinds count alike.
+
+    A step adds up its normal equations over the blocks, so the driver holds the features once.
+    """
+    n, width = sum(map(len, blocks)), blocks[0].shape[1] + 1
+    w = np.zeros(width)
     for _ in range(30):  # Newton steps on the squared hinge loss: least squares over the rows inside the margin
-        active = y * (x @ w) < 1
-        weighted = x[active] * cost[active, None]
-        new = np.linalg.solve(weighted.T @ x[active] + RIDGE * np.eye(x.shape[1]), weighted.T @ y[active])
+        left, right, low = RIDGE * np.eye(width), np.zeros(width), 0
+        for block in blocks:
+            good = np.arange(low, low + len(block)) < positives
+            low += len(block)
+            y, cost = np.where(good, 1.0, -1.0), np.where(good, 1 / positives, 1 / (n - positives))
+            active = y * (block @ w[:-1] + w[-1]) < 1
+            x = np.column_stack([block[active], np.ones(active.sum())])
+            weighted = x * cost[active, None]
+            left += weighted.T @ x
+            right += weighted.T @ y[active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -201,13 +212,13 @@ def train(rows: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0))
     dense[own, column] = weight
     values, vectors = np.linalg.eigh(dense @ dense.T)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    values = _kernel(positive + negative, codes, dense) @ root
-    w = _machine_weights(values, len(positive))
+    features = _features(positive + negative, codes, dense, root)
+    w = _machine_weights(features, len(positive))
     for _ in range(2):  # the clean words that still look worst join the negatives
         margins = Margins(codes, (root @ w[:-1]) @ dense, w[-1], nothing.curve).of(clean)
         worst = [clean[i] for i in np.argsort(-margins, kind="stable")[:1500]]
-        values = np.vstack([values, _kernel(worst, codes, dense) @ root])
-        w = _machine_weights(values, len(positive))
+        features += _features(worst, codes, dense, root)
+        w = _machine_weights(features, len(positive))
     machine = Margins(codes, (root @ w[:-1]) @ dense, w[-1], nothing.curve)
     known = sorted(set().union(*bags))
     of = dict(zip(known, machine.of(known), strict=True))
