@@ -7,7 +7,7 @@ ends together is a link. How often a pair of ids is linked in the whole corpus g
 
 A word with the blanks before it is encoded and aligned once and then remembered: no token of either side goes from a non-blank into
 a following blank, so both sides break there and a text's alignment is that of its words one after another. That
-property is read off both vocabularies when they are loaded. Texts with other white space or control marks than blank, line feed and
+property is read off both vocabularies when they are loaded, and new words are encoded many at a time for the same reason. Texts with other white space or control marks than blank, line feed and
 tab, and texts in which a word does not give its own bytes, are encoded and aligned whole.
 
 Counts: the documents of ``BLOCK`` bytes of text are one written row that holds their distinct pairs and the words in terms of those.
@@ -25,6 +25,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from graphloom.llm.storage import keep, texts
 
 BLOCK = 8 << 20
 BATCH = 4_000
+#: Words encoded as one text.
+JOINED = 64
 #: Words remembered per generation by a worker, and the longest one in characters; the last two generations are held.
 CACHE, LONGEST = 150_000, 48
 BLANKS = " \n\t"
@@ -86,51 +89,87 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id("▁")
+        # A token in ``groups`` with what follows it: inside its side, and where its side of a group ends.
+        self.names = [f"{k}{c}" for table, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for c in ends for k in range(len(table))]
+        self.name_size = np.array([len(x) for x in self.names], np.int64)
         inside = re.compile(f"[^{BLANKS}][{BLANKS}]".encode())
         within = [x.decode(errors="replace") for table in (self.bytes_a, self.bytes_b) for x in table if inside.search(x)]
         self.by_word = all(map(ODD.search, within))  # texts with those are aligned whole
         self.now: dict[str, tuple[str, int, int, bytes]] = {}
         self.last: dict[str, tuple[str, int, int, bytes]] = {}
 
-    def _ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides for texts that stand with their leading blanks."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = [x or [self.blank] for x in self.b.encode([x[1:] if x[0] == " " else x for x in parts], num_threads=1)]
+    def _ids_a(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _ids_b(self, parts: list[str]) -> list[list[int]]:
+        ids = [x or [self.blank] for x in self.b.encode([x[1:] if x[0] == " " else x for x in parts], num_threads=1)]
         # A word after a line feed or tab gets a blank that is not there; where it merged with the word, the bytes will not agree.
-        return a, [ids[1:] if x[0] != " " and ids and ids[0] == self.blank else ids for x, ids in zip(parts, b, strict=True)]
+        return [ids[1:] if x[0] != " " and ids and ids[0] == self.blank else ids for x, ids in zip(parts, ids, strict=True)]
+
+    def _tokens(self, parts: list[str], length: np.ndarray, plain: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side: how many tokens each part has, and all ids. The first ``plain`` parts are words behind blanks, of ``length`` bytes.
+
+        Those are encoded JOINED at a time, as a call costs more than a word; where an end of one is no end of a token, singly.
+        """
+        spans = [(low, min(low + JOINED, plain)) for low in range(0, plain, JOINED)] + [(k, k + 1) for k in range(plain, len(parts))]
+        sides = []
+        for encode, size in ((self._ids_a, self.size_a), (self._ids_b, self.size_b)):
+            counts, flat = [], []
+            for (low, high), ids in zip(spans, encode(["".join(parts[low:high]) for low, high in spans]), strict=True):
+                made, ends = np.cumsum(size[np.array(ids, np.int64)]), np.cumsum(length[low:high])
+                at = np.searchsorted(made, ends, "right")
+                if high - low == 1:
+                    counts.append([len(ids)])
+                    flat.append(ids)
+                elif len(ids) and made[-1] == ends[-1] and (made[at - 1] == ends).all():
+                    counts.append(np.diff(at, prepend=0))
+                    flat.append(ids)
+                else:
+                    each = encode(parts[low:high])
+                    counts.append(list(map(len, each)))
+                    flat.extend(each)
+            sides.append((np.concatenate(counts).astype(np.int64), np.fromiter(chain.from_iterable(flat), np.int64)))
+        return sides
 
     def align(self, parts: list[str]) -> list[tuple[str, int, int, bytes] | None]:
         """Per part: its groups, tokens of A, tokens of B and linked pairs (A's id << 32 | B's id); None where the bytes differ."""
-        a, b = self._ids(parts)
-        raw = [p.encode() for p in parts]
-        good = [
-            k for k, x in enumerate(raw)
-            if b"".join([self.bytes_a[i] for i in a[k]]) == x == b"".join([self.bytes_b[i] for i in b[k]])
-        ]
+        plain = [x[0] == " " and x[-1] not in BLANKS for x in parts]
+        order = np.argsort(np.logical_not(plain), kind="stable")
+        raw = [parts[k].encode() for k in order]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = self._tokens([parts[k] for k in order], length, sum(plain))
+        good = np.ones(len(raw), bool)
+        for (count, flat), size in zip(sides, (self.size_a, self.size_b), strict=True):
+            good &= np.bincount(np.repeat(np.arange(len(raw)), count), size[flat], len(raw)) == length
+        for (count, flat), table in zip(sides, (self.bytes_a, self.bytes_b), strict=True):
+            k = np.flatnonzero(good)
+            made = b"".join(map(table.__getitem__, flat[np.repeat(good, count)].tolist()))
+            wrong = np.frombuffer(made, np.uint8) != np.frombuffer(b"".join([raw[i] for i in k]), np.uint8)
+            good[k[np.searchsorted(np.cumsum(length[k]), np.flatnonzero(wrong), "right")]] = False
         out: list[tuple[str, int, int, bytes] | None] = [None] * len(parts)
-        if not good:
+        if not good.any():
             return out
-        flat_a, flat_b = (np.array([i for k in good for i in side[k]], np.int64) for side in (a, b))
+        (n_a, flat_a), (n_b, flat_b) = ((count[good], flat[np.repeat(good, count)]) for count, flat in sides)
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         start_a, start_b = end_a - self.size_a[flat_a], end_b - self.size_b[flat_b]
         group_a, group_b = coalesce(start_a, end_a, start_b, end_b)
         i, j = overlapping(start_a, end_a, start_b, end_b)
         together = end_a[i] == end_b[j]
         i, j = i[together], j[together]
-        links = (flat_a[i] << 32) | flat_b[j]
-        edge_a, edge_b = (np.searchsorted(g, np.arange(group_a[-1] + 2)).tolist() for g in (group_a, group_b))
-        name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = [
-            ",".join(name_a[a0:a1]) + "|" + ",".join(name_b[b0:b1])
-            for a0, a1, b0, b1 in zip(edge_a, edge_a[1:], edge_b, edge_b[1:], strict=False)
-        ]
-        ends = np.cumsum([len(raw[k]) for k in good])
-        group_end = end_a[np.array(edge_a[1:]) - 1]
-        g_at, l_at = np.searchsorted(group_end, ends, "right").tolist(), np.searchsorted(end_a[i], ends, "right").tolist()
-        g0 = l0 = 0
-        for k, g1, l1 in zip(good, g_at, l_at, strict=True):
-            out[k] = (";".join(groups[g0:g1]), len(a[k]), len(b[k]), links[l0:l1].tobytes())
-            g0, l0 = g1, l1
+        links = ((flat_a[i] << 32) | flat_b[j]).tobytes()
+        # Groups as text: A's tokens of a group, then B's, each with the mark that follows it.
+        name = np.empty(len(flat_a) + len(flat_b), np.int64)
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+        name[np.arange(len(flat_a)) + np.searchsorted(group_b, group_a)] = flat_a + len(self.bytes_a) * last_a
+        name[np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(self.bytes_a) + flat_b + len(self.bytes_b) * last_b
+        groups = "".join(map(self.names.__getitem__, name.tolist()))
+        ends = np.cumsum(length[good])
+        t_at = np.cumsum(self.name_size[name])[np.cumsum(n_a + n_b) - 1].tolist()
+        l_at = (8 * np.searchsorted(end_a[i], ends, "right")).tolist()
+        t0 = l0 = 0
+        for k, a, b, t1, l1 in zip(order[good].tolist(), n_a.tolist(), n_b.tolist(), t_at, l_at, strict=True):
+            out[k] = (groups[t0 : t1 - 1], a, b, links[l0:l1])
+            t0, l0 = t1, l1
         return out
 
     def words(self, wanted: set[str]) -> dict[str, tuple[str, int, int, bytes] | None]:
@@ -140,9 +179,10 @@ class Aligner:
         found: dict[str, tuple[str, int, int, bytes] | None] = {}
         new = []
         for w in wanted:
-            x = self.now.get(w) or self.last.get(w)
-            if x:
-                found[w] = self.now[w] = x
+            if w in self.now:
+                found[w] = self.now[w]
+            elif w in self.last:
+                found[w] = self.now[w] = self.last[w]
             else:
                 new.append(w)
         for low in range(0, len(new), BATCH):
@@ -182,13 +222,13 @@ class _Block:
         self.text: dict[str, str] = {}
         self.n_a: list[int] = []
         self.n_b: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.links: list[bytes] = []
         self.bytes = 0
 
     def _add(self, x: tuple[str, int, int, bytes]) -> int:
         self.n_a.append(x[1])
         self.n_b.append(x[2])
-        self.links.append(np.frombuffer(x[3], np.int64))
+        self.links.append(x[3])
         return len(self.n_a) - 1
 
     def document(self, doc_id: int | None, parts: list[str], found: dict[str, tuple[str, int, int, bytes] | None]) -> None:
@@ -208,8 +248,8 @@ class _Block:
 
     def row(self) -> pa.RecordBatch:
         flat, ends = np.concatenate(self.ids), np.cumsum([len(x) for x in self.ids])
-        sizes = np.array([len(x) for x in self.links], np.int64)
-        every = np.concatenate([*self.links, np.zeros(0, np.int64)])
+        sizes = np.array([len(x) // 8 for x in self.links], np.int64)
+        every = np.frombuffer(b"".join(self.links), np.int64)
         pairs, members = np.unique(every, return_inverse=True)
         uses = np.bincount(members, np.repeat(np.bincount(flat, minlength=len(sizes)), sizes), len(pairs)).astype(np.int64)
 
@@ -237,11 +277,12 @@ def _block_rows(path_a: str, path_b: str, with_groups: bool, size: int):
                 part = batch.slice(low, 128)
                 docs = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
                 cut = [WORDS.findall(" " + t) if t and side.by_word and not ODD.search(t) else None for _, t in docs]
-                found = side.words({w for parts in cut if parts for w in parts})
+                found = side.words(set().union(*filter(None, cut)))
+                odd = {w for w, x in found.items() if x is None}
                 for (doc_id, text), parts in zip(docs, cut, strict=True):
                     if not text:
                         block.document(doc_id, [], found)
-                    elif parts and not any(found[w] is None for w in set(parts)):
+                    elif parts and odd.isdisjoint(parts):
                         block.document(doc_id, parts, found)
                     else:
                         whole = side.align([" " + text])[0]

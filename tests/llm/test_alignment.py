@@ -118,3 +118,18 @@ def test_query_against_brute_force(spark, plain):
     got = queries.QUERIES["op11_tokenizer_alignment"](spark, "/root/testdata/sf0.001")
     want = {r[0]: dict(zip(["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"], r[1:8], strict=True)) for r in plain.rows(docs)}
     assert {r["doc_id"]: {k: v for k, v in r.asDict().items() if k != "doc_id"} for r in got.collect()} == want
+
+
+def test_words_are_encoded_many_at_a_time(monkeypatch):
+    """A call per word was most of the work. Words that one side does not give back fail alone."""
+    side, calls = Aligner(*PATHS), []
+    words = [f" w{k}é{'' if k % 50 else '▁'}" for k in range(300)] + ["\tx", "\n\n y", "  ", " "]
+    alone = [side.align([w])[0] for w in words]
+    assert None in alone and alone.count(None) < 20
+    for name in ("_ids_a", "_ids_b"):
+        own = getattr(side, name)
+        monkeypatch.setattr(side, name, lambda parts, own=own: calls.append(len(parts)) or own(parts))
+    assert side.align(words) == alone
+    calls.clear()
+    assert None not in side.align([f" w{k}é" for k in range(300)])
+    assert sum(calls) <= 2 * (300 // 64 + 1)
