@@ -1,5 +1,6 @@
 """Steps that must not read, shuffle or hold more than once what they need once."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import documents as docs
 from graphloom.operators import graph as g
+from graphloom.operators import retrieval as rt
 from graphloom.operators import similarity as sim
 from graphloom.plans.world import World
 
@@ -65,3 +67,31 @@ def test_a_block_is_scored_in_bounded_memory():
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     best = np.argsort(-(unit(asked)[599] @ unit(pool).T))[:10]
     assert got.loc[got["qid"] == "q599", "chunk_id"].tolist() == [f"v{i}" for i in best]
+
+
+def test_questions_with_the_same_anchors_share_their_events(spark):
+    """Found once, given to each; a question that quotes a date has its own. No shuffle or window sees the questions' rows."""
+    cols = "event_id string, event_name string, doc_id string, title string, venue string, sport string, games string, date_year int, date_month int, date_day_start int, date_day_end int, date_text string"
+    events = spark.createDataFrame(
+        [(f"rowing-{2000 + i % 2}-Summer-{i:03d}", "n", f"d{i}", "t", "V", "rowing", f"{2000 + i % 2}-Summer", 2000 + i % 2, 8, 1 + i % 9, None, f"{1 + i % 9} August") for i in range(90)], cols
+    )
+    plain = [(f"q{k}", "V", None, None, "which of them?", 2001, None, None, "title") for k in range(200)]
+    asked = spark.createDataFrame(
+        [*plain, ("said", "V", None, None, "who won on 3 August, then?", 2001, None, None, "title"), (None, "V", None, None, "", 2001, None, None, None)],
+        "qid string, venue string, games string, sport string, question string, date_year int, date_month int, date_day_start int, target_field string",
+    )
+    got = rt.venue_events(asked, events)
+    found = {}
+    for r in got.select("qid", "event_id", "value").collect():
+        assert r["value"] == "t"
+        found.setdefault(r["qid"], []).append(r["event_id"])
+    odd = sorted(f"rowing-2001-Summer-{i:03d}" for i in range(1, 90, 2))
+    assert {k: sorted(v) for k, v in found.items()} == {f"q{k}": odd for k in range(200)} | {"said": [x for x in odd if (int(x[-3:]) % 9) == 2]}
+    lines = got.select("qid", "event_id")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(lines) if "Join Inner" in line and "_alike" in line and "_slot" in line)
+    depth, above = re.search(r"\w", lines[at]).start(), []
+    for line in reversed(lines[:at]):
+        if (own := re.search(r"\w", line).start()) < depth:
+            depth = own
+            above.append(line)
+    assert above and not [line for line in above if re.search("Join|Aggregate|Window|Sort|Repartition", line)]
