@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.operators import documents as docs
+from graphloom.operators import evidence as ev
 from graphloom.operators import graph as g
 from graphloom.operators import retrieval as rt
 from graphloom.operators import similarity as sim
+from graphloom.plans import answer as an
 from graphloom.plans.world import World
 
 SMALL = "/root/testdata/sf0.001"
@@ -95,3 +97,38 @@ def test_questions_with_the_same_anchors_share_their_events(spark):
             depth = own
             above.append(line)
     assert above and not [line for line in above if re.search("Join|Aggregate|Window|Sort|Repartition", line)]
+
+
+def test_questions_of_one_set_are_judged_and_answered_by_set(spark, monkeypatch):
+    """The same evidence as when every question's rows are made first, and nothing kept that grows with questions times events."""
+    cols = "event_id string, event_name string, doc_id string, title string, venue string, sport string, games string, competitors int, nations int, parse_confidence double, date_year int, date_month int, date_day_start int, date_day_end int, date_text string"
+    rows = [(f"rowing-{2000 + i % 2}-Summer-{i:03d}", f"Race {i}", f"d{i}", f"Sculls of crew{i % 7}", "V", "rowing", f"{2000 + i % 2}-Summer", i, i % 5, 1.0, 2000 + i % 2, 8, 1 + i % 9, None, f"{1 + i % 9} August") for i in range(60)]
+    events = spark.createDataFrame([*rows, rows[1]], cols)
+    words = ["Which sculls of crew3?", "crew3 crew5 the of", "zzz the of", "", None, "sculls 2001 the", "was race in the 11?", "crew1 rowing, say", "who won on 3 August, then?"]
+    asked = [(f"q{k}", words[k % 9], "TRAVERSE" if k % 2 else "LOOKUP", "X" if k % 40 == 3 else "V", ["title", "nations", None][k % 3], 2001) for k in range(160)]
+    asked += [("twice", "zzz", "LOOKUP", "V", None, 2001), ("twice", "zzz", "LOOKUP", "V", None, 2000), (None, "zzz", "LOOKUP", "V", None, 2001)]
+    questions = spark.createDataFrame(asked, "qid string, question string, operation string, venue string, target_field string, date_year int").withColumns(
+        {c: F.lit(None).cast("string") for c in ("sport", "games", "title", "event_id")} | {c: F.lit(None).cast("int") for c in ("date_month", "date_day_start")} | {"constraints": F.array().cast(rt.CONSTRAINTS)}
+    )
+    chunks = spark.createDataFrame([(f"d{i}", f"c{i}-{j % 2}", f"sculls of crew{i}", j % 2) for i in range(9) for j in range(3)], "doc_id string, chunk_id string, text string, seq int")
+    vectors = spark.createDataFrame([("c0-0", [1.0, 0.0]), ("c1-0", [0.0, 1.0])], "chunk_id string, emb array<double>")
+    near = questions.where("qid is not null").select("qid", F.array(F.lit(1.0), F.lit(0.5)).alias("vector")).distinct()
+    edges = spark.createDataFrame([], "etype string, src string, dst string")
+    documents = events.select("doc_id", "title")
+    first = an.direct_evidence(questions, events, edges, documents)
+    verdict = ev.evaluate(questions, first)
+    failed = {k: verdict.where(F.col("fallback_trigger") == k) for k in ("scope_coverage_fail", "groundedness_fail")}
+    second = an.similarity_evidence(failed["scope_coverage_fail"], near, vectors, chunks)
+    third = an.document_evidence(failed["groundedness_fail"].join(questions.select("qid", "question"), "qid"), first, chunks)
+    key = lambda df: sorted(map(str, df.drop("pos").collect()))
+    expected = key(ev.without_repeats(first.unionByName(second).unionByName(third)))
+    kept, cut = [], an.cut_lineage
+
+    def counted(df):
+        kept.append(cut(df).count())
+        return cut(df)
+
+    monkeypatch.setattr(an, "cut_lineage", counted)
+    got = an.answer_evidence(questions, events, edges, documents, chunks, near, vectors)
+    assert key(got) == expected and {s for (s,) in got.select("source").distinct().collect()} == {"multi_hop", "similarity_search", "document_retrieval"}
+    assert len(expected) > 5 * max(kept)
