@@ -135,7 +135,7 @@ def _canonical(token: Column) -> Column:
     at = F.array_position(words, token)
     return (
         F.when(at > 0, (at - 1).cast("string"))
-        .when(token.rlike("^[0-9]+$"), F.regexp_replace(token, "^0+(?=[0-9])", ""))
+        .when(token.between("0", "9:") & token.rlike("^[0-9]+$"), F.regexp_replace(token, "^0+(?=[0-9])", ""))
         .otherwise(token)
     )
 
@@ -145,14 +145,21 @@ def canonical_token(token: Column) -> Column:
     return _canonical(token)
 
 
-def _plain(text: Column) -> Column:
+def _plain(text: Column, mark: str = "") -> Column:
+    """Lower case, folded, without articles, for ``_words``; a text of ASCII letters, digits, blanks and ``mark`` leaves its articles to that."""
     lowered = F.regexp_replace(F.lower(text), APOSTROPHES, "")
-    bare = F.regexp_replace(fold(lowered), r"(?U)\b(a|an|the)\b", " ")
-    return F.regexp_replace(bare, r"(?U)\s+", " ")
+
+    def rest(t: Column) -> Column:
+        bare = F.regexp_replace(fold(t), r"(?U)\b(a|an|the)\b", " ")
+        # Anchored and possessive: searching for a character outside the class takes many times longer.
+        return F.when(t.rlike(rf"^[0-9A-Za-z {mark}]*+\z"), t).otherwise(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+    # Punctuation folds to blanks, whose number does not matter here.
+    return let(F.regexp_replace(lowered, r"\p{P}+", " "), rest)
 
 
 def _words(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, " "), lambda t: t != ""), _canonical)
+    return F.transform(F.filter(F.split(text, " "), lambda t: ~t.isin("", "a", "an", "the")), _canonical)
 
 
 def normalize_answer(text: Column) -> Column:
@@ -178,7 +185,7 @@ def _name_parts(text: Column) -> Column:
     # the mark survives normalisation and separates the names afterwards.
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), LIST_SEPARATORS, _MARK)
     marked = F.regexp_replace(marked, _BOUNDARY, _MARK)
-    return F.split(_plain(marked), _MARK)
+    return F.split(_plain(marked, _MARK), _MARK)
 
 
 def answer_parts(text: Column) -> Column:

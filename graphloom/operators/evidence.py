@@ -368,30 +368,30 @@ def resolve_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     ).withColumn("target", tx.normalize_answer(F.col("answer"))).withColumn(
         "names", F.transform(tx.split_names(F.col("answer")), tx.normalize_answer)
     )
+    # Rows are rendered before the join, in generated code, and normalised after it, where lambdas evaluate all that stands inside them.
     named = rows.select(
-        "qid", "title",
-        F.concat(F.lit(" "), tx.normalize_answer(render()), F.lit(" ")).alias("padded"),
-        tx.normalize_answer(F.coalesce(F.nullif(F.col("event_name"), F.lit("")), F.col("counted_event"))).alias("n1"),
-        tx.normalize_answer(tx.event_part(F.col("title"))).alias("n2"),
+        "qid", "title", F.lit(True).alias("_row"), render().alias("line"),
+        F.coalesce(F.nullif(F.col("event_name"), F.lit("")), F.col("counted_event")).alias("event"), tx.event_part(F.col("title")).alias("part"),
     )
     hit = (F.col("target") != "") & (F.coalesce("title", F.lit("")) != "") & (
-        (F.col("n1") == F.col("target")) | (F.col("n2") == F.col("target"))
+        (tx.normalize_answer(F.col("event")) == F.col("target")) | (tx.normalize_answer(F.col("part")) == F.col("target"))
     )
     # Names are looked for row by row; a name found in any row is supported.
-    found = F.filter(
-        "names", lambda n: (n != "") & F.col("padded").contains(F.concat(F.lit(" "), n, F.lit(" ")))
+    found = tx.let(
+        F.concat(F.lit(" "), tx.normalize_answer(F.col("line")), F.lit(" ")),
+        lambda line: F.filter("names", lambda n: (n != "") & line.contains(F.concat(F.lit(" "), n, F.lit(" ")))),
     )
-    per_row = held.join(named, "qid").select(
-        "qid", F.when(hit, F.col("title")).alias("t"), F.explode_outer(found).alias("name")
+    # One join on the question, on which the rows stay: an answer's rows are put together where they meet it.
+    held = held.withColumn("_id", F.monotonically_increasing_id())
+    out = held.join(named, "qid", "left").select(*held.columns, "_row", F.when(hit, F.col("title")).alias("t"), F.when(F.col("_row"), found).alias("f")).groupBy(
+        *held.columns
+    ).agg(
+        F.min("t").alias("title"), F.max("t").alias("_last"), F.size(F.collect_set("t")).alias("n_titles"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("f")))).alias("n_found"), F.max("_row").alias("has_rows"),
     )
-    checked = per_row.groupBy("qid").agg(
-        F.countDistinct("t").alias("n_titles"), F.min("t").alias("title"),
-        F.countDistinct("name").alias("n_found"), F.lit(True).alias("has_rows"),
-    )
-    out = held.join(checked, "qid", "left")
     wanted = F.array_distinct(F.filter("names", lambda n: n != ""))
     no_rows = F.col("has_rows").isNull() | (F.coalesce("given", F.lit("")) == "")
-    to_title = (F.col("n_titles") == 1) & (tx.normalize_answer(F.col("title")) != F.col("target"))
+    to_title = F.coalesce(F.col("title") == F.col("_last"), F.lit(False)) & (tx.normalize_answer(F.col("title")) != F.col("target"))
     supported = (F.size(wanted) > 0) & (F.col("n_found") == F.size(wanted))
     base_note = F.when(
         F.col("n_titles") > 1,
