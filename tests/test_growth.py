@@ -132,3 +132,14 @@ def test_questions_of_one_set_are_judged_and_answered_by_set(spark, monkeypatch)
     got = an.answer_evidence(questions, events, edges, documents, chunks, near, vectors)
     assert key(got) == expected and {s for (s,) in got.select("source").distinct().collect()} == {"multi_hop", "similarity_search", "document_retrieval"}
     assert len(expected) > 5 * max(kept)
+
+
+def test_rows_of_a_set_are_made_by_many_tasks(spark):
+    """However small both sides are, their join is not one task; members met again and rows without a set are as in a plain join."""
+    sets = spark.createDataFrame([(f"s{k % 2}", f"e{k}", k) for k in range(300)], "_alike string, event_id string, n int")
+    members = spark.createDataFrame([(f"s{k % 3}", f"q{k}", None if k % 5 else "?") for k in range(90)] + [("s1", "q1", None)], "_alike string, qid string, a string")
+    got = rt.spread(sets, members, "event_id")
+    plain = members.join(sets, "_alike").drop("_alike").select(*got.columns)
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty() and got.count() == 61 * 150
+    made = got.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()
+    assert max(r["count"] for r in made) < got.count() / 5, made
