@@ -1,12 +1,14 @@
 """Steps that must not read, shuffle or hold more than once what they need once."""
 
 import re
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from graphloom import session
 from graphloom.operators import documents as docs
 from graphloom.operators import evidence as ev
 from graphloom.operators import graph as g
@@ -143,3 +145,26 @@ def test_rows_of_a_set_are_made_by_many_tasks(spark):
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty() and got.count() == 61 * 150
     made = got.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()
     assert max(r["count"] for r in made) < got.count() / 5, made
+
+
+def test_repeats_are_dropped_without_shuffling_what_is_not_read(spark):
+    rows = ev.conform(spark.createDataFrame([("q", 3, "e", "long text", 1), ("q", 1, "e", "long text", 1), ("q", 2, "e", None, 1), ("r", 2, None, None, None)], "qid string, pos long, event_id string, text string, seq int"), "multi_hop")
+    left = ev.without_repeats(rows)
+    assert sorted(map(str, left.select("qid", "pos", "event_id", "text").collect())) == sorted(
+        map(str, rows.where("pos <> 3").select("qid", "pos", "event_id", "text").collect())
+    )
+    dealt = [line for line in plan(left.select("qid", "event_id")).splitlines() if "SortAggregate" in line or "HashAggregate" in line]
+    assert dealt and not any("any_value(text" in line or "any_value(seq" in line for line in dealt)
+
+
+def test_shuffles_of_a_checkpoint_go_with_it(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(manager.getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    cut = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # files are removed in the background
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and cut.count() == 7
