@@ -30,6 +30,21 @@ def test_append_and_export(spark, tmp_path):
     assert row["qid"] == "q1" and row["pipelines"]["rag"]["answer"] == "a"
 
 
+def test_records_are_chosen_as_text_after_one_shuffle(spark, tmp_path):
+    """Rows of a store are neither parsed nor sorted before the shuffle; the last one is parsed and is the same."""
+    lines = [(record("q1", "done", 3),), (record("q2", "error", 5),)]
+    records = spark.createDataFrame(lines, "value string").select(F.from_json("value", rf.RECORD).alias("r")).select("r.*")
+    configs = spark.createDataFrame([("r1", "d")], "run_id string, dataset string")
+    pipelines = F.transform_values("record.pipelines", lambda k, p: p.withField("answer", F.lit("old")).withField("latency_ms", F.lit(1.05)))
+    for rows in (records.withColumn("record", F.col("record").withField("pipelines", pipelines)), records):
+        rf.append_run(rows, configs, str(tmp_path))
+    back = rf.read_store(spark, str(tmp_path))
+    assert back.schema.simpleString() == records.select(*back.columns).schema.simpleString()
+    assert sorted(map(str, back.collect())) == sorted(map(str, records.select(*back.columns).collect()))
+    above, below = rf.read_store(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_COL")
+    assert "max_by" in above and "from_json" in above and "max_by" not in below and "from_json" not in below and "get_json_object(record" in below
+
+
 def test_questions_and_trials(spark, tmp_path):
     path = tmp_path / "questions.jsonl"
     path.write_text(json.dumps({"qid": "a", "question": "?", "answer": ["x"]}) + "\n\n")
