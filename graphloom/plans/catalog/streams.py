@@ -21,6 +21,7 @@ from graphloom.streaming import live
 
 ROWS_PER_BATCH_FILE = 500_000
 ORDERS_PER_RUN_FILE = 100_000
+STEPS_PER_GROUP = 20_000
 
 
 class StreamWorld(World):
@@ -99,13 +100,15 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _trace(spark: SparkSession, sf: str) -> DataFrame:
     """Steps of a run lie in several files and arrive out of order."""
+    groups = World(spark, sf).table("lineitem").count() // STEPS_PER_GROUP + 64
 
     def numbered(w: StreamWorld) -> DataFrame:
         return live.numbered_trace(
             w.steps().select(
                 F.concat_ws("|", "run_id", "qid").alias("run_key"), F.col("seq").alias("order_no"), "route", "path_name", "declared",
                 "tokens_in", "tokens_out",
-            )
+            ),
+            groups=groups,
         )
 
     return fed(spark, sf, "lineitem", numbered, ["run_key", "order_no"], mode="append").drop("_batch")

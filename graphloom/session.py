@@ -74,6 +74,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def kept_while(df: DataFrame) -> Iterator[DataFrame]:
+    """As ``kept``, and gone again when the block ends."""
+    once = kept(df)
+    try:
+        yield once
+    finally:
+        for file in once.inputFiles()[:1]:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +20,7 @@ from graphloom.operators.coverage import missing_chunks
 from graphloom.operators.routing import off_route
 from graphloom.plans.build import add_vectors
 from graphloom.plans.progress import COUNTERS, STAGE_COUNTERS
-from graphloom.session import checkpoint_root
+from graphloom.session import checkpoint_root, kept_while
 from graphloom.sources.runs import RECORD
 from graphloom.sources.tables import TableStore
 
@@ -72,12 +73,33 @@ def _timeout(keep_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
 
 
+_STEPS = pa.schema([
+    ("run_key", pa.dictionary(pa.int32(), pa.string())), ("order_no", pa.int64()), ("off_route", pa.bool_()), ("declared", pa.bool_()),
+    ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("seen_ms", pa.int64()),
+])
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    """Steps as compressed Arrow columns: a state store holds whole states in memory, of more than one version."""
+    sink = pa.BufferOutputStream()
+    columns = [pa.array(c, kind.value_type).dictionary_encode() if pa.types.is_dictionary(kind) else pa.array(c, kind)
+               for c, kind in zip(zip(*rows, strict=True), _STEPS.types, strict=True)]
+    with pa.ipc.new_stream(sink, _STEPS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch(columns, schema=_STEPS))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(bytes(packed)).read_all()
+    return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+
+
 def numbered_trace(steps: DataFrame, keep_ms: int | None = None, groups: int = 2_048) -> DataFrame:
     """Trace steps numbered, with running tokens and the first deviation flagged, in whatever order they arrive (append mode).
 
     ``steps``: run_key, order_no, route, path_name, declared, tokens_in, tokens_out. Runs share a state with the others of their hash,
-    one of ``groups``: a call for each run would cost more than its few steps. State holds the runs' steps, and those of a run go
-    ``keep_ms`` after its last step where that is given. A step that arrives late takes its place, and it and the steps
+    one of ``groups``: a call for each run would cost more than its few steps. State holds the runs' steps, packed, and those of a run go
+    ``keep_ms`` after its last step where that is given. A group is held whole by a task: let ``groups`` grow with the steps. A step that arrives late takes its place, and it and the steps
     after it are emitted anew: write them to a table keyed by run_key and order_no.
     """
     marked = steps.withColumn("off_route", off_route(F.col("route"), F.col("path_name"))).select(
@@ -89,10 +111,7 @@ def numbered_trace(steps: DataFrame, keep_ms: int | None = None, groups: int = 2
     out = (
         "run_key string, order_no long, step_n long, cum_tokens_in long, cum_tokens_out long, strategy_change boolean"
     )
-    state_schema = (
-        "run_key array<string>, order_no array<long>, off_route array<boolean>, declared array<boolean>, tokens_in array<long>, "
-        "tokens_out array<long>, seen_ms array<long>"
-    )
+    state_schema = "steps binary"
 
     def keep(rows: list[tuple], seen: dict[str, int], state: GroupState, now: int) -> None:
         if keep_ms:
@@ -100,13 +119,13 @@ def numbered_trace(steps: DataFrame, keep_ms: int | None = None, groups: int = 2
         if not rows:
             state.remove()
             return
-        state.update((*map(list, zip(*rows, strict=True)), [seen[row[0]] for row in rows]))
+        state.update((_packed([(*row, seen[row[0]]) for row in rows]),))
         if keep_ms:
             state.setTimeoutDuration(max(1, min(seen[row[0]] for row in rows) + keep_ms - now))
 
     def advance(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs() if keep_ms else 0
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        held = _unpacked(state.get[0]) if state.exists else []
         steps, seen = {row[:2]: row[:6] for row in held}, {row[0]: row[6] for row in held}
         if state.hasTimedOut:
             keep(list(steps.values()), seen, state, now)
@@ -191,13 +210,15 @@ def drain_merged(
     """Run a stream over everything available and merge what each batch emits into a keyed table.
 
     The last row of a key stays, or with ``first`` the first. A batch that is run again after a failure is published once, so the stream
-    may be stopped and started with the same ``checkpoint`` at any time. The table's ``_batch`` orders the batches.
+    may be stopped and started with the same ``checkpoint`` at any time. The table's ``_batch`` orders the batches. A merge reads its rows
+    more than once, so a batch is written first: each reading would run the stream's state through once more.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         order = store.version(name)
         rows = batch.withColumn("_batch", F.lit(-order if first else order).cast("long"))
-        store.merge(name, rows, keys, "_batch", partition_by, whole_rows=True, batch=(checkpoint, batch_id))
+        with kept_while(rows) as once:
+            store.merge(name, once, keys, "_batch", partition_by, whole_rows=True, batch=(checkpoint, batch_id))
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

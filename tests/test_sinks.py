@@ -1,12 +1,14 @@
 """Sinks, streams over growing folders, running totals."""
 
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
 from graphloom.operators import coverage as cov
 from graphloom.operators import scoring as sc
 from graphloom.plans import reports as rp
+from graphloom.session import checkpoint_root
 from graphloom.sources import runs as rf
 from graphloom.sources import trials as tr
 from graphloom.sources.tables import TableStore
@@ -89,6 +91,28 @@ def test_many_runs_share_a_state_and_a_late_step_takes_its_place(spark, tmp_path
     assert got == sorted(want)
 
 
+def test_steps_in_a_state_are_packed():
+    rows = [(f"1-URGENT|q{k // 4}", k % 4 * 10**14 + k * 7919, k % 3 == 0, k % 5 == 0, k % 50, k % 49, 0) for k in range(10_000)]
+    packed = live._packed(rows)
+    assert live._unpacked(packed) == rows and len(packed) < 20 * len(rows)  # as plain columns some 70 bytes a step
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """However often the merge reads its rows; the folder they were written to is gone again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    held = lambda: {p.name for p in pathlib.Path(checkpoint_root(spark).removeprefix("file:")).glob("kept-*")}
+    before, store = held(), TableStore(spark, str(tmp_path / "store"), buckets=2)
+    live.drain_merged(spark.readStream.schema("id long").parquet(str(tmp_path / "in")).mapInArrow(counted, "id long"), store, "out", ["id"], str(tmp_path / "cp"), mode="append")
+    assert store.read("out").count() == 50 and made.value == 50 and held() == before
+
+
 def test_cuts_of_a_running_total_are_made_once(spark):
     rows = spark.range(1000).selectExpr("id % 2 AS k", "id AS o", "id % 7 AS v")
     assert "percentile_approx" not in rp.running_total(rows, "k", "o", "v", ranges=16)._jdf.queryExecution().optimizedPlan().toString()
