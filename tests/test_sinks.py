@@ -3,11 +3,13 @@
 import json
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import coverage as cov
 from graphloom.operators import scoring as sc
 from graphloom.plans import reports as rp
+from graphloom.plans.catalog import stores
 from graphloom.session import checkpoint_root
 from graphloom.sources import runs as rf
 from graphloom.sources import trials as tr
@@ -113,6 +115,21 @@ def test_a_batch_is_computed_once(spark, tmp_path):
     assert store.read("out").count() == 50 and made.value == 50 and held() == before
 
 
+def test_parts_of_a_rebuilt_corpus_grow_with_its_pages(spark, monkeypatch):
+    """A part is written by one task."""
+
+    class Seen(Exception):
+        pass
+
+    def store(spark, root, buckets):
+        raise Seen(buckets)
+
+    monkeypatch.setattr(stores, "TableStore", store)
+    monkeypatch.setattr(stores, "PAGES_PER_PART", 100)
+    with pytest.raises(Seen, match="19"):  # 1,500 orders
+        stores._rebuild(spark, "/root/testdata/sf0.001")
+
+
 def test_cuts_of_a_running_total_are_made_once(spark):
     rows = spark.range(1000).selectExpr("id % 2 AS k", "id AS o", "id % 7 AS v")
     assert "percentile_approx" not in rp.running_total(rows, "k", "o", "v", ranges=16)._jdf.queryExecution().optimizedPlan().toString()
