@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.storage import keep, texts
 
 BLOCK = 8 << 20
+#: Blocks written to one file; a task holds the blocks of a file in memory.
+BLOCKS_PER_FILE = 2
 BATCH = 4_000
 #: Words encoded as one text.
 JOINED = 64
@@ -323,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False,
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: ids of both sides in order. A pair's count is the number of links that hold it in all
     of ``docs``; n_best counts links whose pair has the highest count among the pairs of its id of B.
     """
-    blocks = keep(texts(docs).mapInArrow(_block_rows(path_a, path_b, with_groups, block), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
+    blocks = keep(texts(docs).mapInArrow(_block_rows(path_a, path_b, with_groups, block), BLOCKS).withColumn("block", F.monotonically_increasing_id()), BLOCKS_PER_FILE)
     uses = blocks.select("block", F.posexplode("pairs").alias("place", "use")).select("block", "place", "use.pair", "use.uses")
     counts = keep(uses.groupBy("pair").agg(F.sum("uses").alias("count")).withColumn("b", F.expr("pair & 4294967295")))
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # at most a row per id of B

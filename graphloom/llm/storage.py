@@ -14,17 +14,18 @@ from graphloom.session import checkpoint_root
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """``df`` written once to the folder named by ``spark.checkpoint.dir`` and read back.
 
-    Cuts the lineage, so a lost executor costs a re-read and not a second run of the plan.
+    Cuts the lineage, so a lost executor costs a re-read and not a second run of the plan. ``rows_per_file`` is for rows of many
+    megabytes (0: no bound): a file's writer looks at what it holds once in a hundred rows only, and its reader takes thousands at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # this write's shuffle files are of no further use
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

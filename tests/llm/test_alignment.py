@@ -9,9 +9,10 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import queries
+from graphloom.llm import alignment, queries
 from graphloom.llm.alignment import Aligner, align, coalesce, overlapping
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -133,3 +134,13 @@ def test_words_are_encoded_many_at_a_time(monkeypatch):
     calls.clear()
     assert None not in side.align([f" w{k}é" for k in range(300)])
     assert sum(calls) <= 2 * (300 // 64 + 1)
+
+
+def test_blocks_lie_few_to_a_file(spark, monkeypatch):
+    """A block is a row of megabytes; a file's writer and reader hold all rows of a file that has less than a hundred."""
+    kept, own = [], alignment.keep
+    monkeypatch.setattr(alignment, "keep", lambda *args: kept.append(own(*args)) or kept[-1])
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    assert align(docs, *PATHS, block=1).count() == 40
+    files = kept[0].groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sum(r["count"] for r in files) == 40 and max(r["count"] for r in files) <= 2
